@@ -288,7 +288,8 @@ def propose_tpe(
     scale = lambda v: F.when(F.col("log"), F.log(v)).otherwise(v)
     cand = cand.withColumn("draw", value_at(F.col("u")))
     width = scale(F.col("high")) - scale(F.col("low"))
-    z = (scale(F.col("draw")) - scale(F.col("pvalue"))) / (width * 0.1)
+    seen = F.least(F.greatest(F.col("pvalue"), F.col("low")), F.col("high"))
+    z = (scale(F.col("draw")) - scale(seen)) / (width * 0.1)
     kernel = F.exp(-0.5 * z * z)
     sums = cand.groupBy(*by, "param", "cand").agg(
         F.first("draw").alias("draw"),

@@ -4,10 +4,6 @@ from foldline.registry.base import ORACLES, QUERIES
 
 
 def load():
-    from foldline.registry import data_queries, study_queries  # noqa: F401
+    from foldline.registry import data_queries, model_queries, study_queries  # noqa: F401
 
-    try:
-        from foldline.registry import model_queries  # noqa: F401
-    except ImportError:
-        pass
     return QUERIES, ORACLES

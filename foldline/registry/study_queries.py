@@ -8,7 +8,7 @@ from foldline import fixtures as fx
 from foldline.functions.numeric import round_half_up as r
 from foldline.operators import reports, space as sp, studies as st
 from foldline.operators.pruning import first_prune, median_prune
-from foldline.operators.search import propose_tpe
+from foldline.operators.search import propose_tpe, space_of
 from foldline.registry.base import STEPS, STUDIES, TRIALS, query, rnd
 from foldline.sources.params import missing_targets
 
@@ -439,7 +439,7 @@ HISTORY_SPACE = [sp.real("p_k", 1.0, 100.0, log=True), sp.whole("p_m", 0, 6)]
              (coalesce(sum(k) filter (where good), 0) / greatest(count(*) filter (where good), 1) + 0.001::double)
              / (coalesce(sum(k) filter (where not good), 0) / greatest(count(*) filter (where not good), 1) + 0.001::double) as score
       from (select d.*, good,
-                   case when lg then exp(-0.5::double * pow((ln(draw) - ln(pvalue)) / ((ln(high) - ln(low)) * 0.1::double), 2))
+                   case when lg then exp(-0.5::double * pow((ln(draw) - ln(least(greatest(pvalue, low), high))) / ((ln(high) - ln(low)) * 0.1::double), 2))
                         else exp(-0.5::double * pow((draw - pvalue) / ((high - low) * 0.1::double), 2)) end as k
             from drawn d join hist h on h.study = d.study and h.param = d.param) d
       group by 1, 2, 3)
@@ -447,8 +447,5 @@ HISTORY_SPACE = [sp.real("p_k", 1.0, 100.0, log=True), sp.whole("p_m", 0, 6)]
       select *, row_number() over (partition by study, param order by score desc, cand) as rk from scored) where rk = 1""",
 )
 def q_propose_tpe(spark, sf):
-    from foldline.operators.search import space_of
-
-    history = fx.trials(spark, sf).where(F.element_at("params", "p_k") > 0)
-    proposals = propose_tpe(history, space_of(spark, HISTORY_SPACE))
+    proposals = propose_tpe(fx.trials(spark, sf), space_of(spark, HISTORY_SPACE))
     return proposals.select("study", "param", r(F.col("draw"), 6).alias("draw"))
