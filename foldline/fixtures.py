@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldline.operators.scans import row_numbers
+from foldline.session import spread
 
 TARGETS = ("charge", "unit_price", "retail", "disc")
 EXCLUSIONS = {"charge": ["unit_price"], "unit_price": ["charge"]}
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part: numeric, log, exp and categorical columns, with gaps."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    li, part = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     micros = F.expr(
         "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(l_shipdate AS TIMESTAMP_NTZ))"
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
@@ -27,6 +28,7 @@ from foldline.functions.numeric import sql_double, sql_name
 
 MAX_DEPTH = 30  # MLlib's limit
 TREE_MEMORY_MB = 512
+PARALLEL_TREES = 8
 
 # Parameters used when none are given.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -139,6 +141,16 @@ def linear_estimator(
     )
 
 
+def _random_cuts(rng: np.random.Generator, row, k: int, n: int) -> list[list[float]]:
+    """Per feature, sorted uniform cut points inside its range."""
+    out = []
+    for i in range(k):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        cuts = np.unique(rng.uniform(lo, hi, n)) if hi > lo else np.array([lo])
+        out.append([-math.inf, *[float(v) for v in cuts], math.inf])
+    return out
+
+
 def _fit_extra_trees(params, df, x, label, prediction, seed) -> PipelineModel:
     """Trees on randomly cut features: per tree, every feature is cut at uniform
     random points of its range and a tree grows on the piece numbers, without
@@ -146,16 +158,11 @@ def _fit_extra_trees(params, df, x, label, prediction, seed) -> PipelineModel:
     p = _take("ExtraTreesRegressor", params)
     row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     rng = np.random.default_rng(seed)
-    stages, names = [], []
-    for t in range(int(p["n_estimators"])):
-        pieces, splits, inputs = [], [], []
-        for i, c in enumerate(x):
-            lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-            cuts = np.unique(rng.uniform(lo, hi, int(p["n_cuts"]))) if hi > lo else np.array([lo])
-            splits.append([-float("inf"), *[float(v) for v in cuts], float("inf")])
-            inputs.append(c)
-            pieces.append(f"__piece{i}")
-        cut = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=pieces, handleInvalid="keep")
+    cuts_of = [_random_cuts(rng, row, len(x), int(p["n_cuts"])) for _ in range(int(p["n_estimators"]))]
+
+    def grow(t: int) -> list:
+        pieces = [f"__piece{i}" for i in range(len(x))]
+        cut = Bucketizer(splitsArray=cuts_of[t], inputCols=list(x), outputCols=pieces, handleInvalid="keep")
         join = VectorAssembler(inputCols=pieces, outputCol="__pieces")
         tree = DecisionTreeRegressor(
             featuresCol="__pieces",
@@ -168,8 +175,11 @@ def _fit_extra_trees(params, df, x, label, prediction, seed) -> PipelineModel:
         )
         model = tree.fit(join.transform(cut.transform(df)))
         tidy = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join([*pieces, '__pieces'])}) FROM __THIS__")
-        stages += [cut, join, model, tidy]
-        names.append(f"__tree{t}")
+        return [cut, join, model, tidy]
+
+    with ThreadPoolExecutor(PARALLEL_TREES) as pool:
+        stages = [stage for part in pool.map(grow, range(len(cuts_of))) for stage in part]
+    names = [f"__tree{t}" for t in range(len(cuts_of))]
     mean = f"({' + '.join(names)}) / {len(names)}"
     stages.append(
         SQLTransformer(

@@ -115,14 +115,28 @@ class Preprocessor:
         stats: dict = {m: {} for m in masks}
         if numeric:
             wanted = {f"{m}|{c}": masked(clean(F.col(c)), m) for m in masks for c in numeric}
-            medians = exact_quantiles(df, wanted, [0.5])
+            # The fill lies between the extremes and the transforms are monotone, so the
+            # extremes before imputation are those after it and need no pass of their own.
+            ends: dict = {}
+            extra = {}
+            if self.scaler == "minmax":
+                for m in masks:
+                    for c in numeric:
+                        x = F.expr(TRANSFORMS[self.roles[c]].format(f"CAST({sql_name(c)} AS DOUBLE)"))
+                        x = masked(clean(x), m)
+                        extra[f"lo|{m}|{c}"], extra[f"hi|{m}|{c}"] = F.min(x), F.max(x)
+            medians = exact_quantiles(df, wanted, [0.5], extra=extra, found=ends)
             for m in masks:
                 for c in numeric:
                     fill = medians[f"{m}|{c}"][0]
                     # A column without any value has nothing to learn from and is left out.
                     if fill is not None:
                         stats[m][c] = ColumnStats(self.roles[c], fill)
-            self._fit_scale(df, stats, masked)
+                        if self.scaler == "minmax":
+                            lo, hi = ends[f"lo|{m}|{c}"], ends[f"hi|{m}|{c}"]
+                            stats[m][c].shift, stats[m][c].scale = lo, (hi - lo) if hi > lo else 1.0
+            if self.scaler != "minmax":
+                self._fit_scale(df, stats, masked)
         if categorical:
             self._fit_categories(df, categorical, stats, fold)
         order = list(self.roles)
@@ -143,13 +157,9 @@ class Preprocessor:
             spread = exact_quantiles(df, exprs, [0.25, 0.5, 0.75])
             found = [(spread[k][1], spread[k][2] - spread[k][0]) for k in exprs]
         else:
-            pair = (F.min, F.max) if self.scaler == "minmax" else (F.avg, F.stddev_pop)
-            aggs = [f(x).alias(f"{n}{k}") for k, x in exprs.items() for n, f in zip("ab", pair)]
+            aggs = [f(x).alias(f"{n}{k}") for k, x in exprs.items() for n, f in (("a", F.avg), ("b", F.stddev_pop))]
             row = df.agg(*aggs).first()
-            if self.scaler == "minmax":
-                found = [(row[f"a{k}"], row[f"b{k}"] - row[f"a{k}"]) for k in exprs]
-            else:
-                found = [(row[f"a{k}"], row[f"b{k}"]) for k in exprs]
+            found = [(row[f"a{k}"], row[f"b{k}"]) for k in exprs]
         for (m, c), (shift, scale) in zip(slots, found):
             stats[m][c].shift, stats[m][c].scale = shift, scale if scale > 0 else 1.0
 

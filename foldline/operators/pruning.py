@@ -30,23 +30,22 @@ def _with_best(reported: DataFrame) -> DataFrame:
     return reported.withColumn("best", F.min("step_value").over(w))
 
 
-def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces: int = 64) -> DataFrame:
+def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces: int = 32) -> DataFrame:
     """For each ask (study, step, trial, x): among values (study, step, trial, x) of
     smaller trial numbers, ``m`` in all, ``below`` under x, the largest under x
     (``lo``) and the smallest not under x (``hi``)."""
     probs = [i / pieces for i in range(1, pieces)]
     edges = values.groupBy(*GROUP).agg(F.percentile_approx("x", probs, 10_000).alias("edges"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        found = F.coalesce(F.expr("size(filter(edges, e -> e < x))"), F.lit(0))
+        return df.join(edges, GROUP, "left").withColumn("range", found).drop("edges")
+
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     odd = F.expr("shiftright(trial, level) % 2 = 1")
-    listed = values.withColumn("level", level).where(~odd).withColumn("block", F.expr("shiftright(trial, level)"))
-    asked = asks.withColumn("level", level).where(odd).withColumn("block", F.expr("shiftright(trial, level) - 1"))
-    rows = (
-        listed.withColumn("is_value", F.lit(1))
-        .unionByName(asked.withColumn("is_value", F.lit(0)))
-        .join(edges, GROUP, "left")
-        .withColumn("range", F.coalesce(F.expr("size(filter(edges, e -> e < x))"), F.lit(0)))
-        .drop("edges")
-    )
+    listed = placed(values).withColumn("level", level).where(~odd).withColumn("block", F.expr("shiftright(trial, level)"))
+    asked = placed(asks).withColumn("level", level).where(odd).withColumn("block", F.expr("shiftright(trial, level) - 1"))
+    rows = listed.withColumn("is_value", F.lit(1)).unionByName(asked.withColumn("is_value", F.lit(0)))
     own = F.when(F.col("is_value") == 1, F.col("x"))
     up = W.partitionBy(*CELL).orderBy("x", "is_value").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*CELL).orderBy(F.desc("x"), F.desc("is_value")).rowsBetween(W.unboundedPreceding, 0)

@@ -2,9 +2,10 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
 buffer, which a continuous column at full size cannot afford; the approximate
-form is not exact. Here a sketch brackets each wanted rank, one counting pass
-tells how many rows lie below and inside the bracket, and the bracket shrinks
-until its inside is small enough to sort. Only bracket ends reach the driver.
+form is not exact. Here a sketch brackets each wanted rank, and the next pass
+counts the rows below and inside the bracket and sorts the inside, whose size
+the sketch bounds (0.06 % of the rows). Where that bound is too large, the
+bracket shrinks by further passes first. Only bracket ends reach the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foldline.functions.numeric import clean
 
 ACCURACY = 10_000
+SLACK = 2.0 / ACCURACY
+INSIDE_SHARE = 2 * SLACK + 2.0 / ACCURACY  # bracket width plus the sketch error at both ends
+BATCH = 48  # searches per aggregation, to keep generated code and buffers small
+
+
+def _bracket(x: Column, q: float) -> Column:
+    return F.percentile_approx(x, [max(0.0, q - SLACK), min(1.0, q + SLACK)], ACCURACY)
 
 
 @dataclass
@@ -40,10 +48,7 @@ class _Search:
         return cond
 
     def sketch(self) -> Column:
-        q = self.rank / max(self.size - 1, 1)
-        slack = 2.0 / ACCURACY
-        probs = [max(0.0, q - slack), min(1.0, q + slack)]
-        return F.percentile_approx(F.when(self.inside(), self.x), probs, ACCURACY)
+        return _bracket(F.when(self.inside(), self.x), self.rank / max(self.size - 1, 1))
 
     def narrow(self, a: float, b: float, below: int, at_a: int, mid: int, at_b: int) -> None:
         """Move to the part that holds the rank."""
@@ -62,29 +67,59 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float], limit: int = 100_000
+    df: DataFrame,
+    exprs: Mapping[str, Column],
+    probs: Sequence[float],
+    limit: int = 100_000,
+    extra: Mapping[str, Column] | None = None,
+    found: dict | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per expression; NULL and NaN are left out."""
+    """Linear-interpolated quantiles per expression; NULL and NaN are left out.
+
+    ``extra`` aggregates ride along in the first pass; their values go to ``found``.
+    """
+    out: dict[str, list[float | None]] = {}
     names = list(exprs)
-    values = {c: clean(exprs[c]) for c in names}
-    counts = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(names)}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names if sizes[c] == 0}
+    step = max(1, BATCH // max(len(probs), 1))
+    for at in range(0, len(names), step):
+        part = {c: clean(exprs[c]) for c in names[at : at + step]}
+        out.update(_quantiles(df, part, probs, limit, extra if at == 0 else None, found))
+    if extra and not names:
+        found.update(df.agg(*[c.alias(n) for n, c in extra.items()]).first().asDict())
+    return out
 
-    small = [c for c in names if 0 < sizes[c] <= limit]
-    if small:
-        row = df.agg(*[F.percentile(values[c], list(probs)).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
 
-    large = [c for c in names if sizes[c] > limit]
+def _quantiles(df, values: dict[str, Column], probs, limit, extra, found) -> dict[str, list[float | None]]:
+    names = list(values)
+    aggs = [F.count(x).alias(f"n{i}") for i, x in enumerate(values.values())]
+    aggs += [_bracket(x, p).alias(f"s{i}_{j}") for i, x in enumerate(values.values()) for j, p in enumerate(probs)]
+    first = df.agg(*aggs, *[c.alias(f"x_{n}") for n, c in (extra or {}).items()]).first()
+    if extra:
+        found.update({n: first[f"x_{n}"] for n in extra})
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(names)}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names if sizes[c] == 0}
+
     searches: dict[tuple[str, int], _Search] = {}
-    for c in large:
-        for p in probs:
+    ends: dict[tuple[str, int], tuple[float, float]] = {}
+    for i, c in enumerate(names):
+        if sizes[c] == 0:
+            continue
+        for j, p in enumerate(probs):
             pos = p * (sizes[c] - 1)
             for rank in {math.floor(pos), math.ceil(pos)}:
                 searches[c, rank] = _Search(values[c], rank, sizes[c])
-    _resolve(df, list(searches.values()), limit)
-    for c in large:
+                ends[c, rank] = tuple(first[f"s{i}_{j}"])
+    todo = list(searches)
+    _pass(df, [searches[k] for k in todo], [ends[k] for k in todo], limit)
+    while True:
+        left = [s for s in searches.values() if s.answer is None]
+        if not left:
+            break
+        row = df.agg(*[s.sketch().alias(f"s{i}") for i, s in enumerate(left)]).first()
+        _pass(df, left, [tuple(row[f"s{i}"]) for i in range(len(left))], limit)
+    for c in names:
+        if sizes[c] == 0:
+            continue
         out[c] = []
         for p in probs:
             pos = p * (sizes[c] - 1)
@@ -93,35 +128,24 @@ def exact_quantiles(
     return out
 
 
-def _resolve(df: DataFrame, searches: list[_Search], limit: int) -> None:
-    while True:
-        todo = [s for s in searches if s.answer is None]
-        if not todo:
-            return
-        few = [s for s in todo if s.size <= limit]
-        if few:
-            row = df.agg(
-                *[
-                    F.element_at(F.sort_array(F.collect_list(F.when(s.inside(), s.x))), s.rank + 1).alias(f"v{i}")
-                    for i, s in enumerate(few)
-                ]
-            ).first()
-            for i, s in enumerate(few):
-                s.answer = row[f"v{i}"]
-            todo = [s for s in todo if s.answer is None]
-            if not todo:
-                return
-        row = df.agg(*[s.sketch().alias(f"s{i}") for i, s in enumerate(todo)]).first()
-        ends = [(row[f"s{i}"][0], row[f"s{i}"][1]) for i in range(len(todo))]
-        aggs = []
-        for i, (s, (a, b)) in enumerate(zip(todo, ends)):
-            inside = s.inside()
-            aggs += [
-                F.count_if(inside & (s.x < a)).alias(f"below{i}"),
-                F.count_if(inside & (s.x == a)).alias(f"a{i}"),
-                F.count_if(inside & (s.x > a) & (s.x < b)).alias(f"mid{i}"),
-                F.count_if(inside & (s.x == b) & (s.x > a)).alias(f"b{i}"),
-            ]
-        row = df.agg(*aggs).first()
-        for i, (s, (a, b)) in enumerate(zip(todo, ends)):
-            s.narrow(a, b, row[f"below{i}"], row[f"a{i}"], row[f"mid{i}"], row[f"b{i}"])
+def _pass(df: DataFrame, todo: list[_Search], ends: list[tuple[float, float]], limit: int) -> None:
+    """Count around every bracket, and read the answer off its inside where that is small."""
+    aggs = []
+    for i, (s, (a, b)) in enumerate(zip(todo, ends)):
+        inside = s.inside()
+        below, at_a = F.count_if(inside & (s.x < a)), F.count_if(inside & (s.x == a))
+        mid = inside & (s.x > a) & (s.x < b)
+        aggs += [
+            below.alias(f"below{i}"),
+            at_a.alias(f"a{i}"),
+            F.count_if(mid).alias(f"mid{i}"),
+            F.count_if(inside & (s.x == b) & (s.x > a)).alias(f"b{i}"),
+        ]
+        if s.size * INSIDE_SHARE <= limit:
+            place = (F.lit(s.rank) - below - at_a).cast("int")
+            aggs.append(F.get(F.sort_array(F.collect_list(F.when(mid, s.x))), place).alias(f"v{i}"))
+    row = df.agg(*aggs).first().asDict()
+    for i, (s, (a, b)) in enumerate(zip(todo, ends)):
+        s.narrow(a, b, row[f"below{i}"], row[f"a{i}"], row[f"mid{i}"], row[f"b{i}"])
+        if s.answer is None and (s.lo, s.hi) == (a, b) and row.get(f"v{i}") is not None:
+            s.answer = row[f"v{i}"]

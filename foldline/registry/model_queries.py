@@ -254,7 +254,7 @@ def small_rows(spark, sf) -> DataFrame:
 
 
 def _stack_scores(spark, sf, passthrough: bool) -> DataFrame:
-    rows = small_rows(spark, sf).persist()
+    rows = small_rows(spark, sf)
     stack = stack_from(build_preset(1), SMALL, k=3)
     stack.passthrough = passthrough
     model = fit_preprocessed_stack(rows.where(F.col("dataset") == "train"), ROLES, stack, "row_key")
@@ -275,7 +275,7 @@ def q_stack_passthrough(spark, sf):
 @query("fit_fixed_params")
 def q_fit_fixed_params(spark, sf):
     """Parameters from a JSON table, one stack per target, no search."""
-    rows = small_rows(spark, sf).withColumn("tax_due", F.col("charge") * F.col("tax")).persist()
+    rows = small_rows(spark, sf).withColumn("tax_due", F.col("charge") * F.col("tax"))
     targets = {"charge": ["qty", "price", "disc", "tax"], "tax_due": ["price", "disc", "tax"]}
     path = f"{shared_dir(spark)}/params-{uuid.uuid4().hex}"
     per_target = rows.agg(F.count("*").alias("n")).select(
@@ -295,7 +295,7 @@ def q_fit_fixed_params(spark, sf):
 def _learner(spark, sf, name: str, params: dict) -> DataFrame:
     rows = small_rows(spark, sf)
     pre = Preprocessor(ROLES).fit(rows.where(F.col("dataset") == "train"))
-    scaled = pre.transform(rows).select("row_key", "dataset", "y", *pre.columns).persist()
+    scaled = pre.transform(rows).select("row_key", "dataset", "y", *pre.columns)
     model = fit_learner(name, params, scaled.where(F.col("dataset") == "train"), pre.columns)
     return model.transform(scaled).select("row_key", "dataset", r(F.col("prediction"), 2).alias("p"))
 
@@ -360,7 +360,7 @@ def q_cv_search_refit(spark, sf):
     """Cross-validated search by -MAE, refit, scored on the hold-out."""
     rows = small_rows(spark, sf)
     pre = Preprocessor(ROLES).fit(rows.where(F.col("dataset") == "train"))
-    three = with_folds(pre.transform(rows), "row_key", k=3, seed=44, name="cv").persist()
+    three = with_folds(pre.transform(rows), "row_key", k=3, seed=44, name="cv")
     grid = [{"n_estimators": 5, "max_depth": d, "learning_rate": 0.3} for d in (2, 4)]
     model, scores, best = cv_search(three.where(F.col("dataset") == "train"), pre.columns, "XGBRegressor", grid, fold="cv")
     from pyspark.ml.feature import VectorAssembler

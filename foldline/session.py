@@ -52,3 +52,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives in fewer pieces than there are cores.
+
+    A small table in one file is one task otherwise. Large tables come in many
+    pieces and pass through unchanged, without a shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
