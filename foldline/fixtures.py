@@ -49,7 +49,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     Trial numbers are counted per (user, day) with carried offsets, so a busy
     user's events are not sorted in one task.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     numbered = row_numbers(ev, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "__n")
     state = F.when(F.col("event_type") == "signup", "PRUNED").when(F.col("event_type") == "error", "FAIL").otherwise("COMPLETE")
     return numbered.select(

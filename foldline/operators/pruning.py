@@ -30,14 +30,24 @@ def _with_best(reported: DataFrame) -> DataFrame:
     return reported.withColumn("best", F.min("step_value").over(w))
 
 
-def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces: int = 32) -> DataFrame:
+def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces: int = 32, split_above: int = 100_000) -> DataFrame:
     """For each ask (study, step, trial, x): among values (study, step, trial, x) of
     smaller trial numbers, ``m`` in all, ``below`` under x, the largest under x
-    (``lo``) and the smallest not under x (``hi``)."""
-    probs = [i / pieces for i in range(1, pieces)]
-    edges = values.groupBy(*GROUP).agg(F.percentile_approx("x", probs, 10_000).alias("edges"))
+    (``lo``) and the smallest not under x (``hi``). Only groups of more than
+    ``split_above`` values are cut into value ranges."""
+    large = values.groupBy(*GROUP).count().where(F.col("count") > split_above)
+    split = not large.isEmpty()
+    if split:
+        probs = [i / pieces for i in range(1, pieces)]
+        edges = (
+            values.join(large, GROUP, "left_semi")
+            .groupBy(*GROUP)
+            .agg(F.percentile_approx("x", probs, 10_000).alias("edges"))
+        )
 
     def placed(df: DataFrame) -> DataFrame:
+        if not split:
+            return df.withColumn("range", F.lit(0))
         found = F.coalesce(F.expr("size(filter(edges, e -> e < x))"), F.lit(0))
         return df.join(edges, GROUP, "left").withColumn("range", found).drop("edges")
 
@@ -56,10 +66,18 @@ def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces:
         F.sum("is_value").over(up).alias("below"),
         F.max(own).over(up).alias("lo"),
         F.min(own).over(down).alias("hi"),
+        F.sum("is_value").over(W.partitionBy(*CELL)).alias("in_block"),
     ).where(F.col("is_value") == 0)
-    cells = rows.groupBy(*CELL).agg(
-        F.sum("is_value").alias("n"), F.max(own).alias("top"), F.min(own).alias("bottom")
+    if split:
+        inside = _with_carry(inside.drop("in_block"), rows.withColumn("own", own))
+    return inside.groupBy("study", "trial", "step").agg(
+        F.sum("in_block").alias("m"), F.sum("below").alias("below"), F.max("lo").alias("lo"), F.min("hi").alias("hi")
     )
+
+
+def _with_carry(inside: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add what the other value ranges of a block contribute."""
+    cells = rows.groupBy(*CELL).agg(F.sum("is_value").alias("n"), F.max("own").alias("top"), F.min("own").alias("bottom"))
     block = W.partitionBy(*BLOCK)
     before = block.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     after = block.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
@@ -70,19 +88,18 @@ def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces:
         F.max("top").over(before).alias("lo_before"),
         F.min("bottom").over(after).alias("hi_after"),
     )
-    return (
-        null_safe_join(inside, carry, CELL)
-        .groupBy("study", "trial", "step")
-        .agg(
-            F.sum("in_block").alias("m"),
-            F.sum(F.col("below") + F.col("n_before")).alias("below"),
-            F.max(F.greatest("lo", "lo_before")).alias("lo"),
-            F.min(F.least("hi", "hi_after")).alias("hi"),
-        )
+    return null_safe_join(inside, carry, CELL).select(
+        "study",
+        "trial",
+        "step",
+        "in_block",
+        (F.col("below") + F.col("n_before")).alias("below"),
+        F.greatest("lo", "lo_before").alias("lo"),
+        F.least("hi", "hi_after").alias("hi"),
     )
 
 
-def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmup: int = 2) -> DataFrame:
+def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmup: int = 2, split_above: int = 100_000) -> DataFrame:
     """(study, trial, step, best, pruned) for every reported value from step ``warmup`` on."""
     done = trials.where(F.col("state") == COMPLETE).select("study", "trial")
     tagged = _with_best(reported)
@@ -91,7 +108,7 @@ def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmu
     )
     asks = tagged.where(F.col("step") >= warmup).select("study", "step", "trial", F.col("best").alias("x"))
     last = trials.agg(F.max("trial")).first()[0] or 0
-    ranks = earlier_value_ranks(values, asks, max(1, int(last).bit_length()))
+    ranks = earlier_value_ranks(values, asks, max(1, int(last).bit_length()), split_above=split_above)
     half = F.floor(F.col("m") / 2)
     above = (
         F.when(F.col("m") < startup, F.lit(False))

@@ -19,6 +19,7 @@ from foldline.operators.learners import tree_estimator
 from foldline.operators.space import Param, Preset, sample_params, stack_from, value_at
 from foldline.operators.stack import fit_preprocessed_stack
 from foldline.operators.studies import COMPLETE, FAIL, PRUNED, in_state
+from foldline.session import stage_table
 
 TRIAL_SCHEMA = T.StructType(
     [
@@ -189,7 +190,7 @@ def space_of(spark: SparkSession, space: Sequence[Param]) -> DataFrame:
 
 def stack_objective(
     df: DataFrame, roles: dict[str, str], preset: Preset, key: str, label: str = "y", fold: str = "fold", k: int = 5,
-    inner: int = 5, on_fold: Callable[[int, Any], None] | None = None,
+    inner: int = 5,
 ) -> Objective:
     """Mean fold MAE of a preset's stack, reported after each outer fold."""
 
@@ -216,6 +217,7 @@ def tune(
     label: str = "y",
     fold: str = "fold",
     k: int = 5,
+    inner: int = 5,
     n_trials: int = 30,
     space: Sequence[Param] | None = None,
     study: Study | None = None,
@@ -225,13 +227,11 @@ def tune(
 ) -> Study:
     """Search a preset's parameters on the rows of ``df``; pass a study to go on with it."""
     space = preset.space if space is None else space
-    rows = df.persist()
-    try:
-        objective = stack_objective(rows, roles, preset, key, label, fold, k)
-        propose = random_proposals(space, seed) if sampler == "random" else tpe_proposals(df.sparkSession, space, seed)
-        return run_trials(study or Study(name), objective, propose, n_trials, **rules)
-    finally:
-        rows.unpersist()
+    # Every fold of every trial scans these rows, over hours.
+    rows = stage_table(df.select(*dict.fromkeys([key, label, fold, *roles])), "tune")
+    objective = stack_objective(rows, roles, preset, key, label, fold, k, inner)
+    propose = random_proposals(space, seed) if sampler == "random" else tpe_proposals(df.sparkSession, space, seed)
+    return run_trials(study or Study(name), objective, propose, n_trials, **rules)
 
 
 def cv_search(

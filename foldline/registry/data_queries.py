@@ -14,6 +14,7 @@ from foldline.operators.preprocess import Preprocessor, most_frequent, transform
 from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.roles import column_roles, features_by_target, usable_targets
 from foldline.operators.splits import stratified_split, with_folds, with_split
+from foldline.session import stage_table
 from foldline.registry.base import FEATURE_ROWS, SPLIT_ROWS, hash_sql, query, rnd
 
 
@@ -21,8 +22,10 @@ def split_rows(spark, sf) -> DataFrame:
     return with_folds(with_split(fx.feature_rows(spark, sf), "row_key"), "row_key")
 
 
-def train_rows(spark, sf) -> DataFrame:
-    return split_rows(spark, sf).where(F.col("dataset") == "train")
+def prepared(spark, sf, *cols: str) -> DataFrame:
+    """Split rows staged once: fits scan them several times, and 'train' is a partition."""
+    rows = split_rows(spark, sf).select("row_key", "fold", *cols, "dataset")
+    return stage_table(rows, "rows", ["dataset"])
 
 
 @query(
@@ -90,7 +93,7 @@ def q_features_by_target(spark, sf):
     union all select 'const1', count(const1), count(distinct const1) >= 3 from feature_rows""",
 )
 def q_usable_targets(spark, sf):
-    rows = fx.feature_rows(spark, sf)
+    rows = stage_table(fx.feature_rows(spark, sf).select("charge", "unit_price", "retail", "disc", "qty", "status", "const1"), "rows")
     names = ["charge", "unit_price", "retail", "disc", "qty", "status", "const1"]
     usable = usable_targets(rows, names)
     counts = rows.agg(*[F.count(c).alias(c) for c in names])
@@ -169,7 +172,8 @@ def q_group_folds(spark, sf):
     from split_rows where dataset = 'train' group by 1, 2""",
 )
 def q_nested_fold_sizes(spark, sf):
-    inner = with_folds(train_rows(spark, sf), "row_key", seed=1043, name="inner_fold")
+    train = split_rows(spark, sf).where(F.col("dataset") == "train")
+    inner = with_folds(train, "row_key", seed=1043, name="inner_fold")
     return inner.groupBy("fold", "inner_fold").agg(F.count("*").alias("n"))
 
 
@@ -188,7 +192,8 @@ def q_nested_fold_sizes(spark, sf):
     select row_key, bin, case when rk <= ceil(n * 0.2::double) then 'test' else 'train' end as dataset from ranked""",
 )
 def q_stratified_split(spark, sf):
-    return stratified_split(fx.feature_rows(spark, sf).select("row_key", "charge"), "row_key", "charge").drop("charge")
+    rows = stage_table(fx.feature_rows(spark, sf).select("row_key", "charge"), "rows")
+    return stratified_split(rows, "row_key", "charge").drop("charge")
 
 
 # Preprocessing
@@ -203,7 +208,7 @@ def q_stratified_split(spark, sf):
     from split_rows, med""",
 )
 def q_impute_median(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, "qty", "price")
     model = Preprocessor({"qty": "num", "price": "num"}).fit(rows.where(F.col("dataset") == "train"))
     return rows.select(
         "row_key",
@@ -221,7 +226,7 @@ def q_impute_median(spark, sf):
     select row_key, coalesce(brand_gap, fill) as brand_gap, n_fill from split_rows, top""",
 )
 def q_impute_mode(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, "brand_gap")
     train = rows.where(F.col("dataset") == "train")
     model = Preprocessor({"brand_gap": "cat"}).fit(train)
     n = most_frequent(train, ["brand_gap"]).first()["n"]
@@ -229,7 +234,7 @@ def q_impute_mode(spark, sf):
 
 
 def _scaled(spark, sf, roles, scaler="minmax") -> DataFrame:
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, *roles)
     model = Preprocessor(roles, scaler).fit(rows.where(F.col("dataset") == "train"))
     out = model.transform(rows)
     return out.select("row_key", *[r(F.col(c), 6).alias(c) for c in model.columns])
@@ -305,7 +310,7 @@ def q_robust_scale(spark, sf):
     from split_rows, top""",
 )
 def q_one_hot(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, "flag", "brand_gap")
     train = rows.where(F.col("dataset") == "train")
     flags = Preprocessor({"flag": "cat"}).fit(train)
     # Fitted on some brands only: the others are unknown and give all zeros.
@@ -330,7 +335,7 @@ def q_one_hot(spark, sf):
     from train join stats on fold = k""",
 )
 def q_fold_safe_scaling(spark, sf):
-    rows = train_rows(spark, sf).select("row_key", "fold", "qty", "charge")
+    rows = prepared(spark, sf, "qty", "charge").where(F.col("dataset") == "train")
     models = Preprocessor({"qty": "num", "charge": "log"}).fit_by_fold(rows, "fold", 5)
     out = transform_by_fold(rows, models, "fold")
     return out.select("row_key", "fold", *[r(F.col(c), 6).alias(c) for c in ("qty__num", "charge__log")])
@@ -357,7 +362,8 @@ preds as (
 
 
 def banded(spark, sf) -> DataFrame:
-    return split_rows(spark, sf).withColumn("band", F.floor(F.col("price") / 10000))
+    rows = prepared(spark, sf, "price", "disc", "flag", "charge", "unit_price")
+    return rows.withColumn("band", F.floor(F.col("price") / 10000))
 
 
 def oof_rows(spark, sf) -> DataFrame:
@@ -493,7 +499,7 @@ def q_scores_sorted(spark, sf):
     from feature_rows group by flag""",
 )
 def q_exact_quantiles(spark, sf):
-    rows = fx.feature_rows(spark, sf).select("flag", "charge", "qty")
+    rows = stage_table(fx.feature_rows(spark, sf).select("flag", "charge", "qty"), "rows")
     flags = [x["flag"] for x in rows.select("flag").distinct().orderBy("flag").collect()]
     exprs = {f"{c}|{f}": F.when(F.col("flag") == f, F.col(c)) for f in flags for c in ("charge", "qty")}
     found = exact_quantiles(rows, exprs, [0.25, 0.5, 0.9], limit=500)

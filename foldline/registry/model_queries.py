@@ -21,8 +21,8 @@ from foldline.operators.stack import Member, Stack, fit_preprocessed_stack
 from foldline.functions.metrics import regression_metrics
 from foldline.plans.fixed import fit_with_params
 from foldline.registry.base import SPLIT_ROWS, query, rnd
-from foldline.registry.data_queries import BANDED, ROUNDED, SCORES, banded, split_rows, _rounded_scores
-from foldline.session import shared_dir
+from foldline.registry.data_queries import BANDED, ROUNDED, SCORES, banded, prepared, _rounded_scores
+from foldline.session import shared_dir, spread
 from foldline.sources.bundle import Bundle, TargetMeta, load_bundle, save_bundle, score_batch
 from foldline.sources.params import load_params, save_params
 from foldline.streaming.scoring import score_stream, write_available
@@ -58,7 +58,7 @@ def ridge_sql(name: str, source: str, keys: str) -> str:
 
 
 def linear_rows(spark, sf) -> DataFrame:
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, "flag", "status", "brand", "ptype", "price", "disc", "charge")
     model = Preprocessor({"price": "num", "disc": "exp"}).fit(rows.where(F.col("dataset") == "train"))
     return model.transform(rows).withColumn("y", F.col("charge"))
 
@@ -140,8 +140,8 @@ GROUP_MODELS = f"""{LINEAR},
     {ridge_sql('f', 't', '')}"""
 
 
-def group_models(spark, sf) -> DataFrame:
-    return gr.fit_groups(linear_train(spark, sf), X, "y", ["brand", "ptype"], 1.0, min_rows=300)
+def group_models(train: DataFrame) -> DataFrame:
+    return gr.fit_groups(train, X, "y", ["brand", "ptype"], 1.0, min_rows=300)
 
 
 @query(
@@ -149,7 +149,7 @@ def group_models(spark, sf) -> DataFrame:
     f"with {GROUP_MODELS} select brand, ptype, n::bigint as n, {rnd('b0', 3)} as b0, {rnd('b1', 3)} as b1, {rnd('b2', 3)} as b2 from w",
 )
 def q_group_linear_models(spark, sf):
-    return _coefs(group_models(spark, sf), "brand", "ptype", "n")
+    return _coefs(group_models(linear_train(spark, sf)), "brand", "ptype", "n")
 
 
 @query(
@@ -160,8 +160,10 @@ def q_group_linear_models(spark, sf):
     from lin cross join f left join w on w.brand = lin.brand and w.ptype = lin.ptype""",
 )
 def q_group_routing(spark, sf):
-    fallback = gr.fit_global(linear_train(spark, sf), X, "y")
-    routed = gr.route_to_group(linear_rows(spark, sf), group_models(spark, sf), ["brand", "ptype"], X, fallback)
+    rows = linear_rows(spark, sf)
+    train = rows.where(F.col("dataset") == "train")
+    fallback = gr.fit_global(train, X, "y")
+    routed = gr.route_to_group(rows, group_models(train), ["brand", "ptype"], X, fallback)
     return routed.select("row_key", "routed", r(F.col("p"), 2).alias("p"))
 
 
@@ -249,8 +251,7 @@ SMALL = {"rf_n_estimators": 5, "rf_max_depth": 4, "gbr_n_estimators": 5, "gbr_ma
 
 
 def small_rows(spark, sf) -> DataFrame:
-    cols = ["row_key", "dataset", "fold", *ROLES, "charge"]
-    return split_rows(spark, sf).select(*cols).withColumn("y", F.col("charge"))
+    return prepared(spark, sf, *ROLES, "charge").withColumn("y", F.col("charge"))
 
 
 def _stack_scores(spark, sf, passthrough: bool) -> DataFrame:
@@ -393,7 +394,7 @@ def _linear_bundle(spark, train: DataFrame, roles: dict[str, str], target: str,
 
 @query("score_batch", f"with {RIDGE_ROWS} select row_key, {rnd('b0 + b1 * x1 + b2 * x2', 1)} as pred_charge from lin, w")
 def q_score_batch(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = prepared(spark, sf, "price", "disc", "charge")
     bundle = _linear_bundle(spark, rows.where(F.col("dataset") == "train"), {"price": "num", "disc": "exp"}, "charge", 5.0)
     scored = score_batch(bundle, rows.select("row_key", "price", "disc"))
     return scored.select("row_key", r(F.col("pred_charge"), 1).alias("pred_charge"))
@@ -424,7 +425,7 @@ def _line_items(df: DataFrame) -> DataFrame:
 def q_score_stream(spark, sf):
     """The line-item files read as a stream and scored with a saved model."""
     static = fx.table(spark, sf, "lineitem")
-    bundle = _linear_bundle(spark, _line_items(static), {"price": "num", "disc": "exp"}, "charge", 5.0)
+    bundle = _linear_bundle(spark, _line_items(spread(static)), {"price": "num", "disc": "exp"}, "charge", 5.0)
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf)
     scored = score_stream(bundle, _line_items(stream).drop("charge"))
     base = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"

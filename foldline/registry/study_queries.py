@@ -10,6 +10,7 @@ from foldline.operators import reports, space as sp, studies as st
 from foldline.operators.pruning import first_prune, median_prune
 from foldline.operators.search import propose_tpe, space_of
 from foldline.registry.base import STEPS, STUDIES, TRIALS, query, rnd
+from foldline.session import stage_table
 from foldline.sources.params import missing_targets
 
 TOL = 5.0  # the smallest value in the history is 0.01, so the stop rules get a wide tolerance
@@ -27,6 +28,11 @@ COUNTS = """counts as (
          count(*) filter (where state = 'FAIL') as n_fail, count(*) as n_total from trials group by study)"""
 
 
+def history_of(spark, sf):
+    """The history staged once, for queries that scan it several times."""
+    return stage_table(fx.trials(spark, sf).drop("raw_value", "event_id"), "trials")
+
+
 def flat_params(df, col="best_params"):
     return df.withColumn("p_k", F.element_at(col, "p_k")).withColumn("p_m", F.element_at(col, "p_m")).drop(col)
 
@@ -108,7 +114,7 @@ WINNERS = f"""{TRIALS}, {_best('target, study')},
     from winners w, overall o""",
 )
 def q_winner_guard(spark, sf):
-    history = fx.trials(spark, sf)
+    history = history_of(spark, sf)
     per_group = st.study_best(history.where(F.col("study") != "study_0"), ["target", "study"])
     best = st.best_group(per_group, "target", "best_value", ["study"], ["best_params"])
     # One target's group search is made to end without a usable score.
@@ -193,7 +199,7 @@ def q_running_fold_mean(spark, sf):
     select study, trial, cast(min(step) as integer) as step from judged where m >= 5 and best > med group by 1, 2""",
 )
 def q_median_prune(spark, sf):
-    history = fx.trials(spark, sf)
+    history = stage_table(fx.trials(spark, sf).select("study", "trial", "state", "raw_value", "event_id"), "trials")
     return first_prune(median_prune(fx.trial_steps(history), history))
 
 
@@ -246,7 +252,7 @@ ALL_STOPS = f"""{BEST_BEFORE}, {_renamed(_streak_sql(PRUNED_HIT), 'a')}, {_renam
 
 @query("study_stop_trial", f"with {TRIALS}, {ALL_STOPS} select * from first_stop")
 def q_study_stop_trial(spark, sf):
-    return st.stop_trial(fx.trials(spark, sf), tol=TOL)
+    return st.stop_trial(history_of(spark, sf), tol=TOL)
 
 
 @query(
@@ -260,7 +266,7 @@ def q_study_stop_trial(spark, sf):
     from studies s join fin using (study) left join first_stop f on f.study = s.study""",
 )
 def q_lowered_goals(spark, sf):
-    history = fx.trials(spark, sf)
+    history = history_of(spark, sf)
     goals = st.lowered_goals(history, fx.studies(history), st.stop_trial(history, tol=TOL))
     return goals.select("study", "finished", "goal", "new_goal")
 

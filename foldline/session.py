@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    For tables that many jobs scan (every fold of every trial): the lineage is
-    cut, a lost executor costs one re-read, and each job still prunes columns.
+    For tables that several jobs scan (joins, hashes and splits behind every
+    pass of a fit): the work is done once, the lineage is cut, a lost executor
+    costs one re-read, and each job still prunes columns and partitions. The
+    folder is scratch space of the run.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame) -> DataFrame:
