@@ -66,11 +66,11 @@ def param_slice(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:
 
 def param_importance(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:
     """Absolute correlation of each parameter with the value; 0 where either is constant."""
-    strength = F.abs(F.corr("pvalue", "value"))
-    out = _long_params(trials, by).groupBy(*by, "param").agg(
-        F.when(~F.isnan(strength), strength).alias("importance"), F.count("*").alias("n_trials")
+    spread = F.stddev_pop("pvalue") * F.stddev_pop("value")
+    strength = F.abs(F.try_divide(F.covar_pop("pvalue", "value"), spread))
+    return _long_params(trials, by).groupBy(*by, "param").agg(
+        F.coalesce(strength, F.lit(0.0)).alias("importance"), F.count("*").alias("n_trials")
     )
-    return out.withColumn("importance", F.coalesce("importance", F.lit(0.0)))
 
 
 def top_params(trials: DataFrame, by: Sequence[str] = ("study",), n: int = 2) -> DataFrame:

@@ -68,7 +68,8 @@ class Study:
         return min(done, key=lambda t: (t.value, t.number))
 
     def trials_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.name, t.number, t.state, t.value, t.params) for t in self.trials], TRIAL_SCHEMA)
+        rows = [(self.name, t.number, t.state, t.value, {k: float(v) for k, v in t.params.items()}) for t in self.trials]
+        return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
     def steps_df(self, spark: SparkSession) -> DataFrame:
         rows = [(self.name, t.number, i, v) for t in self.trials for i, v in enumerate(t.steps, 1)]

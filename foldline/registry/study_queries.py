@@ -344,7 +344,7 @@ def q_top_params(spark, sf):
     from pts join ends using (study) group by 1, 2, 3, 4, 5""",
 )
 def q_param_contour(spark, sf):
-    return reports.param_contour(fx.trials(spark, sf)).withColumn("mean_value", r(F.col("mean_value"), 6))
+    return reports.param_contour(history_of(spark, sf)).withColumn("mean_value", r(F.col("mean_value"), 6))
 
 
 @query("intermediate_values", f"with {STEPS} select study, trial, step, {rnd('step_value', 6)} as step_value, state from trial_steps join trials using (study, trial)")
@@ -453,5 +453,5 @@ HISTORY_SPACE = [sp.real("p_k", 1.0, 100.0, log=True), sp.whole("p_m", 0, 6)]
       select *, row_number() over (partition by study, param order by score desc, cand) as rk from scored) where rk = 1""",
 )
 def q_propose_tpe(spark, sf):
-    proposals = propose_tpe(fx.trials(spark, sf), space_of(spark, HISTORY_SPACE))
+    proposals = propose_tpe(history_of(spark, sf), space_of(spark, HISTORY_SPACE))
     return proposals.select("study", "param", r(F.col("draw"), 6).alias("draw"))
