@@ -348,17 +348,20 @@ banded as (select *, cast(floor(price / 10000) as bigint) as band from split_row
 train as (select * from banded where dataset = 'train'),
 bf as (select band, fold, sum(charge) as s, count(*) as n from train group by 1, 2),
 b as (select band, sum(s) as s, sum(n) as n from bf group by 1),
+ff as (select fold, sum(s) as s, sum(n) as n from bf group by 1),
 oof as (
-  select t.*, (b.s - bf.s) / nullif(b.n - bf.n, 0) as p from train t
-  join bf on bf.band = t.band and bf.fold = t.fold join b on b.band = t.band),
+  select t.*, coalesce((b.s - bf.s) / nullif(b.n - bf.n, 0),
+                       ((select sum(s) from ff) - ff.s) / ((select sum(n) from ff) - ff.n)) as p
+  from train t join bf on bf.band = t.band and bf.fold = t.fold join b on b.band = t.band join ff on ff.fold = t.fold),
+quantized as (select *, floor(price / unit_price + 0.5::double) as q from banded),
+general as (select avg(charge) as g_charge, avg(unit_price) as g_unit from train),
 preds as (
-  select row_key, 'charge' as target, dataset, flag, fold, charge as y, m as p
-  from banded join (select band, avg(charge) as m from train group by 1) using (band)
+  select row_key, 'charge' as target, dataset, flag, fold, charge as y, coalesce(m, g_charge) as p
+  from general, banded left join (select band, avg(charge) as m from train group by 1) using (band)
   union all
-  select row_key, 'unit_price', dataset, flag, fold, unit_price, m
-  from banded join (select l_quantity as q, avg(unit_price) as m
-                    from (select *, price / unit_price as l_quantity from banded where dataset = 'train') group by 1)
-  on q = price / unit_price)"""
+  select row_key, 'unit_price', dataset, flag, fold, unit_price, coalesce(m, g_unit)
+  from general, quantized left join (
+    select q, avg(unit_price) as m from quantized where dataset = 'train' group by 1) using (q))"""
 
 
 def banded(spark, sf) -> DataFrame:
@@ -373,7 +376,7 @@ def oof_rows(spark, sf) -> DataFrame:
 
 def predictions(spark, sf) -> DataFrame:
     """Long hold-out predictions of two targets by group means."""
-    rows = banded(spark, sf).withColumn("q", F.col("price") / F.col("unit_price"))
+    rows = banded(spark, sf).withColumn("q", F.floor(F.col("price") / F.col("unit_price") + 0.5))
     train = rows.where(F.col("dataset") == "train")
     parts = []
     for target, keys in (("charge", ["band"]), ("unit_price", ["q"])):
@@ -398,7 +401,7 @@ def q_oof_group_mean(spark, sf):
 
 @query(
     "regression_metrics",
-    f"with {BANDED}, s as (select flag, count(*) as n, {SCORES} from oof cross join (select 1) where true group by flag) "
+    f"with {BANDED}, s as (select flag, count(*) as n, {SCORES} from oof group by flag) "
     f"select flag, n, {ROUNDED} from s".replace("y - p", "charge - p").replace("var_pop(y)", "var_pop(charge)"),
 )
 def q_regression_metrics(spark, sf):

@@ -234,9 +234,9 @@ def _stack_linear(spark, sf) -> DataFrame:
     g as (select 1.0::double as alpha, {SUMS} from lin),
     {ridge_sql('w', 'g', '')},
     final as (
-      select dataset, charge as y, b0 + b1 * bm + b2 * dm as p from banded
-      join (select band, avg(charge) as bm from train group by 1) using (band)
-      join (select disc, avg(charge) as dm from train group by 1) using (disc), w),
+      select dataset, charge as y, b0 + b1 * coalesce(bm, g_charge) + b2 * coalesce(dm, g_charge) as p
+      from general, w, banded left join (select band, avg(charge) as bm from train group by 1) using (band)
+      left join (select disc, avg(charge) as dm from train group by 1) using (disc)),
     s as (select dataset, count(*) as n, {SCORES} from final group by 1)
     select dataset, n, {ROUNDED} from s""",
 )
