@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldline.operators.scans import null_safe_join
+from foldline.session import sized
 
 
 def oof_group_mean(df: DataFrame, keys: Sequence[str], y: str, fold: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def oof_group_mean(df: DataFrame, keys: Sequence[str], y: str, fold: str, name:
         if n > r["n"]:
             general = F.when(F.col(fold) == r[fold], F.lit((s - (r["s"] or 0.0)) / (n - r["n"]))).otherwise(general)
     own = F.when(F.col("__no") > 0, F.col("__so") / F.col("__no"))
-    joined = null_safe_join(df, outside, [*keys, fold])
+    joined = null_safe_join(df, sized(outside), [*keys, fold])
     return joined.withColumn(name, F.coalesce(own, general)).drop("__so", "__no")
 
 
@@ -43,5 +44,5 @@ def fit_group_mean(df: DataFrame, keys: Sequence[str], y: str) -> tuple[DataFram
 
 def predict_group_mean(df: DataFrame, model: tuple[DataFrame, float], keys: Sequence[str], name: str) -> DataFrame:
     means, general = model
-    joined = null_safe_join(df, means, keys, "left")
+    joined = null_safe_join(df, sized(means), keys, "left")
     return joined.withColumn(name, F.coalesce(F.col("mean"), F.lit(general))).drop("mean")

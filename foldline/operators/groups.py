@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from foldline.operators.gram import gram, linear_prediction, outside_fold, solve_ridge
 from foldline.operators.scans import null_safe_join
 from foldline.operators.studies import best_group
+from foldline.session import sized
 
 MIN_GROUP_ROWS = 7  # five outer folds of five inner folds need seven rows
 FULL_BUDGET_ROWS = 25
@@ -48,7 +49,7 @@ def route_to_group(
     A left equi join on the group keys; Spark broadcasts the models when they
     are small and splits skewed groups otherwise.
     """
-    joined = null_safe_join(df, models.select(*keys, "intercept", "coef"), keys, "left")
+    joined = null_safe_join(df, sized(models.select(*keys, "intercept", "coef")), keys, "left")
     intercept = F.coalesce(F.col("intercept"), F.lit(fallback[0]))
     coef = F.coalesce(F.col("coef"), F.array(*[F.lit(float(v)) for v in fallback[1]]))
     return (
@@ -72,7 +73,7 @@ def cv_scores_by_alpha(
     solved = solve_ridge(big.where(F.col("n") >= min_rows), x, alphas, [*keys, fold])
     one = F.struct("alpha", "intercept", "coef")
     models = solved.groupBy(*keys, fold).agg(F.array_sort(F.collect_list(one)).alias("models"))
-    rows = null_safe_join(df.select(*keys, fold, y, *x), models, [*keys, fold])
+    rows = null_safe_join(df.select(*keys, fold, y, *x), sized(models), [*keys, fold])
     ordered = sorted(float(a) for a in alphas)
     errors = []
     for i in range(len(ordered)):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from foldline.functions.metrics import METRICS, regression_metrics
 from foldline.operators.scans import null_safe_join
 from foldline.operators.studies import COMPLETE, in_state
+from foldline.session import sized
 
 
 def holdout_report(pred: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def residual_histogram(pred: DataFrame, bins: int = 30, by: Sequence[str] = ("ta
     ends = rows.groupBy(*by).agg(F.min("residual").alias("lo"), F.max("residual").alias("hi"))
     width = F.col("hi") - F.col("lo")
     place = F.when(width > 0, F.floor((F.col("residual") - F.col("lo")) / width * bins)).otherwise(F.lit(bins // 2))
-    binned = null_safe_join(rows, ends, by).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
+    binned = null_safe_join(rows, sized(ends), by).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
     return binned.groupBy(*by, "bin").agg(
         F.count("*").alias("n"),
         F.min(F.col("lo") + F.col("bin") * width / bins).alias("left"),
@@ -85,7 +86,7 @@ def param_contour(trials: DataFrame, by: Sequence[str] = ("study",), bins: int =
         F.min_by("param", "rank").alias("px"), F.max_by("param", "rank").alias("py"), F.count("*").alias("k")
     )
     done = trials.where(in_state(COMPLETE) & F.col("value").isNotNull())
-    rows = null_safe_join(done, top.where(F.col("k") == 2).drop("k"), by).select(
+    rows = null_safe_join(done, sized(top.where(F.col("k") == 2).drop("k")), by).select(
         *by, "px", "py", "value",
         F.element_at("params", F.col("px")).alias("x"),
         F.element_at("params", F.col("py")).alias("y"),
@@ -98,7 +99,7 @@ def param_contour(trials: DataFrame, by: Sequence[str] = ("study",), bins: int =
         width = F.col(hi) - F.col(lo)
         return F.when(width > 0, F.least(F.floor((F.col(v) - F.col(lo)) / width * bins), F.lit(bins - 1))).otherwise(0)
 
-    binned = null_safe_join(rows, ends, by)
+    binned = null_safe_join(rows, sized(ends), by)
     return binned.groupBy(
         *by, "px", "py", cell("x", "x0", "x1").cast("int").alias("bx"), cell("y", "y0", "y1").cast("int").alias("by")
     ).agg(F.avg("value").alias("mean_value"), F.count("*").alias("n"))

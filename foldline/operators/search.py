@@ -19,7 +19,7 @@ from foldline.operators.learners import tree_estimator
 from foldline.operators.space import Param, Preset, sample_params, stack_from, value_at
 from foldline.operators.stack import fit_preprocessed_stack
 from foldline.operators.studies import COMPLETE, FAIL, PRUNED, in_state
-from foldline.session import stage_table
+from foldline.session import sized, stage_table
 
 TRIAL_SCHEMA = T.StructType(
     [
@@ -281,7 +281,7 @@ def propose_tpe(
     totals = done.groupBy(*by).agg(F.least(F.ceil(F.count("*") * 0.1), F.lit(top)).alias("n_good"))
     last = best.join(totals, list(by)).where(F.col("__r") == F.col("n_good"))
     cut = last.select(*by, F.struct("value", "trial").alias("cut"))
-    marked = done.join(cut, list(by)).withColumn("good", F.struct("value", "trial") <= F.col("cut"))
+    marked = done.join(sized(cut), list(by)).withColumn("good", F.struct("value", "trial") <= F.col("cut"))
     long = marked.select(*by, "good", F.explode("params").alias("param", "pvalue"))
     spaced = long.join(F.broadcast(space), "param")
     u = hash_unit(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("param"), F.col("cand").cast("string")))

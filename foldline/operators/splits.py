@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from foldline.functions.hashing import HASH_RANGE, as_list, hash32
 from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.scans import bucket_offsets, null_safe_join
+from foldline.session import sized
 
 
 def _label_by_rank(
@@ -29,7 +30,7 @@ def _label_by_rank(
     """Label rows by their hash rank; ``label(rank, total)`` must be monotone in rank."""
     cols = df.columns
     tagged = df.withColumn("__h", hash32(key, seed)).withColumn("__bucket", F.shiftright("__h", 32 - bits))
-    edges = bucket_offsets(tagged, by, "__bucket").select(
+    counts = bucket_offsets(tagged, by, "__bucket").select(
         *by,
         "__bucket",
         "__start",
@@ -37,7 +38,7 @@ def _label_by_rank(
         label(F.col("__start") + 1, F.col("__total")).alias("__first"),
         label(F.col("__start") + F.col("__cnt"), F.col("__total")).alias("__last"),
     )
-    joined = null_safe_join(tagged, edges, [*by, "__bucket"])
+    joined = null_safe_join(tagged, sized(counts), [*by, "__bucket"])
     settled = joined.where(F.col("__first") == F.col("__last")).select(*cols, F.col("__first").alias(name))
     w = W.partitionBy(*by, "__bucket").orderBy("__h", *as_list(key))
     rank = F.row_number().over(w) + F.col("__start")

@@ -57,6 +57,16 @@ def stage_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Write a join side that is expected to be small, so that Spark knows its size.
+
+    An aggregate's size is unknown when a join is planned, and the large side
+    would be shuffled for it. Read from files, the side is broadcast if it is
+    under Spark's own threshold, and joined by a shuffle if it is not.
+    """
+    return stage_table(df, "side")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a table that arrives in fewer pieces than there are cores.
 
