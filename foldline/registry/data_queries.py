@@ -507,7 +507,6 @@ def q_exact_quantiles(spark, sf):
     exprs = {f"{c}|{f}": F.when(F.col("flag") == f, F.col(c)) for f in flags for c in ("charge", "qty")}
     found = exact_quantiles(rows, exprs, [0.25, 0.5, 0.9], limit=500)
     counts = rows.groupBy("flag").count()
-    out = None
     for i, name in enumerate(("q1", "q2", "q3")):
         value = F.lit(None).cast("double")
         for f in flags:

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +6,7 @@ from foldline.operators import studies as st
 from foldline.operators.pruning import first_prune, median_prune
 from foldline.operators.reports import residual_histogram, param_importance
 from foldline.operators.search import (
-    TRIAL_SCHEMA, StopRules, Study, Trial, TrialPruned, propose_tpe, random_proposals, run_trials, should_prune, space_of, tpe_proposals,
+    TRIAL_SCHEMA, StopRules, Study, Trial, propose_tpe, random_proposals, run_trials, should_prune, space_of, tpe_proposals,
 )
 from foldline.operators.space import real, whole
 from foldline.sources.trial_store import TrialStore
