@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foldline.llm import decontaminate, html_text, licences, toxicity
 from foldline.llm.common import table
 from foldline.llm.fingerprints import neighbour_fingerprints
 from foldline.llm.packing import pack
@@ -25,5 +26,61 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_fingerprints": op5_fingerprints}
-ORACLES: dict[str, str] = {}
+def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences of every document: how many of its lines and paragraphs match, and how well at best."""
+    found = licences.scan(table(spark, sf, "documents"))
+    return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
+
+
+def op7_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items that occur in documents within 5 % edits."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id", "distance", "end")
+
+
+def categories() -> dict:
+    """Categories of the label table in the order of the chain: toxicity sees the probability of low quality."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels"), categories()))
+
+
+_NORMAL_SQL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_BIGRAMS_SQL = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))])"
+
+
+def _licences_sql() -> str:
+    quoted = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(licences.TEMPLATES.items()))
+    return f"""
+with templates as (
+  select licence, {_BIGRAMS_SQL.format("w")} as grams
+  from (select licence, string_split({_NORMAL_SQL.format("text")}, ' ') as w from (values {quoted}) t(licence, text))),
+units as (
+  select doc_id, unnest(string_split(text, chr(10))) as x from documents
+  union all
+  select doc_id, x from (select doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) as x from documents) where contains(trim(x, chr(10)), chr(10))),
+grams as (
+  select doc_id, {_BIGRAMS_SQL.format("w")} as g
+  from (select doc_id, string_split({_NORMAL_SQL.format("x")}, ' ') as w from units) where len(w) > 1),
+found as (
+  select doc_id, licence, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice
+  from grams join templates on len(g) between len(grams) * 0.66 and len(grams) * 1.51)
+select doc_id, licence, count(*) as n_units, round(max(dice), 6) as best_dice from found where dice >= 0.8 - 1e-12 group by 1, 2"""
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_licences": op2_licences,
+    "op3_packing": op3_packing,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_html_text": op7_html_text,
+    "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
+}
+ORACLES: dict[str, str] = {"op2_licences": _licences_sql()}
