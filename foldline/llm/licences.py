@@ -6,6 +6,7 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,12 +32,29 @@ TEMPLATES = {
 }
 
 NORMAL = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' '))"
-# The distinct word bigrams of a text in an array of one, or of none if it has fewer than two words. The words are bound
-# to a variable of a function: a column would be put into every place that names it and split again for each bigram.
+# The distinct word bigrams of a text in an array of one; in none if it has fewer than two words or fails {1}, a
+# condition on the words. The words are bound to a variable of a function: a column would be put into every place that
+# names it and split again for each bigram.
 GRAMS = (
-    "filter(transform(array(split({0}, ' ')), w -> if(size(w) < 2, cast(array() as array<string>), "
+    "filter(transform(array(split({0}, ' ')), w -> if(size(w) < 2 or not ({1}), cast(array() as array<string>), "
     "array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))), g -> size(g) > 0)"
-).format(NORMAL)
+)
+
+
+def needed_words(text: str, least: float) -> set[str]:
+    """Words of which every text that reaches the coefficient has at least one.
+
+    It shares at least least / (2 - least) of the template's bigrams, so words
+    that touch more than the rest cannot all be absent. Long words come first.
+    """
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    grams = set(zip(w, w[1:]))
+    needed: set[str] = set()
+    for word in sorted(set(w), key=lambda x: (-len(x), x)):
+        if sum(1 for g in grams if not needed & set(g)) < len(grams) * least / (2 - least) - 1e-9:
+            break
+        needed.add(word)
+    return needed
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
@@ -45,7 +63,7 @@ def template_table(spark: SparkSession, templates: dict[str, str], least: float)
     2 * min(a, b) / (a + b) bounds the coefficient of sets of a and b bigrams.
     """
     rows = spark.createDataFrame(sorted(templates.items()), "licence string, text string")
-    rows = rows.select("licence", F.explode(F.expr(GRAMS.format("text"))).alias("grams"))
+    rows = rows.select("licence", F.explode(F.expr(GRAMS.format(NORMAL.format("text"), "true"))).alias("grams"))
     low, high = least / (2 - least), (2 - least) / least
     slack = 1e-9
     sizes = F.sequence(F.ceil(F.size("grams") * F.lit(low) - slack).cast("int"), F.floor(F.size("grams") * F.lit(high) + slack).cast("int"))
@@ -73,7 +91,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     paragraphs = F.expr(
         r"filter(transform(split(text, '\n[ \t\r]*\n'), (x, i) -> named_struct('unit', -1 - i, 'x', x)), s -> instr(trim(BOTH '\n' FROM s.x), '\n') > 0)"
     )
+    words = sorted(set().union(*(needed_words(t, least) for t in templates.values())))
+    some = f"arrays_overlap(w, cast(array({', '.join(map(repr, words))}) as array<string>))"
     units = src.select("doc_id", F.explode(F.concat(lines, paragraphs)).alias("u"))
-    grams = units.select("doc_id", "u.unit", F.explode(F.expr(GRAMS.format("u.x"))).alias("g")).withColumn("n", F.size("g"))
+    grams = units.select("doc_id", "u.unit", F.explode(F.expr(GRAMS.format(NORMAL.format("u.x"), some))).alias("g")).withColumn("n", F.size("g"))
     dice = 2 * F.size(F.array_intersect("g", "grams")) / (F.col("n") + F.size("grams"))
     return grams.join(known, "n").select("doc_id", "unit", "licence", dice.alias("dice")).where(F.col("dice") >= least - 1e-12)
