@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldline.llm import decontaminate, html_text, licences, toxicity
+from foldline.llm import decontaminate, html_text, licences, phrases, toxicity
 from foldline.llm.common import table
 from foldline.llm.fingerprints import neighbour_fingerprints
 from foldline.llm.packing import pack
@@ -51,6 +51,12 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels"), categories()))
 
 
+def op10_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the 35-word windows that occur more than once."""
+    left = phrases.remove_phrases(table(spark, sf, "documents"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 _NORMAL_SQL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _BIGRAMS_SQL = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))])"
 
@@ -82,5 +88,6 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_phrases": op10_phrases,
 }
 ORACLES: dict[str, str] = {"op2_licences": _licences_sql()}
