@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldline.llm import decontaminate, html_text, licences, phrases, toxicity
+from foldline.llm import decontaminate, html_text, licences, phrases, suffixes, toxicity
 from foldline.llm.common import table
 from foldline.llm.fingerprints import neighbour_fingerprints
 from foldline.llm.packing import pack
@@ -32,6 +32,12 @@ def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
 
 
+def op6_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that start earlier."""
+    left = suffixes.remove_repeats(table(spark, sf, "documents"), window=100)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
@@ -85,6 +91,7 @@ QUERIES = {
     "op2_licences": op2_licences,
     "op3_packing": op3_packing,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffixes": op6_suffixes,
     "op7_html_text": op7_html_text,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
