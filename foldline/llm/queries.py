@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldline.llm import decontaminate, html_text, licences, phrases, suffixes, toxicity
+from foldline.llm import decontaminate, html_text, licences, lm, phrases, suffixes, toxicity
 from foldline.llm.common import table
 from foldline.llm.fingerprints import neighbour_fingerprints
 from foldline.llm.packing import pack
@@ -22,6 +22,12 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Stupid-backoff scores of 3-grams, each half of the documents by the other's counts."""
+    scores = lm.score(table(spark, sf, "documents"), order=3)
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf, "documents"))
 
@@ -86,10 +92,38 @@ found as (
 select doc_id, licence, count(*) as n_units, round(max(dice), 6) as best_dice from found where dice >= 0.8 - 1e-12 group by 1, 2"""
 
 
+_LM_SQL = r"""
+with docs as (
+  select doc_id, coalesce(doc_id, 0) % 2 as half,
+         [x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x != ''] as w from documents),
+words as (
+  select doc_id, half, unnest(w) as w3, unnest(range(1, len(w) + 1)) as i, w from docs),
+grams as (
+  select doc_id, half, i, w3, case when i > 1 then w[i - 1] end as w2, case when i > 2 then w[i - 2] end as w1 from words),
+c1 as (select 1 - half as half, w3, count(*) as n from grams group by 1, 2),
+c2 as (select 1 - half as half, w2, w3, count(*) as n from grams where w2 is not null group by 1, 2, 3),
+c3 as (select 1 - half as half, w1, w2, w3, count(*) as n from grams where w1 is not null group by 1, 2, 3, 4),
+total as (select 1 - half as half, count(*) as n from grams group by 1),
+scored as (
+  select g.doc_id,
+         case when c3.n is not null then ln(c3.n / b12.n)
+              when c2.n is not null then ln(c2.n / u2.n) + case when g.i > 2 then ln(0.4) else 0 end
+              else ln(coalesce(c1.n, 1) / greatest(coalesce(total.n, 0), 1)) + least(g.i - 1, 2) * ln(0.4) end as s
+  from grams g
+  left join c1 on c1.half = g.half and c1.w3 = g.w3
+  left join c2 on c2.half = g.half and c2.w2 = g.w2 and c2.w3 = g.w3
+  left join c3 on c3.half = g.half and c3.w1 = g.w1 and c3.w2 = g.w2 and c3.w3 = g.w3
+  left join c2 b12 on b12.half = g.half and b12.w2 = g.w1 and b12.w3 = g.w2
+  left join c1 u2 on u2.half = g.half and u2.w3 = g.w2
+  left join total on total.half = g.half)
+select d.doc_id, len(d.w) as n_words, coalesce(round(sum(s.s), 4), 0.0) as log_score
+from docs d left join scored s using (doc_id) group by 1, 2"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licences": op2_licences,
     "op3_packing": op3_packing,
+    "op4_lm_scores": op4_lm_scores,
     "op5_fingerprints": op5_fingerprints,
     "op6_suffixes": op6_suffixes,
     "op7_html_text": op7_html_text,
@@ -97,4 +131,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_phrases": op10_phrases,
 }
-ORACLES: dict[str, str] = {"op2_licences": _licences_sql()}
+ORACLES: dict[str, str] = {"op2_licences": _licences_sql(), "op4_lm_scores": _LM_SQL}
