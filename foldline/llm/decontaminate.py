@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foldline.llm.common import rows
+from foldline.llm.common import row_digest, rows, stage
 
 OUT = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])
 
@@ -127,7 +127,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05, block_chars: in
     items = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(text).alias("text")).dropna(subset=["text"]).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), row_digest(text).alias("digest"), F.col(text).alias("text"))
 
     def scan(block: int) -> DataFrame:
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -149,6 +149,6 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05, block_chars: in
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs that hold no item within its budget; all columns are returned."""
-    found = leaks(docs, items, rate, key=key, text=text).select(F.col("doc_id").alias("leak_id"), F.col("digest").alias("leak_digest")).distinct()
-    same = docs[key].eqNullSafe(F.col("leak_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("leak_digest"))
+    found = stage(leaks(docs, items, rate, key=key, text=text).select("doc_id", "digest").distinct(), "leaks")
+    same = docs[key].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found["digest"])
     return docs.join(found, same, "left_anti")

@@ -20,9 +20,10 @@ from foldline.llm.common import row_digest, stage, texts
 FIELDS = ("doc_id", "digest", "lo", "hi", "anchor", "seg")
 
 
-def documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, digest, text): digest tells documents of one id apart, null texts are empty."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), row_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def documents(docs: DataFrame, key: str, text: str, rest: bool = False) -> DataFrame:
+    """(doc_id, digest, text): digest tells documents of one id apart, null texts are empty; rest holds all other columns."""
+    cols = [F.col(key).cast("long").alias("doc_id"), row_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    return docs.select(*cols, *([F.struct(*(docs[c] for c in docs.columns if c != text)).alias("rest")] if rest else []))
 
 
 class Words:
@@ -107,4 +108,4 @@ def with_lists(source: DataFrame, parts: DataFrame, how: str) -> DataFrame:
     cols = [c for c in parts.columns if c not in ("doc_id", "digest")]
     lists = parts.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*cols)).alias("parts"))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "parts")
-    return source.join(lists, source["doc_id"].eqNullSafe(F.col("d")) & (source["digest"] == F.col("g")), how).select("doc_id", "digest", "text", "parts")
+    return source.join(lists, source["doc_id"].eqNullSafe(F.col("d")) & (source["digest"] == F.col("g")), how).select(*source.columns, "parts")

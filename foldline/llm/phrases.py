@@ -8,7 +8,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldline.llm.common import rows, stage
 from foldline.llm.passages import Words, candidates, documents, stretches, with_lists
@@ -82,15 +82,15 @@ class PhraseAutomaton:
                 yield end - size, end
 
 
-def _runs(parts: list[dict], window: int) -> list[tuple[int, int]]:
-    """Word spans of maximal runs of consecutive windows."""
+def _runs(parts: list[dict], window: int, longest: int = 512) -> list[tuple[int, int]]:
+    """Word spans of maximal runs of consecutive windows, cut after ``longest`` windows: an automaton is as deep as its longest passage."""
     out: list[list[int]] = []
     for lo, hi in sorted((p["lo"], p["hi"]) for p in parts):
         if out and lo <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
-    return [(lo, hi + window) for lo, hi in out]
+    return [(at, min(at + longest - 1, hi) + window) for lo, hi in out for at in range(lo, hi + 1, longest)]
 
 
 def covered(n: int, spans: Iterator[tuple[int, int]]) -> tuple[np.ndarray, list[dict]]:
@@ -117,25 +117,35 @@ def remove_phrases(docs: DataFrame, window: int = 35, gram: int = 8, block_words
     documents of their own and lose what they share; null ids stay null.
     """
     source = documents(docs, key, text)
-    given = with_lists(source, recurring(source, window, gram), "left")
+    return _stream(with_lists(source, recurring(source, window, gram), "left"), window, block_words)
+
+
+def _stream(given: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Compiles and runs the automata; a column ``rest`` is handed on, and then unchanged texts keep their white space."""
+    rest = "rest" in given.columns
+    fields = T.StructType.fromDDL("doc_id long, digest long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
+    if rest:
+        fields = fields.add(given.schema["rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, out = 0, OUT
 
         def shard() -> pa.RecordBatch:
-            passages = {tuple(w[s:e]) for _, _, w, parts in held for s, e in _runs(parts, window)}
+            passages = {tuple(w[s:e]) for _, _, w, parts, *_ in held for s, e in _runs(parts, window)}
             automaton = PhraseAutomaton([list(p) for p in passages])
             done = []
-            for doc, g, w, _ in held:
+            for doc, g, w, _, *more in held:
                 mask, spans = covered(len(w), automaton.occurrences(w))
                 kept = w if not spans else [x for x, gone in zip(w, mask.tolist()) if not gone]
-                done.append((doc, g, len(w), len(w) - len(kept), spans, b" ".join(kept).decode()))
-            return rows(list(zip(*done)), OUT)
+                left = more[0] if rest and not spans else b" ".join(kept).decode()
+                done.append((doc, g, len(w), len(w) - len(kept), spans, left, *more[1:]))
+            return rows(list(zip(*done)), out)
 
         for b in batches:
-            for doc, g, t, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "text", "parts"))):
-                held.append((doc, g, t.encode().split(), parts or []))
+            out = OUT.append(b.schema.field("rest")) if rest else OUT
+            for doc, g, t, parts, *more in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "text", "parts", *["rest"] * rest))):
+                held.append((doc, g, t.encode().split(), parts or [], *([t, *more] if rest else [])))
                 size += len(held[-1][2])
                 if size >= block_words:
                     yield shard()
@@ -143,5 +153,17 @@ def remove_phrases(docs: DataFrame, window: int = 35, gram: int = 8, block_words
         if held:
             yield shard()
 
-    fields = "doc_id long, digest long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
     return given.mapInArrow(run, fields)
+
+
+def without_phrases(docs: DataFrame, window: int = 50, gram: int = 8, block_words: int = 300_000, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with their passages removed from the text column, and its length, where there is a column for it.
+
+    As ``remove_phrases``; every row stays, texts that lose nothing stay as
+    they are (null: empty), the others have the words left joined by one space.
+    """
+    source = documents(docs, key, text, rest=True)
+    given = with_lists(source, recurring(source.drop("rest"), window, gram), "left")
+    back = _stream(given, window, block_words)
+    cols = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
+    return back.select(*(cols.get(c, F.col(f"rest.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

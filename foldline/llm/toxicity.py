@@ -157,6 +157,37 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     return fit_chain(flat, doc, y, names, fold)
 
 
+class Scorer:
+    """Probabilities of texts; keeps which features of a word any model uses."""
+
+    def __init__(self, chain: Chain, limit: int = 300_000):
+        self.chain, self.limit = chain, limit
+        self.used = {int(c) for m in chain.models for c in m.chosen}
+        self.known: dict[str, list[int]] = {}
+
+    def _of(self, w: str) -> list[int]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        digest = xxhash.xxh32_intdigest
+        keys = [w, "^" + w[:4], "^" + w[:5]] if len(w) > 5 else [w]
+        self.known[w] = hit = [k for k in (digest(x) & (SPACE - 1) for x in keys) if k in self.used]
+        return hit
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        flat, size = [], []
+        for t in texts:
+            mine: set[int] = set()
+            for w in set(WORD.findall((t or "").lower())):
+                hit = self.known.get(w)
+                if hit is None:
+                    hit = self._of(w)
+                if hit:
+                    mine.update(hit)
+            flat.extend(mine)
+            size.append(len(mine))
+        return self.chain.probabilities(np.array(flat, np.int64), np.repeat(np.arange(len(size)), size), len(size))
+
+
 def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, p_<category>..., is_<category>...) for every row of docs, read once and not shuffled.
 
@@ -168,31 +199,23 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
     out = pa.schema([("doc_id", pa.int64()), *((f"p_{n}", pa.float64()) for n in names), *((f"is_{n}", pa.bool_()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = {int(c) for m in chain.models for c in m.chosen}
-        known: dict[str, list[int]] = {}  # feature numbers of a word that any model uses
-
-        def of(w: str) -> list[int]:
-            if len(known) > 300_000:
-                known.clear()
-            digest = xxhash.xxh32_intdigest
-            keys = [w, "^" + w[:4], "^" + w[:5]] if len(w) > 5 else [w]
-            known[w] = hit = [k for k in (digest(x) & (SPACE - 1) for x in keys) if k in used]
-            return hit
-
+        scorer = Scorer(chain)
         for b in batches:
-            flat, size = [], []
-            for t in b.column("text").to_pylist():
-                mine = set()
-                for w in set(WORD.findall((t or "").lower())):
-                    hit = known.get(w)
-                    if hit is None:
-                        hit = of(w)
-                    if hit:
-                        mine.update(hit)
-                flat.extend(mine)
-                size.append(len(mine))
-            p = chain.probabilities(np.array(flat, np.int64), np.repeat(np.arange(len(size)), size), len(size))
+            p = scorer(b.column("text").to_pylist())
             cut = p >= np.array(chain.thresholds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in p.T), *(pa.array(c) for c in cut.T)], schema=out)
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(fields))
+
+
+def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", text: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that the chain does not place in the category; null texts count as empty."""
+    at = chain.names.index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(chain)
+        for b in batches:
+            p = scorer(b.column(text).to_pylist())
+            yield b.filter(pa.array(p[:, at] < chain.thresholds[at]))
+
+    return docs.mapInArrow(run, docs.schema)
