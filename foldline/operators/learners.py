@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from foldline.functions.numeric import sql_double, sql_name
 
 MAX_DEPTH = 30  # MLlib's limit
+BOOSTED_DEPTH = 6  # of histogram boosting where no depth is given: MLlib has no growth by leaves
 TREE_MEMORY_MB = 512
 PARALLEL_TREES = 8
 
 # Parameters used when none are given.
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "RandomForestRegressor": {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 2},
+    "RandomForestRegressor": {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 2, "bootstrap": True},
     "GradientBoostingRegressor": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": 3},
     "HistGradientBoostingRegressor": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": None, "max_bins": 255},
     "ExtraTreesRegressor": {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "n_cuts": 32},
@@ -58,11 +59,15 @@ def _take(name: str, params: Mapping[str, Any], ignored: Sequence[str] = ()) ->
 
 
 def _depth(value: Any) -> int:
+    if value is not None and int(value) > MAX_DEPTH:
+        warnings.warn(f"max_depth {value} is more than MLlib grows; trees stop at {MAX_DEPTH}", stacklevel=3)
     return MAX_DEPTH if value is None else max(1, min(MAX_DEPTH, int(value)))
 
 
-def _boosted(n: Any, rate: float, depth: int, seed: int, bins: int = 64, subsample: float = 1.0) -> GBTRegressor:
+def _boosted(n: Any, rate: float, depth: int, seed: int, bins: int = 255, subsample: float = 1.0) -> GBTRegressor:
     # The first MLlib tree weighs 1, later ones the step size.
+    if rate > 1.0:
+        warnings.warn(f"learning_rate {rate} is more than MLlib allows and becomes 1", stacklevel=3)
     return GBTRegressor(
         maxIter=int(n),
         stepSize=float(min(rate, 1.0)),
@@ -83,6 +88,7 @@ def tree_estimator(name: str, params: Mapping[str, Any], seed: int = 42):
             maxDepth=_depth(p["max_depth"]),
             minInstancesPerNode=int(p["min_samples_leaf"]),
             featureSubsetStrategy="all",
+            bootstrap=bool(p["bootstrap"]),
             maxBins=255,
             seed=seed,
             maxMemoryInMB=TREE_MEMORY_MB,
@@ -92,7 +98,9 @@ def tree_estimator(name: str, params: Mapping[str, Any], seed: int = 42):
         return _boosted(p["n_estimators"], p["learning_rate"], _depth(p["max_depth"]), seed)
     if name == "HistGradientBoostingRegressor":
         p = _take(name, params, ignored=("l2_regularization",))
-        return _boosted(p["n_estimators"], p["learning_rate"], _depth(p["max_depth"] or 6), seed, p["max_bins"])
+        if p["max_depth"] is None:
+            warnings.warn(f"{name}: boosted trees without a depth limit become {BOOSTED_DEPTH} deep", stacklevel=3)
+        return _boosted(p["n_estimators"], p["learning_rate"], _depth(p["max_depth"] or BOOSTED_DEPTH), seed, p["max_bins"])
     if name == "XGBRegressor":
         p = _take(name, params)
         return _boosted(p["n_estimators"], p["learning_rate"], _depth(p["max_depth"]), seed, subsample=p["subsample"])
@@ -109,7 +117,7 @@ def tree_estimator(name: str, params: Mapping[str, Any], seed: int = 42):
 
 
 def _label_stats(df: DataFrame, label: str) -> tuple[int, float]:
-    row = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    row = df.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd")).first()
     return row["n"], row["sd"] or 0.0
 
 
@@ -118,8 +126,9 @@ def linear_estimator(
 ) -> LinearRegression:
     """Penalties on the scale of a squared-error sum (ridge) or mean (elastic net).
 
-    MLlib divides the label by its standard deviation first, so the mapping
-    needs n and that deviation; the solver and the kind of deviation go together.
+    MLlib divides the label by its sample standard deviation first, so the
+    mapping needs n and that deviation. The iterative solver has no limit on
+    the number of features.
     """
     n, sd = _label_stats(df, label)
     if l1_ratio is None:
@@ -135,7 +144,7 @@ def linear_estimator(
         regParam=reg,
         elasticNetParam=mix,
         standardization=False,
-        solver="normal",
+        solver="l-bfgs",
         tol=1e-10,
         maxIter=1000,
     )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldline.operators.scans import null_safe_join
 from foldline.operators.studies import COMPLETE
+from foldline.session import sized
 
 GROUP = ["study", "step"]
 BLOCK = [*GROUP, "level", "block"]
@@ -30,31 +31,31 @@ def _with_best(reported: DataFrame) -> DataFrame:
     return reported.withColumn("best", F.min("step_value").over(w))
 
 
-def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces: int = 32, split_above: int = 100_000) -> DataFrame:
+def earlier_value_ranks(values: DataFrame, asks: DataFrame, range_values: int = 2_000, most_ranges: int = 1_024) -> DataFrame:
     """For each ask (study, step, trial, x): among values (study, step, trial, x) of
     smaller trial numbers, ``m`` in all, ``below`` under x, the largest under x
-    (``lo``) and the smallest not under x (``hi``). Only groups of more than
-    ``split_above`` values are cut into value ranges."""
-    large = values.groupBy(*GROUP).count().where(F.col("count") > split_above)
-    split = not large.isEmpty()
-    if split:
-        probs = [i / pieces for i in range(1, pieces)]
-        edges = (
-            values.join(large, GROUP, "left_semi")
-            .groupBy(*GROUP)
-            .agg(F.percentile_approx("x", probs, 10_000).alias("edges"))
-        )
+    (``lo``) and the smallest not under x (``hi``). Every group is cut into value
+    ranges, as many as its own count asks for at ``range_values`` each (at most
+    ``most_ranges``), and listed at no more levels than its own trial numbers have bits."""
+    probs = [i / most_ranges for i in range(1, most_ranges)]
+    both = values.withColumn("own", F.col("x")).unionByName(asks.withColumn("own", F.lit(None).cast("double")))
+    found = both.groupBy(*GROUP).agg(
+        F.greatest(F.lit(1), F.length(F.bin(F.max("trial")))).alias("levels"),
+        F.count("own").alias("n"),
+        F.percentile_approx("own", probs, 10_000).alias("fine"),
+    )
+    # Every so many of the fine edges.
+    stride = F.greatest(F.lit(1), F.floor(F.lit(most_ranges) / F.greatest(F.lit(1), F.ceil(F.col("n") / range_values)))).cast("int")
+    edges = F.coalesce(F.expr("filter(fine, (e, i) -> (i + 1) % stride = 0)"), F.expr("cast(array() as array<double>)"))
+    groups = sized(found.withColumn("stride", stride).select(*GROUP, "levels", edges.alias("edges")))
 
     def placed(df: DataFrame) -> DataFrame:
-        if not split:
-            return df.withColumn("range", F.lit(0))
-        found = F.coalesce(F.expr("size(filter(edges, e -> e < x))"), F.lit(0))
-        return df.join(edges, GROUP, "left").withColumn("range", found).drop("edges")
+        return df.join(groups, GROUP).withColumn("range", F.expr("size(filter(edges, e -> e < x))")).drop("edges")
 
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    level = F.explode(F.expr("sequence(0, levels - 1)"))
     odd = F.expr("shiftright(trial, level) % 2 = 1")
-    listed = placed(values).withColumn("level", level).where(~odd).withColumn("block", F.expr("shiftright(trial, level)"))
-    asked = placed(asks).withColumn("level", level).where(odd).withColumn("block", F.expr("shiftright(trial, level) - 1"))
+    listed = placed(values).withColumn("level", level).drop("levels").where(~odd).withColumn("block", F.expr("shiftright(trial, level)"))
+    asked = placed(asks).withColumn("level", level).drop("levels").where(odd).withColumn("block", F.expr("shiftright(trial, level) - 1"))
     rows = listed.withColumn("is_value", F.lit(1)).unionByName(asked.withColumn("is_value", F.lit(0)))
     own = F.when(F.col("is_value") == 1, F.col("x"))
     up = W.partitionBy(*CELL).orderBy("x", "is_value").rowsBetween(W.unboundedPreceding, 0)
@@ -68,8 +69,7 @@ def earlier_value_ranks(values: DataFrame, asks: DataFrame, levels: int, pieces:
         F.min(own).over(down).alias("hi"),
         F.sum("is_value").over(W.partitionBy(*CELL)).alias("in_block"),
     ).where(F.col("is_value") == 0)
-    if split:
-        inside = _with_carry(inside.drop("in_block"), rows.withColumn("own", own))
+    inside = _with_carry(inside.drop("in_block"), rows.withColumn("own", own))
     return inside.groupBy("study", "trial", "step").agg(
         F.sum("in_block").alias("m"), F.sum("below").alias("below"), F.max("lo").alias("lo"), F.min("hi").alias("hi")
     )
@@ -99,7 +99,7 @@ def _with_carry(inside: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmup: int = 2, split_above: int = 100_000) -> DataFrame:
+def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmup: int = 2, range_values: int = 2_000) -> DataFrame:
     """(study, trial, step, best, pruned) for every reported value from step ``warmup`` on."""
     done = trials.where(F.col("state") == COMPLETE).select("study", "trial")
     tagged = _with_best(reported)
@@ -107,8 +107,7 @@ def median_prune(reported: DataFrame, trials: DataFrame, startup: int = 5, warmu
         "study", "step", "trial", F.col("step_value").alias("x")
     )
     asks = tagged.where(F.col("step") >= warmup).select("study", "step", "trial", F.col("best").alias("x"))
-    last = trials.agg(F.max("trial")).first()[0] or 0
-    ranks = earlier_value_ranks(values, asks, max(1, int(last).bit_length()), split_above=split_above)
+    ranks = earlier_value_ranks(values, asks, range_values)
     half = F.floor(F.col("m") / 2)
     above = (
         F.when(F.col("m") < startup, F.lit(False))

@@ -9,13 +9,12 @@ from dataclasses import dataclass, field
 from statistics import median
 from typing import Any
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from foldline.functions.hashing import hash_unit
-from foldline.operators.learners import tree_estimator
+from foldline.operators.learners import fit_learner
+from foldline.operators.preprocess import Preprocessor
 from foldline.operators.space import Param, Preset, sample_params, stack_from, value_at
 from foldline.operators.stack import fit_preprocessed_stack
 from foldline.operators.studies import COMPLETE, FAIL, PRUNED, in_state
@@ -121,12 +120,15 @@ def run_trials(
     batch: int = 1,
     startup: int = 5,
     warmup: int = 2,
+    finished: Callable[[Sequence[Trial]], None] | None = None,
 ) -> Study:
     """Run up to ``n_trials`` more trials, numbered on from the last one.
 
     ``objective(params, report)`` calls ``report`` after each fold with the
     running mean. Trials of a batch run in parallel threads and are judged
-    against the trials finished before the batch.
+    against the trials finished before the batch. ``finished`` gets the trials
+    of every batch as it ends, so that a broken run loses no more than one. An
+    objective that raises leaves a FAIL trial there before the error goes on.
     """
     rules = StopRules()
     left = n_trials
@@ -134,6 +136,7 @@ def run_trials(
         first = max((t.number for t in study.trials), default=-1) + 1
         size = min(batch, left)
         earlier = list(study.trials)
+        errors: list[Exception] = []
 
         def run(number: int) -> Trial:
             trial = Trial(number, propose(study, number))
@@ -149,6 +152,9 @@ def run_trials(
                     trial.state, trial.value = FAIL, None
             except TrialPruned:
                 trial.state, trial.value = PRUNED, None
+            except Exception as e:
+                trial.state, trial.value = FAIL, None
+                errors.append(e)
             return trial
 
         numbers = range(first, first + size)
@@ -160,13 +166,18 @@ def run_trials(
         for trial in done:
             study.trials.append(trial)
             left -= 1
+        if finished:
+            finished(done)
+        if errors:
+            raise errors[0]
         if stop and any([rules.see(t) for t in done]):
             break
     return study
 
 
 def random_proposals(space: Sequence[Param], seed: int = 42) -> Callable[[Study, int], dict[str, float]]:
-    return lambda study, number: sample_params(space, number, seed)
+    """Draws fixed by seed, study and trial number: every study searches points of its own."""
+    return lambda study, number: sample_params(space, number, seed, study.name)
 
 
 def tpe_proposals(
@@ -176,7 +187,7 @@ def tpe_proposals(
 
     def propose(study: Study, number: int) -> dict[str, float]:
         if sum(t.state == COMPLETE for t in study.trials) < startup:
-            return sample_params(space, number, seed)
+            return sample_params(space, number, seed, study.name)
         table = space_of(spark, space)
         rows = propose_tpe(study.trials_df(spark), table, seed=seed + number).collect()
         return {r["param"]: r["draw"] for r in rows}
@@ -237,32 +248,39 @@ def tune(
 
 def cv_search(
     df: DataFrame,
-    x: Sequence[str],
+    roles: dict[str, str],
     learner: str,
     grid: Sequence[dict[str, Any]],
     label: str = "y",
     fold: str = "fold",
+    k: int = 5,
     parallelism: int = 4,
-) -> tuple[CrossValidatorModel, list[float], int]:
-    """Search by MLlib's cross-validator on given folds, refit on all rows.
+    **prep: Any,
+) -> tuple[PipelineModel, list[float], int]:
+    """Search any learner over given folds and refit the winner on all rows.
 
-    Returns the fitted model, ``-MAE`` per candidate and the winner's index.
+    Every fold is scaled and imputed with the statistics of its own training
+    rows. Returns the fitted pipeline from raw columns, ``-MAE`` per candidate
+    (mean over the folds) and the winner's index.
     """
-    rows = VectorAssembler(inputCols=list(x), outputCol="features").transform(df).persist()
-    base = tree_estimator(learner, grid[0]).setFeaturesCol("features").setLabelCol(label)
-    maps = []
-    for params in grid:
-        est = tree_estimator(learner, params)
-        maps.append({base.getParam(p.name): v for p, v in est.extractParamMap().items() if p.name not in ("featuresCol", "labelCol", "predictionCol")})
-    judge = RegressionEvaluator(labelCol=label, metricName="mae")
-    folds = rows.select(fold).distinct().count()
-    cv = CrossValidator(
-        estimator=base, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism
-    )
-    model = cv.fit(rows)
-    scores = [-m for m in model.avgMetrics]
-    rows.unpersist()
-    return model, scores, max(range(len(scores)), key=lambda i: scores[i])
+    rows = stage_table(df.select(*dict.fromkeys([label, fold, *roles])), "cv")
+    models = Preprocessor(roles, **prep).fit_by_fold(rows, fold, k)
+
+    def judge(job: tuple[int, int]) -> float:
+        at, i = job
+        pre = models[i]
+        model = fit_learner(learner, grid[at], pre.transform(rows.where(F.col(fold) != i)), pre.columns, label)
+        scored = model.transform(pre.transform(rows.where(F.col(fold) == i)))
+        return scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+
+    jobs = [(at, i) for at in range(len(grid)) for i in range(k)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        errors = list(pool.map(judge, jobs))
+    scores = [-sum(errors[at * k : (at + 1) * k]) / k for at in range(len(grid))]
+    best = max(range(len(grid)), key=lambda at: scores[at])
+    pre = Preprocessor(roles, **prep).fit(rows)
+    fitted = fit_learner(learner, grid[best], pre.transform(rows), pre.columns, label)
+    return PipelineModel([pre.stages()[0], *fitted.stages]), scores, best
 
 
 def propose_tpe(

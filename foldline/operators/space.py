@@ -45,7 +45,6 @@ def real(name: str, low: float, high: float, log: bool = False) -> Param:
 @dataclass(frozen=True)
 class Preset:
     number: int
-    text: str
     bases: Sequence[tuple[str, str]]
     meta: tuple[str, str]
     passthrough: bool
@@ -58,7 +57,6 @@ PRESETS: dict[int, Preset] = {
     for p in (
         Preset(
             1,
-            "random forest and boosted trees, ridge",
             [("rf", "RandomForestRegressor"), ("gbr", "GradientBoostingRegressor")],
             ("ridge", "Ridge"),
             True,
@@ -74,7 +72,6 @@ PRESETS: dict[int, Preset] = {
         ),
         Preset(
             2,
-            "histogram boosting and extra trees, ridge",
             [("hgbr", "HistGradientBoostingRegressor"), ("etr", "ExtraTreesRegressor")],
             ("ridge", "Ridge"),
             True,
@@ -89,7 +86,6 @@ PRESETS: dict[int, Preset] = {
         ),
         Preset(
             3,
-            "leaf-wise boosting and extra trees, elastic net",
             [("lgbm", "LGBMRegressor"), ("etr", "ExtraTreesRegressor")],
             ("enet", "ElasticNet"),
             True,
@@ -106,7 +102,6 @@ PRESETS: dict[int, Preset] = {
         ),
         Preset(
             4,
-            "symmetric boosting, ridge",
             [("cbr", "CatBoostRegressor")],
             ("ridge", "Ridge"),
             False,
@@ -120,7 +115,6 @@ PRESETS: dict[int, Preset] = {
         ),
         Preset(
             5,
-            "shallow and deep boosting, elastic net",
             [("hgbr", "HistGradientBoostingRegressor"), ("gbr", "GradientBoostingRegressor")],
             ("enet", "ElasticNet"),
             True,
@@ -137,7 +131,6 @@ PRESETS: dict[int, Preset] = {
         ),
         Preset(
             6,
-            "random forest and extra trees, ridge",
             [("rf", "RandomForestRegressor"), ("etr", "ExtraTreesRegressor")],
             ("ridge", "Ridge"),
             True,
@@ -229,11 +222,11 @@ def sample_space(draws: DataFrame, space: DataFrame, draw_key: Sequence[str], se
     return draws.join(F.broadcast(space), "preset").withColumn("draw", value_at(u))
 
 
-def sample_params(space: Iterable[Param], number: int, seed: int = 42) -> dict[str, float]:
-    """The same draw for one trial number, for search loops."""
+def sample_params(space: Iterable[Param], number: int, seed: int = 42, study: str = "") -> dict[str, float]:
+    """The same draw for one trial number, for search loops; a study's name makes the draws its own."""
     out = {}
     for p in space:
-        digest = hashlib.md5(f"{seed}|{number}|{p.name}".encode()).hexdigest()
+        digest = hashlib.md5("|".join([str(seed), *([study] if study else []), str(number), p.name]).encode()).hexdigest()
         out[p.name] = p.at(int(digest[:8], 16) / HASH_RANGE)
     return out
 

@@ -11,10 +11,11 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from foldline.functions.hashing import hash32
 from foldline.functions.metrics import fold_means, regression_metrics
 from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor
+from foldline.operators.splits import with_folds
+from foldline.session import stage_table
 
 INNER_SEED_OFFSET = 1000
 
@@ -83,26 +84,20 @@ class Stack:
     threads: int = 4
 
     def fit(self, df: DataFrame, x: Sequence[str], key: str, label: str = "y", seed: int = 43) -> StackModel:
-        """Inner folds come from a hash with its own seed, independent of the outer folds."""
-        inner = (hash32(key, seed + INNER_SEED_OFFSET) % self.k).cast("int")
-        rows = df.select(key, label, *x, inner.alias("inner_fold")).persist()
-        try:
-            oof = oof_predict(self.bases, rows, x, label, "inner_fold", self.k, self.threads)
-            meta = self.fit_meta(oof, x, label)
-            bases = fit_members(self.bases, rows, x, label, self.threads)
-        finally:
-            rows.unpersist()
+        """Inner folds are exact ranks of a hash with its own seed, independent of the outer folds: none is empty
+        from ``k`` rows on. Rows and out-of-fold predictions are written once each; a lost executor re-reads them."""
+        rows = df.select(*dict.fromkeys([key, label, *x]))
+        rows = stage_table(with_folds(rows, key, self.k, seed + INNER_SEED_OFFSET, exact=True, name="inner_fold"), "stack")
+        oof = oof_predict(self.bases, rows, x, label, "inner_fold", self.k, self.threads)
+        meta = self.fit_meta(stage_table(oof.select(label, *self.meta_inputs(x)), "oof"), x, label)
+        bases = fit_members(self.bases, rows, x, label, self.threads)
         return StackModel(PipelineModel([*bases.stages, *meta.stages]))
 
     def meta_inputs(self, x: Sequence[str]) -> list[str]:
         return [b.column for b in self.bases] + (list(x) if self.passthrough else [])
 
     def fit_meta(self, oof: DataFrame, x: Sequence[str], label: str = "y") -> PipelineModel:
-        rows = oof.select(label, *self.meta_inputs(x)).persist()
-        try:
-            return fit_learner(self.meta.learner, self.meta.params, rows, self.meta_inputs(x), label, "prediction")
-        finally:
-            rows.unpersist()
+        return fit_learner(self.meta.learner, self.meta.params, oof, self.meta_inputs(x), label, "prediction")
 
 
 def fit_preprocessed_stack(

@@ -7,11 +7,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from foldline.functions.metrics import METRICS, regression_metrics
-from foldline.operators.preprocess import Preprocessor
 from foldline.operators.roles import as_target, column_roles, dtypes_of, features_by_target, usable_targets
 from foldline.operators.search import cv_search
 from foldline.operators.space import XGB_SPACE, Param, sample_params
@@ -49,12 +47,10 @@ def search_single_models(
         table = as_target(rows, target)
         train = table.where((F.col("dataset") == "train") & F.col("y").isNotNull())
         start = time.perf_counter()
-        pre = Preprocessor(column_roles(rows, features[target], log, exp)).fit(train)
-        grid = [sample_params(space, i, seed) for i in range(n_trials)]
-        found, scores, best = cv_search(pre.transform(train), pre.columns, learner, grid)
+        grid = [sample_params(space, i, seed, target) for i in range(n_trials)]
+        found, scores, best = cv_search(train, column_roles(rows, features[target], log, exp), learner, grid, k=folds)
         seconds = round(time.perf_counter() - start, 3)
-        join = VectorAssembler(inputCols=pre.columns, outputCol="features")
-        models[target] = PipelineModel([pre.stages()[0], join, found.bestModel])
+        models[target] = found
         meta[target] = TargetMeta(features[target], dtypes_of(rows, features[target]), grid[best])
         test = models[target].transform(table.where(F.col("dataset") == "test")).withColumn("p", F.col("prediction"))
         parts.append(

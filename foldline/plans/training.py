@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from foldline.operators.groups import MIN_GROUP_ROWS
+from foldline.operators.groups import MIN_GROUP_ROWS, group_sizes
 from foldline.operators.roles import as_target, column_roles, dtypes_of, features_by_target
 from foldline.operators.search import Study, tune
 from foldline.operators.space import Param, Preset
@@ -27,12 +28,12 @@ class SearchSettings:
     seed: int = 42
     test: float = 0.2
     space: Sequence[Param] | None = None
-    sampler: str = "random"
+    sampler: str = "tpe"
     prune: bool = True
     stop: bool = True
     batch: int = 1
     min_group_rows: int = MIN_GROUP_ROWS
-    max_groups: int = 200
+    group_threads: int = 4
     dedup: bool = False
 
 
@@ -41,61 +42,90 @@ class Training:
     bundle: Bundle
     params: dict[str, dict[str, float]]
     report: DataFrame
+    groups: dict[str, list[GroupStudy]] = field(default_factory=dict)
 
 
 def run_study(
-    rows: DataFrame, roles: Mapping[str, str], preset: Preset, key: str, name: str, store: TrialStore, s: SearchSettings
+    rows: DataFrame, roles: Mapping[str, str], preset: Preset, key: str, name: str, store: TrialStore, s: SearchSettings,
+    n_trials: int | None = None,
 ) -> Study:
-    """Open or create a study, run what its goal still asks for, and record it.
+    """Open or create a study, run what its goal still asks for, and record every trial as it ends.
 
     A study that a stop rule ends early keeps the number it finished as its goal.
     """
-    study = store.open(name, s.n_trials)
+    study = store.open(name, n_trials or s.n_trials)
     known = len(study.trials)
     summary = inspect_studies(store.trials(name))
-    decision = resume_decision(summary, store.studies().where(F.col("study") == name), s.n_trials).first()
-    left = decision["remaining"] if decision else s.n_trials
+    decision = resume_decision(summary, store.studies().where(F.col("study") == name), n_trials or s.n_trials).first()
+    left = decision["remaining"] if decision else n_trials or s.n_trials
     if left == 0:
         return study
     tune(
         rows, dict(roles), preset, key, name, "y", "fold", s.folds, s.inner, left, s.space, study, s.seed, s.sampler,
-        prune=s.prune, stop=s.stop, batch=s.batch,
+        prune=s.prune, stop=s.stop, batch=s.batch, finished=lambda done: store.save(name, done),
     )
-    store.save_new(study, known)
     finished = sum(t.state in (COMPLETE, PRUNED) for t in study.trials)
     if len(study.trials) - known < left and finished < decision["goal"]:
         store.set_goal(name, finished)
     return study
 
 
-def group_list(rows: DataFrame, keys: Sequence[str], min_rows: int, max_groups: int) -> list[tuple]:
-    """Groups large enough for their own study, in key order."""
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).orderBy(*keys)
-    found = sized.limit(max_groups + 1).collect()
-    if len(found) > max_groups:
-        raise ValueError(f"more than {max_groups} groups: search them in one job with groups.tune_by_group")
-    return [tuple(r[k] for k in keys) for r in found]
+@dataclass
+class GroupStudy:
+    """The outcome for one group; ``too_small`` ones have the parameters of the target's fallback."""
 
+    group: tuple
+    rows: int
+    state: str
+    value: float | None = None
+    params: dict[str, float] | None = None
 
-def best_params_by_group(
+
+def group_studies(
     rows: DataFrame, target: str, roles, preset: Preset, key: str, keys: Sequence[str], store: TrialStore, s: SearchSettings
-) -> dict[str, float]:
-    """One study per group; the parameters of the group with the smallest cross-validated error.
+) -> list[GroupStudy]:
+    """A study for every group of at least ``min_group_rows`` rows, in key order.
 
-    Falls back to the target's global study where no group has a result.
+    Outer folds are exact inside each group, so that none is empty. Rows are
+    written by group, and a group's study reads its own files. A bounded pool
+    runs the studies; groups of few rows have the small trial budget.
     """
-    best: tuple[float, dict[str, float]] | None = None
-    for group in group_list(rows, keys, s.min_group_rows, s.max_groups):
-        part = rows
+    folded = with_folds(rows.drop("fold"), key, s.folds, s.seed + 1, by=list(keys), exact=True)
+    number = F.pmod(F.xxhash64(*keys), F.lit(1 << 10)).cast("int")
+    staged = stage_table(folded.withColumn("group_part", number), "groups", ["group_part"])
+    sizes = group_sizes(staged.withColumn("part", F.col("group_part")), [*keys, "part"], s.n_trials, min(s.n_trials, 10)).orderBy(*keys).collect()
+
+    def study(r) -> GroupStudy:
+        group = tuple(r[k] for k in keys)
+        if r["n_rows"] < s.min_group_rows:
+            return GroupStudy(group, r["n_rows"], "too_small")
+        part = staged.where(F.col("group_part") == r["part"])
         for k, v in zip(keys, group):
             part = part.where(F.col(k).eqNullSafe(F.lit(v)))
         name = "_".join([target, "group", *[str(v) for v in group]])
-        study = run_study(part, roles, preset, key, name, store, s)
-        if any(t.state == COMPLETE for t in study.trials) and (best is None or study.best.value < best[0]):
-            best = (study.best.value, study.best.params)
-    if best is None:
-        return run_study(rows, roles, preset, key, f"{target}_study", store, s).best.params
-    return best[1]
+        found = run_study(part.drop("group_part"), roles, preset, key, name, store, s, r["n_trials"])
+        if not any(t.state == COMPLETE for t in found.trials):
+            return GroupStudy(group, r["n_rows"], "no_result")
+        return GroupStudy(group, r["n_rows"], "searched", found.best.value, found.best.params)
+
+    with ThreadPoolExecutor(s.group_threads) as pool:
+        return list(pool.map(study, sizes))
+
+
+def best_params_by_group(
+    rows: DataFrame, target: str, roles, preset: Preset, key: str, keys: Sequence[str], store: TrialStore, s: SearchSettings
+) -> tuple[dict[str, float], list[GroupStudy]]:
+    """The parameters of the group with the smallest cross-validated error, and every group's outcome.
+
+    Falls back to the target's global study where no group has a result.
+    """
+    found = group_studies(rows, target, roles, preset, key, keys, store, s)
+    searched = [g for g in found if g.state == "searched"]
+    if searched:
+        best = min(searched, key=lambda g: (g.value, str(g.group))).params
+    else:
+        best = run_study(rows, roles, preset, key, f"{target}_study", store, s).best.params
+    return best, [g if g.state == "searched" else replace(g, params=best) for g in found]
 
 
 def train(
@@ -123,19 +153,20 @@ def train(
         raise ValueError("give params or a store for the search")
     kept = list(dict.fromkeys([key, *columns, *targets, *group_keys]))
     rows = df.select(*kept)
-    if s.dedup:
-        rows = rows.dropDuplicates([c for c in kept if c != key])
+    if s.dedup:  # the smallest key stays, so that split and folds repeat
+        rows = rows.groupBy(*[c for c in kept if c != key]).agg(F.min(key).alias(key)).select(*kept)
     rows = stage_table(with_folds(with_split(rows, key, s.test, s.seed), key, s.folds, s.seed + 1), "train", ["dataset"])
     features = features_by_target(columns, targets, exclusions)
+    groups: dict[str, list[GroupStudy]] = {}
     if params is None:
         params = {}
         for target in targets:
             table = as_target(rows.where(F.col("dataset") == "train"), target)
             roles = column_roles(rows, features[target], log, exp)
             if target in grouped:
-                params[target] = best_params_by_group(table, target, roles, preset, key, group_keys, store, s)
+                params[target], groups[target] = best_params_by_group(table, target, roles, preset, key, group_keys, store, s)
             else:
                 params[target] = run_study(table, roles, preset, key, f"{target}_study", store, s).best.params
     models, report = fit_with_params(rows, features, params, preset, key, s.inner, log, exp)
     meta = {t: TargetMeta(features[t], dtypes_of(rows, features[t]), dict(params[t])) for t in targets}
-    return Training(Bundle({t: m.pipeline for t, m in models.items()}, meta), {t: dict(params[t]) for t in targets}, report)
+    return Training(Bundle({t: m.pipeline for t, m in models.items()}, meta), {t: dict(params[t]) for t in targets}, report, groups)

@@ -57,12 +57,12 @@ def q_feature_rows(spark, sf):
       select row_key, unnest(['charge', 'unit_price', 'retail', 'disc']) as target,
              unnest([charge is not null, unit_price is not null, retail is not null, disc is not null]) as has
       from feature_rows),
-    -- every target is present in every row, so a feature's own count is the count of usable rows
-    counts as (select feature, count(*) filter (where has) as n_usable from filled group by feature)
+    counts as (select l.target, f.feature, count(*) filter (where f.has and l.has) as n_usable
+               from filled f join labelled l using (row_key) group by 1, 2)
     select t.target, c.feature, n.n_usable,
            case when c.feature in ('flag', 'status', 'brand_gap') then 'cat' when c.feature = 'charge' then 'log'
                 when c.feature = 'disc' then 'exp' else 'num' end as role
-    from targets t cross join cols c join counts n on n.feature = c.feature
+    from targets t cross join cols c join counts n on n.feature = c.feature and n.target = t.target
     where c.feature <> t.target
       and not exists (select 1 from excluded e where e.target = t.target and e.feature = c.feature)
       and exists (select 1 from labelled l where l.target = t.target and l.has)""",
@@ -291,33 +291,44 @@ def q_robust_scale(spark, sf):
     return _scaled(spark, sf, {"qty": "num", "retail": "num", "price": "num"}, "robust")
 
 
+ONE_HOT_BRANDS = ", ".join(
+    f"(coalesce(brand_gap, fill) = (select brand_gap from gaps where i = {i}))::double as brand_is{i}" for i in range(25)
+)
+
+
 @query(
     "one_hot",
     f"""with {SPLIT_ROWS},
     cats as (select flag, row_number() over (order by flag) - 1 as i
-             from (select distinct flag from split_rows where dataset = 'train' and flag is not null and tax < 0.08)),
+             from (select distinct flag from split_rows where dataset = 'train' and flag is not null)),
     gaps as (select brand_gap, row_number() over (order by brand_gap) - 1 as i
              from (select distinct brand_gap from split_rows
-                   where dataset = 'train' and brand_gap is not null and brand_gap < 'Brand#2')),
-    top as (select brand_gap as fill from split_rows
-            where dataset = 'train' and brand_gap is not null and brand_gap < 'Brand#2'
-            group by 1 order by count(*) desc, 1 limit 1)
+                   where dataset = 'train' and brand_gap is not null)),
+    top as (select brand_gap as fill from split_rows where dataset = 'train' and brand_gap is not null
+            group by 1 order by count(*) desc, 1 limit 1),
+    few as (select distinct brand_gap from split_rows where dataset = 'train' and brand_gap < 'Brand#2'),
+    few_top as (select brand_gap as few_fill from split_rows where dataset = 'train' and brand_gap < 'Brand#2'
+                group by 1 order by count(*) desc, 1 limit 1)
     select row_key,
            (flag = (select flag from cats where i = 0))::double as flag__is0,
            (flag = (select flag from cats where i = 1))::double as flag__is1,
            (flag = (select flag from cats where i = 2))::double as flag__is2,
-           coalesce((coalesce(brand_gap, fill) in (select brand_gap from gaps))::int, 0)::double as known_brand
-    from split_rows, top""",
+           {ONE_HOT_BRANDS},
+           coalesce((coalesce(brand_gap, few_fill) in (select brand_gap from few))::int, 0)::double as known_of_few
+    from split_rows, top, few_top""",
 )
 def q_one_hot(spark, sf):
     rows = prepared(spark, sf, "flag", "brand_gap")
     train = rows.where(F.col("dataset") == "train")
     flags = Preprocessor({"flag": "cat"}).fit(train)
-    # Fitted on some brands only: the others are unknown and give all zeros.
-    brands = Preprocessor({"brand_gap": "cat"}).fit(train.where(F.col("brand_gap") < "Brand#2"))
+    brands = Preprocessor({"brand_gap": "cat"}).fit(train)
+    # Fitted on a part of the brands: the others are unknown to it and give all zeros.
+    few = Preprocessor({"brand_gap": "cat"}).fit(train.where(F.col("brand_gap") < "Brand#2"))
+    known = sum([F.expr(x) for x in few.column_sql().values()], F.lit(0.0)).alias("known_of_few")
     out = brands.transform(flags.transform(rows))
-    known = sum([F.col(c) for c in brands.columns], F.lit(0.0))
-    return out.select("row_key", *flags.columns, known.alias("known_brand"))
+    none = F.lit(None).cast("double")  # there are at most 25 brands
+    columns = [(F.col(brands.columns[i]) if i < len(brands.columns) else none).alias(f"brand_is{i}") for i in range(25)]
+    return out.select("row_key", *flags.columns, *columns, known)
 
 
 @query(

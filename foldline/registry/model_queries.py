@@ -16,7 +16,6 @@ from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor
 from foldline.operators.search import cv_search
 from foldline.operators.space import build_preset, stack_from
-from foldline.operators.splits import with_folds
 from foldline.operators.stack import fit_preprocessed_stack
 from foldline.functions.metrics import regression_metrics
 from foldline.plans.fixed import fit_with_params
@@ -134,22 +133,35 @@ def q_elasticnet_coefficients(spark, sf):
 
 
 GROUP_MODELS = f"""{LINEAR},
-    g as (select brand, ptype, 1.0::double as alpha, {SUMS} from lin where dataset = 'train' group by 1, 2 having count(*) >= 300),
+    g as (select brand, ptype, 1.0::double as alpha, {SUMS} from lin where dataset = 'train' group by 1, 2 having count(*) >= 7),
+    sizes as (select brand, ptype, count(*) as n_rows from lin where dataset = 'train' group by 1, 2),
     {ridge_sql('w', 'g', 'brand, ptype')},
     t as (select 1.0::double as alpha, {SUMS} from lin where dataset = 'train'),
     {ridge_sql('f', 't', '')}"""
 
 
 def group_models(train: DataFrame) -> DataFrame:
-    return gr.fit_groups(train, X, "y", ["brand", "ptype"], 1.0, min_rows=300)
+    return gr.fit_groups(train, X, "y", ["brand", "ptype"], 1.0)
 
 
 @query(
     "group_linear_models",
-    f"with {GROUP_MODELS} select brand, ptype, n::bigint as n, {rnd('b0', 3)} as b0, {rnd('b1', 3)} as b1, {rnd('b2', 3)} as b2 from w",
+    f"""with {GROUP_MODELS}
+    select brand, ptype, n_rows, case when w.brand is null then 'global' else 'group' end as route,
+           {rnd('coalesce(w.b0, f.b0)', 2)} as b0, {rnd('coalesce(w.b1, f.b1)', 2)} as b1, {rnd('coalesce(w.b2, f.b2)', 2)} as b2
+    from sizes cross join f left join w using (brand, ptype)""",
 )
 def q_group_linear_models(spark, sf):
-    return _coefs(group_models(linear_train(spark, sf)), "brand", "ptype", "n")
+    """Every group with its model; groups under the documented minimum have the global one."""
+    train = linear_train(spark, sf)
+    keys = ["brand", "ptype"]
+    sizes = train.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    b0, coef = gr.fit_global(train, X, "y")
+    joined = sizes.join(group_models(train).select(*keys, "intercept", "coef"), keys, "left")
+    route = F.when(F.col("coef").isNull(), "global").otherwise("group").alias("route")
+    filled = joined.select(*keys, "n_rows", route, F.coalesce("intercept", F.lit(b0)).alias("intercept"),
+                           F.coalesce("coef", F.array(*map(F.lit, coef))).alias("coef"))
+    return _coefs(filled, *keys, "n_rows", "route", places=2)
 
 
 @query(
@@ -247,7 +259,7 @@ def q_stack_linear(spark, sf):
 
 
 ROLES = {"qty": "num", "price": "num", "disc": "exp", "tax": "num", "flag": "cat"}
-SMALL = {"rf_n_estimators": 5, "rf_max_depth": 4, "gbr_n_estimators": 5, "gbr_max_depth": 3, "gbr_learning_rate": 0.3}
+SMALL = {"rf_n_estimators": 50, "rf_max_depth": 6, "gbr_n_estimators": 20, "gbr_max_depth": 3, "gbr_learning_rate": 0.1}
 
 
 def small_rows(spark, sf) -> DataFrame:
@@ -256,7 +268,7 @@ def small_rows(spark, sf) -> DataFrame:
 
 def _stack_scores(spark, sf, passthrough: bool) -> DataFrame:
     rows = small_rows(spark, sf)
-    stack = stack_from(build_preset(1), SMALL, k=3)
+    stack = stack_from(build_preset(1), SMALL, k=5)
     stack.passthrough = passthrough
     model = fit_preprocessed_stack(rows.where(F.col("dataset") == "train"), ROLES, stack, "row_key")
     scored = model.transform(rows).withColumn("p", F.col("prediction"))
@@ -285,7 +297,7 @@ def q_fit_fixed_params(spark, sf):
     )
     save_params(per_target, path)
     params = {x["target"]: dict(x["params"]) for x in load_params(spark, path, list(targets)).collect()}
-    return fit_with_params(rows, targets, params, build_preset(1), "row_key", inner=3)[1].select(
+    return fit_with_params(rows, targets, params, build_preset(1), "row_key", inner=5)[1].select(
         "target", "dataset", *_rounded_scores(2)
     )
 
@@ -356,25 +368,47 @@ def q_ridge_predictions(spark, sf):
     return model.transform(rows).select("row_key", "dataset", r(F.col("prediction"), 1).alias("p"))
 
 
-@query("cv_search_refit")
-def q_cv_search_refit(spark, sf):
-    """Cross-validated search by -MAE, refit, scored on the hold-out."""
-    rows = small_rows(spark, sf)
-    pre = Preprocessor(ROLES).fit(rows.where(F.col("dataset") == "train"))
-    three = with_folds(pre.transform(rows), "row_key", k=3, seed=44, name="cv")
-    grid = [{"n_estimators": 5, "max_depth": d, "learning_rate": 0.3} for d in (2, 4)]
-    model, scores, best = cv_search(three.where(F.col("dataset") == "train"), pre.columns, "XGBRegressor", grid, fold="cv")
-    from pyspark.ml.feature import VectorAssembler
+CV_ALPHAS = [round(10 ** (-2 + i / 6), 6) for i in range(30)]
+
 
-    scored = model.transform(VectorAssembler(inputCols=pre.columns, outputCol="features").transform(three))
-    metrics = regression_metrics(scored.withColumn("p", F.col("prediction")), ["dataset"])
+@query(
+    "cv_search_refit",
+    f"""with {SPLIT_ROWS},
+    train as (select * from split_rows where dataset = 'train'),
+    folds as (select unnest([0, 1, 2, 3, 4]) as k),
+    ends as (
+      select k, min(price) as p0, max(price) - min(price) as pw, min(exp(disc)) as d0, max(exp(disc)) - min(exp(disc)) as dw
+      from folds join train on fold <> k group by k
+      union all
+      select 9, min(price), max(price) - min(price), min(exp(disc)), max(exp(disc)) - min(exp(disc)) from train),
+    lin as (
+      select k, fold, dataset, charge as y, (price - p0) / pw as x1, (exp(disc) - d0) / dw as x2
+      from split_rows, ends),
+    alphas as (select unnest({CV_ALPHAS}::double[]) as alpha),
+    g as (select * from (select k, {SUMS} from lin where dataset = 'train' and fold <> k group by k), alphas),
+    {ridge_sql('w', 'g', 'k')},
+    errs as (select k, alpha, avg(abs(y - b0 - b1 * x1 - b2 * x2)) as mae from lin join w using (k)
+             where dataset = 'train' and fold = k group by all),
+    cv as (select alpha, -avg(mae) as score from errs group by alpha),
+    best as (select alpha, score from cv order by score desc, alpha limit 1),
+    s as (select dataset, y, b0 + b1 * x1 + b2 * x2 as p from lin join w using (k) join best using (alpha) where k = 9),
+    m as (select dataset, {SCORES} from s group by 1)
+    select dataset, {ROUNDED}, {rnd('score', 2)} as cv_best_score, alpha as best_alpha, 30 as n_trials, 2 as n_features from m, best""",
+)
+def q_cv_search_refit(spark, sf):
+    """Cross-validated search by -MAE with statistics per fold, refit, scored on the hold-out."""
+    rows = prepared(spark, sf, "price", "disc", "charge").withColumn("y", F.col("charge"))
+    grid = [{"alpha": a} for a in CV_ALPHAS]
+    roles = {"price": "num", "disc": "exp"}
+    model, scores, best = cv_search(rows.where(F.col("dataset") == "train"), roles, "Ridge", grid, parallelism=8)
+    metrics = regression_metrics(model.transform(rows).withColumn("p", F.col("prediction")), ["dataset"])
     return metrics.select(
         "dataset",
-        *_rounded_scores(2),
-        F.lit(round(scores[best], 2)).alias("cv_best_score"),
-        F.lit(grid[best]["max_depth"]).alias("best_max_depth"),
+        *_rounded_scores(),
+        r(F.lit(scores[best]), 2).alias("cv_best_score"),
+        F.lit(grid[best]["alpha"]).alias("best_alpha"),
         F.lit(len(grid)).alias("n_trials"),
-        F.lit(len(ROLES)).alias("n_features"),
+        F.lit(len(roles)).alias("n_features"),
     )
 
 

@@ -101,7 +101,7 @@ WINNERS = f"""{TRIALS}, {_best('target, study')},
     winners as (
       select target, case when target = 'target_1' then 'nan'::double else score end as score, p_k from (
         select target, best_value as score, p_k, row_number() over (partition by target order by best_value, study) as rk2
-        from best where study <> 'study_0') where rk2 = 1),
+        from best) where rk2 = 1),
     overall as (select value as score, p_k from trials where state = 'COMPLETE' order by value, study, trial limit 1)"""
 
 
@@ -115,7 +115,7 @@ WINNERS = f"""{TRIALS}, {_best('target, study')},
 )
 def q_winner_guard(spark, sf):
     history = history_of(spark, sf)
-    per_group = st.study_best(history.where(F.col("study") != "study_0"), ["target", "study"])
+    per_group = st.study_best(history, ["target", "study"])
     best = st.best_group(per_group, "target", "best_value", ["study"], ["best_params"])
     # One target's group search is made to end without a usable score.
     broken = F.when(F.col("target") == "target_1", F.lit(float("nan"))).otherwise(F.col("best_value"))
@@ -147,13 +147,15 @@ def q_params_by_target(spark, sf):
 
 @query(
     "params_missing_targets",
-    """select distinct 'target_' || (user_id % 10) as target from events
-    where 'target_' || (user_id % 10) not in (
-      select 'target_' || (user_id % 10) from events where event_type not in ('signup', 'error') and value < 0.05)""",
+    """select distinct 'target_' || user_id || '_' || (event_id % 7) as target from events
+    where 'target_' || user_id || '_' || (event_id % 7) not in (
+      select 'target_' || user_id || '_' || (event_id % 7) from events where event_type not in ('signup', 'error'))""",
 )
 def q_params_missing_targets(spark, sf):
-    history = fx.trials(spark, sf).withColumn("target", F.concat(F.lit("target_"), (F.col("user_id") % 10).cast("string")))
-    params = st.study_best(history.where(F.col("value") < 0.05), ["target"]).select("target", F.col("best_params").alias("params"))
+    """Targets of which no trial has ended well."""
+    own = F.concat_ws("_", F.lit("target"), F.col("user_id"), F.col("event_id") % 7)
+    history = fx.trials(spark, sf).withColumn("target", own)
+    params = st.study_best(history, ["target"]).select("target", F.col("best_params").alias("params"))
     return missing_targets(history, params)
 
 
@@ -189,7 +191,8 @@ def q_running_fold_mean(spark, sf):
     f"""with {STEPS},
     reported as (
       select study, trial, step, step_value,
-             min(step_value) over (partition by study, trial order by step) as best from trial_steps),
+             min(step_value) over (partition by study, trial order by step) as best
+      from (select study, trial, step, avg(step_value) over (partition by study, trial order by step) as step_value from trial_steps)),
     done as (select study, trial from trials where state = 'COMPLETE'),
     peers as (select r.study, r.trial, r.step, r.step_value from reported r join done using (study, trial)),
     judged as (
@@ -200,7 +203,8 @@ def q_running_fold_mean(spark, sf):
 )
 def q_median_prune(spark, sf):
     history = stage_table(fx.trials(spark, sf).select("study", "trial", "state", "raw_value", "event_id"), "trials")
-    return first_prune(median_prune(fx.trial_steps(history), history))
+    means = st.running_fold_mean(fx.trial_steps(history)).select("study", "trial", "step", F.col("running_mean").alias("step_value"))
+    return first_prune(median_prune(stage_table(means, "means"), history))
 
 
 def _streak_sql(hit: str, source: str = "trials") -> str:

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from foldline.functions.numeric import clean
 
+# The columns of a score table, in their order.
 SCORE_COLUMNS = ("target", "dataset", "MAE", "RMSE", "R2")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A CSV file with header, or Parquet by its suffix; a missing path is an error.
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, format: str | None = None) -> DataFrame:
+    """A CSV file with header, or Parquet, by ``format`` or else by suffix; a missing path is an error.
 
     Give a schema for large CSV input: inferring one costs an extra scan. NaN
     becomes NULL, so that both count as missing.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    if (format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")) == "parquet":
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.parquet(path)
     else:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor
-from foldline.operators.space import build_preset, real, whole
+from foldline.operators.search import Study, random_proposals, run_trials
+from foldline.operators.space import Preset, build_preset, real, whole
 from foldline.plans.single_model import search_single_models
 from foldline.plans.training import SearchSettings, train
 from foldline.session import shared_dir, stage_table
@@ -97,7 +98,7 @@ TINY = [whole("rf_n_estimators", 2, 3), whole("rf_max_depth", 2, 3), whole("gbr_
 
 def test_train_by_group_and_resume(spark, rows, tmp_path):
     store = TrialStore(spark, str(tmp_path))
-    s = SearchSettings(n_trials=1, folds=2, inner=2, space=TINY, max_groups=5)
+    s = SearchSettings(n_trials=1, folds=2, inner=2, space=TINY)
     keys = ["width", "height"]
     args = (["width", "height", "rho", "Sm", "bd"], ["bd"], "key", build_preset(1))
     got = train(rows.where("width < 300"), *args, store=store, grouped=["bd"], group_keys=keys, settings=s)
@@ -107,8 +108,53 @@ def test_train_by_group_and_resume(spark, rows, tmp_path):
     assert report["train"]["R2"] > 0.3 and got.bundle.meta["bd"].features == ["width", "height", "rho", "Sm"]
     again = train(rows.where("width < 300"), *args, store=store, grouped=["bd"], group_keys=keys, settings=s)
     assert store.trials().count() == 2 and again.params == got.params
-    with pytest.raises(ValueError, match="groups"):
-        train(rows, *args, store=store, grouped=["bd"], group_keys=["rho"], settings=SearchSettings(max_groups=2, min_group_rows=1))
+    state = {g.group: g.state for g in got.groups["bd"]}
+    assert set(state.values()) == {"searched"}
+
+
+LINEAR = Preset(9, [("a", "Ridge"), ("b", "Ridge")], ("m", "Ridge"), False, [real("m_alpha", 0.01, 10.0, True)])
+
+
+def test_small_groups_are_searched_or_reported(spark, tmp_path):
+    """Groups of 7, 10 and 25 rows have no empty fold at the default five by five; smaller ones are named."""
+    data = [(100 * g + i, float(g), float(i), float((7 * i) % 5), float(2 * i + g)) for g, n in enumerate((7, 10, 25, 6)) for i in range(n)]
+    df = spark.createDataFrame(data, "key long, g double, a double, b double, y0 double")
+    store = TrialStore(spark, str(tmp_path))
+    s = SearchSettings(n_trials=1, test=0.0)
+    got = train(df, ["a", "b", "y0"], ["y0"], "key", LINEAR, store=store, grouped=["y0"], group_keys=["g"], settings=s)
+    assert [(g.rows, g.state) for g in got.groups["y0"]] == [(7, "searched"), (10, "searched"), (25, "searched"), (6, "too_small")]
+    assert all(g.params == got.params["y0"] for g in got.groups["y0"] if g.state == "too_small")
+    assert store.steps().count() == 15
+
+
+def test_failed_trial_is_on_record_and_the_rest_resumes(spark, tmp_path):
+    store = TrialStore(spark, str(tmp_path))
+    space = [real("x", 0.0, 1.0)]
+
+    def objective(params, report, broken=()):
+        if len(store.open("s", 6).trials) in broken:
+            raise RuntimeError("lost")
+        report(params["x"])
+        return params["x"]
+
+    run = lambda f, n: run_trials(store.open("s", 6), f, random_proposals(space), n, finished=lambda done: store.save("s", done), stop=False)
+    with pytest.raises(RuntimeError):
+        run(lambda p, r: objective(p, r, {3}), 6)
+    assert [t.state for t in store.open("s", 6).trials] == ["COMPLETE"] * 3 + ["FAIL"]
+    run(objective, 3)
+    whole_run = run_trials(Study("s"), lambda p, r: p["x"], random_proposals(space), 7, stop=False)
+    again = store.open("s", 6).trials
+    assert [t.params for t in again] == [t.params for t in whole_run.trials] and sum(t.state == "COMPLETE" for t in again) == 6
+    other = run_trials(Study("t"), lambda p, r: p["x"], random_proposals(space), 1, stop=False)
+    assert other.trials[0].params != whole_run.trials[0].params
+
+
+def test_read_faults_are_not_an_empty_history(spark, tmp_path):
+    (tmp_path / "trials").mkdir()
+    (tmp_path / "trials" / "bucket=0").mkdir()
+    (tmp_path / "trials" / "bucket=0" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        TrialStore(spark, str(tmp_path)).trials().collect()
 
 
 def test_train_with_given_params(spark, rows):

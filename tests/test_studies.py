@@ -62,8 +62,8 @@ def test_study_best_ties_and_missing(spark):
     assert (row["best_value"], row["best_params"], row["n_complete"]) == (None, None, 0)
 
 
-@pytest.mark.parametrize("split_above", [5, 100_000])
-def test_median_prune_brute_force(spark, split_above):
+@pytest.mark.parametrize("range_values", [3, 2_000])
+def test_median_prune_brute_force(spark, range_values):
     rng = np.random.default_rng(4)
     trials, steps = [], []
     for s, n in (("hot", 130), ("b", 9), ("c", 30)):
@@ -71,7 +71,7 @@ def test_median_prune_brute_force(spark, split_above):
             trials.append((s, t, str(rng.choice(["COMPLETE", "COMPLETE", "PRUNED", "FAIL"])), 1.0, {}))
             steps += [(s, t, i, float(v)) for i, v in enumerate(rng.integers(0, 40, 4), 1)]
     tdf, sdf = spark.createDataFrame(trials, TRIAL_SCHEMA), spark.createDataFrame(steps, "study string, trial long, step int, step_value double")
-    got = {(r["study"], r["trial"]): r["step"] for r in first_prune(median_prune(sdf, tdf, split_above=split_above)).collect()}
+    got = {(r["study"], r["trial"]): r["step"] for r in first_prune(median_prune(sdf, tdf, range_values=range_values)).collect()}
     by = {}
     for s, t, i, v in steps:
         by.setdefault((s, t), []).append(v)
@@ -110,7 +110,7 @@ def test_resume_equals_an_unbroken_run(spark, tmp_path):
         study = store.open("s", 8)
         known = len(study.trials)
         run_trials(study, objective, propose, n, stop=False)
-        store.save_new(study, known)
+        store.save(study.name, study.trials[known:])
     again = store.open("s", 99)
     assert [(t.number, t.params, t.value) for t in again.trials] == [(t.number, t.params, t.value) for t in whole_run.trials]
     assert store.studies().first()["goal_n_trials"] == 8
