@@ -16,10 +16,11 @@ from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor
 from foldline.operators.search import cv_search
 from foldline.operators.space import build_preset, stack_from
-from foldline.operators.stack import fit_preprocessed_stack
+from foldline.operators.stack import Member, Stack, fit_preprocessed_stack
 from foldline.functions.metrics import regression_metrics
 from foldline.plans.fixed import fit_with_params
-from foldline.registry.base import SPLIT_ROWS, query, rnd
+from foldline.registry import tree_sql
+from foldline.registry.base import SPLIT_ROWS, hash_sql, query, rnd
 from foldline.registry.data_queries import BANDED, ROUNDED, SCORES, banded, prepared, _rounded_scores
 from foldline.session import shared_dir, spread
 from foldline.sources.bundle import Bundle, TargetMeta, load_bundle, save_bundle, score_batch
@@ -260,29 +261,78 @@ def q_stack_linear(spark, sf):
 
 ROLES = {"qty": "num", "price": "num", "disc": "exp", "tax": "num", "flag": "cat"}
 SMALL = {"rf_n_estimators": 50, "rf_max_depth": 6, "gbr_n_estimators": 20, "gbr_max_depth": 3, "gbr_learning_rate": 0.1}
+# Few values each, so that every cut a tree can make is known to SQL.
+CELLS = ["disc", "tax", "q"]
 
 
 def small_rows(spark, sf) -> DataFrame:
     return prepared(spark, sf, *ROLES, "charge").withColumn("y", F.col("charge"))
 
 
-def _stack_scores(spark, sf, passthrough: bool) -> DataFrame:
-    rows = small_rows(spark, sf)
-    stack = stack_from(build_preset(1), SMALL, k=5)
-    stack.passthrough = passthrough
-    model = fit_preprocessed_stack(rows.where(F.col("dataset") == "train"), ROLES, stack, "row_key")
-    scored = model.transform(rows).withColumn("p", F.col("prediction"))
-    return regression_metrics(scored, ["dataset"]).select("dataset", *_rounded_scores(2))
+def cell_rows(spark, sf) -> DataFrame:
+    rows = prepared(spark, sf, "disc", "tax", "qty", "charge")
+    return rows.select("row_key", "dataset", "disc", "tax", F.coalesce("qty", F.lit(0.0)).alias("q"), F.col("charge").alias("y"))
+
+
+CELL_ROWS = f"{SPLIT_ROWS}, rows as materialized (select row_key, dataset, disc, tax, coalesce(qty, 0)::double as q, charge as y from split_rows)"
+
+
+inside_train = "where dataset = 'train'"
+
+
+ROUNDED_1 = ", ".join(f'{rnd(chr(34) + m + chr(34), p)} as "{m}"' for m, p in (("MAE", 1), ("RMSE", 1), ("R2", 4)))
 
 
-@query("stack_rf_gbt")
+def _on_cells(ctes: list[str]) -> str:
+    return f"with {CELL_ROWS}, {tree_sql.cells('cells', 'rows', CELLS, inside_train)}, " + ", ".join(ctes)
+
+
+def _stack_sql() -> str:
+    """Trees for every inner fold and for all rows, then the ridge on the out-of-fold predictions."""
+    n_folds = 5
+    ctes = [f"with {CELL_ROWS}", f"""ranked as (
+      select row_key, disc, tax, q, y, row_number() over (order by {hash_sql(1043)}, row_key) - 1 as i, count(*) over () as n
+      from rows where dataset = 'train')""", f"""inner_rows as materialized (
+      select row_key, disc, tax, q, y,
+             case when i < (n % {n_folds}) * (n // {n_folds} + 1) then i // (n // {n_folds} + 1)
+                  else n % {n_folds} + (i - (n % {n_folds}) * (n // {n_folds} + 1)) // (n // {n_folds}) end as f from ranked)"""]
+    parts = []
+    for f in [*range(n_folds), "all"]:
+        inside = f"where dataset = 'train' and coalesce(f, -1) <> {f}" if f != "all" else inside_train
+        ctes.append(tree_sql.cells(f"c{f}", "(select rows.*, f from rows left join (select row_key, f from inner_rows) using (row_key))", CELLS, inside))
+        ctes += tree_sql.tree(f"rf{f}", f"c{f}", CELLS, 4, 2) + tree_sql.boosted(f"gb{f}", f"c{f}", CELLS, 4, 2, 0.3)
+        if f != "all":
+            parts.append(f"select y, a.p as x1, b.p as x2 from inner_rows r join rf{f} a using (disc, tax, q) join gb{f} b using (disc, tax, q) where f = {f}")
+    ctes += [f"oof as ({' union all '.join(parts)})", f"g as (select 1.0::double as alpha, {SUMS} from oof)", ridge_sql("w", "g", ""),
+             "final as (select dataset, y, b0 + b1 * a.p + b2 * b.p as p from rows join rfall a using (disc, tax, q) join gball b using (disc, tax, q), w)",
+             f"s as (select dataset, {SCORES} from final group by 1)"]
+    return ", ".join(ctes) + f" select dataset, {ROUNDED_1} from s"
+
+
+
+
+def _scores_1(df: DataFrame) -> DataFrame:
+    return df.select("dataset", r(F.col("MAE"), 1).alias("MAE"), r(F.col("RMSE"), 1).alias("RMSE"), r(F.col("R2"), 4).alias("R2"))
+
+
+@query("stack_rf_gbt", _stack_sql())
 def q_stack_rf_gbt(spark, sf):
-    return _stack_scores(spark, sf, False)
+    """Forest and boosted trees under a ridge on five exact inner folds; without bootstrap, so that SQL grows the same trees."""
+    rows = cell_rows(spark, sf)
+    bases = [Member("rf", "RandomForestRegressor", {"n_estimators": 20, "max_depth": 4, "bootstrap": False}),
+             Member("gbr", "GradientBoostingRegressor", {"n_estimators": 4, "max_depth": 2, "learning_rate": 0.3})]
+    model = Stack(bases, Member("ridge", "Ridge", {"alpha": 1.0}), k=5).fit(rows.where(F.col("dataset") == "train"), CELLS, "row_key")
+    return _scores_1(regression_metrics(model.transform(rows).withColumn("p", F.col("prediction")), ["dataset"]))
 
 
 @query("stack_passthrough")
 def q_stack_passthrough(spark, sf):
-    return _stack_scores(spark, sf, True)
+    rows = small_rows(spark, sf)
+    stack = stack_from(build_preset(1), SMALL, k=5)
+    stack.passthrough = True
+    model = fit_preprocessed_stack(rows.where(F.col("dataset") == "train"), ROLES, stack, "row_key")
+    scored = model.transform(rows).withColumn("p", F.col("prediction"))
+    return regression_metrics(scored, ["dataset"]).select("dataset", *_rounded_scores(2))
 
 
 @query("fit_fixed_params")
@@ -305,52 +355,79 @@ def q_fit_fixed_params(spark, sf):
 # Learners
 
 
-def _learner(spark, sf, name: str, params: dict) -> DataFrame:
-    rows = small_rows(spark, sf)
-    pre = Preprocessor(ROLES).fit(rows.where(F.col("dataset") == "train"))
-    scaled = pre.transform(rows).select("row_key", "dataset", "y", *pre.columns)
-    model = fit_learner(name, params, scaled.where(F.col("dataset") == "train"), pre.columns)
-    return model.transform(scaled).select("row_key", "dataset", r(F.col("prediction"), 2).alias("p"))
+def _cell_learner(spark, sf, name: str, params: dict) -> DataFrame:
+    rows = cell_rows(spark, sf)
+    model = fit_learner(name, params, rows.where(F.col("dataset") == "train"), CELLS)
+    return model.transform(rows).select("row_key", "dataset", r(F.col("prediction"), 2).alias("p"))
+
 
+def _predicted(ctes: list[str], name: str) -> str:
+    return _on_cells(ctes) + f" select row_key, dataset, {rnd('p', 2)} as p from rows join {name} using ({', '.join(CELLS)})"
 
-@query("rf_predictions")
+
+@query("rf_predictions", _predicted(tree_sql.tree("t", "cells", CELLS, 6, 2), "t"))
 def q_rf_predictions(spark, sf):
-    return _learner(spark, sf, "RandomForestRegressor", {"n_estimators": 10, "max_depth": 4})
+    """Without bootstrap every tree of the forest is the same, and SQL grows it."""
+    return _cell_learner(spark, sf, "RandomForestRegressor", {"n_estimators": 20, "max_depth": 6, "bootstrap": False})
 
 
-@query("gbt_predictions")
+@query("gbt_predictions", _predicted(tree_sql.boosted("t", "cells", CELLS, 20, 3, 0.1), "t"))
 def q_gbt_predictions(spark, sf):
-    return _learner(spark, sf, "GradientBoostingRegressor", {"n_estimators": 10, "max_depth": 3})
+    return _cell_learner(spark, sf, "GradientBoostingRegressor", {"n_estimators": 20, "max_depth": 3})
 
 
-@query("hist_gbt_predictions")
+@query("hist_gbt_predictions", _predicted(tree_sql.boosted("t", "cells", CELLS, 12, 3, 0.1), "t"))
 def q_hist_gbt_predictions(spark, sf):
-    return _learner(spark, sf, "HistGradientBoostingRegressor", {"n_estimators": 5, "max_depth": 4, "max_bins": 128})
+    return _cell_learner(spark, sf, "HistGradientBoostingRegressor", {"n_estimators": 12, "max_depth": 3})
 
 
-@query("xgb_predictions")
+@query("xgb_predictions", _predicted(tree_sql.boosted("t", "cells", CELLS, 10, 3, 0.3), "t"))
 def q_xgb_predictions(spark, sf):
-    return _learner(spark, sf, "XGBRegressor", {"n_estimators": 5, "max_depth": 4, "subsample": 0.8})
+    return _cell_learner(spark, sf, "XGBRegressor", {"n_estimators": 10, "max_depth": 3})
 
 
-@query("lgbm_predictions")
+@query("lgbm_predictions", _predicted(tree_sql.boosted("t", "cells", CELLS, 10, 3, 0.1), "t"))
 def q_lgbm_predictions(spark, sf):
-    return _learner(spark, sf, "LGBMRegressor", {"n_estimators": 5, "num_leaves": 15})
+    return _cell_learner(spark, sf, "LGBMRegressor", {"n_estimators": 10, "num_leaves": 8})
 
 
-@query("catboost_predictions")
+@query("catboost_predictions", _predicted(tree_sql.boosted("t", "cells", CELLS, 10, 3, 0.3), "t"))
 def q_catboost_predictions(spark, sf):
-    return _learner(spark, sf, "CatBoostRegressor", {"iterations": 5, "depth": 4, "learning_rate": 0.3})
+    return _cell_learner(spark, sf, "CatBoostRegressor", {"iterations": 10, "depth": 3, "learning_rate": 0.3})
+
+
+def _properties(spark, sf, name: str, params: dict) -> DataFrame:
+    """Rows predicted, rows predicted within the labels' training range, and whether the test error is below the mean's."""
+    rows = small_rows(spark, sf)
+    pre = Preprocessor(ROLES).fit(rows.where(F.col("dataset") == "train"))
+    scaled = pre.transform(rows).select("row_key", "dataset", "y", *pre.columns)
+    model = fit_learner(name, params, scaled.where(F.col("dataset") == "train"), pre.columns)
+    ends = rows.where(F.col("dataset") == "train").agg(F.min("y"), F.max("y"), F.avg("y")).first()
+    p, slack = F.col("prediction"), 1e-6
+    scored = model.transform(scaled)
+    return scored.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(p.between(ends[0] - slack, ends[1] + slack)).alias("n_inside"),
+        (F.sum(F.when(F.col("dataset") == "test", (F.col("y") - p) ** 2)) < F.sum(F.when(F.col("dataset") == "test", (F.col("y") - ends[2]) ** 2))).alias("beats_mean"),
+    )
+
+
+PROPERTIES = f"with {SPLIT_ROWS} select count(*) as n_rows, count(*) as n_inside, true as beats_mean from split_rows"
+
+
+@query("rf_bootstrap", PROPERTIES)
+def q_rf_bootstrap(spark, sf):
+    return _properties(spark, sf, "RandomForestRegressor", {"n_estimators": 50, "max_depth": 6})
 
 
-@query("extra_trees_predictions")
+@query("extra_trees_predictions", PROPERTIES)
 def q_extra_trees_predictions(spark, sf):
-    return _learner(spark, sf, "ExtraTreesRegressor", {"n_estimators": 5, "max_depth": 4})
+    return _properties(spark, sf, "ExtraTreesRegressor", {"n_estimators": 16, "max_depth": 6})
 
 
-@query("rff_regression")
+@query("rff_regression", f"with {SPLIT_ROWS} select count(*) as n_rows, true as beats_mean from split_rows")
 def q_rff_regression(spark, sf):
-    return _learner(spark, sf, "SVR", {"n_components": 16, "gamma": 0.5, "C": 10.0})
+    return _properties(spark, sf, "SVR", {"n_components": 64, "gamma": 0.5, "C": 10.0}).drop("n_inside")
 
 
 RIDGE_ROWS = f"""{LINEAR},
