@@ -3,9 +3,9 @@
 Spark's exact ``percentile`` keeps every distinct value of a column in one
 buffer, which a continuous column at full size cannot afford; the approximate
 form is not exact. Here a sketch brackets each wanted rank, and the next pass
-counts the rows below and inside the bracket and sorts the inside, whose size
-the sketch bounds (0.06 % of the rows). Where that bound is too large, the
-bracket shrinks by further passes first. Only bracket ends reach the driver.
+counts the rows below and inside the bracket. Every pass shrinks the bracket to
+0.06 % of what it held, until a handful of values is left to sort. Only bracket
+ends reach the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from foldline.functions.numeric import clean
 ACCURACY = 10_000
 SLACK = 2.0 / ACCURACY
 INSIDE_SHARE = 2 * SLACK + 2.0 / ACCURACY  # bracket width plus the sketch error at both ends
+HANDFUL = 1_000  # values that a last bracket may hold
 BATCH = 48  # searches per aggregation, to keep generated code and buffers small
 
 
@@ -70,7 +71,6 @@ def exact_quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],
     probs: Sequence[float],
-    limit: int = 100_000,
     extra: Mapping[str, Column] | None = None,
     found: dict | None = None,
 ) -> dict[str, list[float | None]]:
@@ -83,13 +83,13 @@ def exact_quantiles(
     step = max(1, BATCH // max(len(probs), 1))
     for at in range(0, len(names), step):
         part = {c: clean(exprs[c]) for c in names[at : at + step]}
-        out.update(_quantiles(df, part, probs, limit, extra if at == 0 else None, found))
+        out.update(_quantiles(df, part, probs, extra if at == 0 else None, found))
     if extra and not names:
         found.update(df.agg(*[c.alias(n) for n, c in extra.items()]).first().asDict())
     return out
 
 
-def _quantiles(df, values: dict[str, Column], probs, limit, extra, found) -> dict[str, list[float | None]]:
+def _quantiles(df, values: dict[str, Column], probs, extra, found) -> dict[str, list[float | None]]:
     names = list(values)
     aggs = [F.count(x).alias(f"n{i}") for i, x in enumerate(values.values())]
     aggs += [_bracket(x, p).alias(f"s{i}_{j}") for i, x in enumerate(values.values()) for j, p in enumerate(probs)]
@@ -110,13 +110,13 @@ def _quantiles(df, values: dict[str, Column], probs, limit, extra, found) -> dic
                 searches[c, rank] = _Search(values[c], rank, sizes[c])
                 ends[c, rank] = tuple(first[f"s{i}_{j}"])
     todo = list(searches)
-    _pass(df, [searches[k] for k in todo], [ends[k] for k in todo], limit)
+    _pass(df, [searches[k] for k in todo], [ends[k] for k in todo])
     while True:
         left = [s for s in searches.values() if s.answer is None]
         if not left:
             break
         row = df.agg(*[s.sketch().alias(f"s{i}") for i, s in enumerate(left)]).first()
-        _pass(df, left, [tuple(row[f"s{i}"]) for i in range(len(left))], limit)
+        _pass(df, left, [tuple(row[f"s{i}"]) for i in range(len(left))])
     for c in names:
         if sizes[c] == 0:
             continue
@@ -128,7 +128,7 @@ def _quantiles(df, values: dict[str, Column], probs, limit, extra, found) -> dic
     return out
 
 
-def _pass(df: DataFrame, todo: list[_Search], ends: list[tuple[float, float]], limit: int) -> None:
+def _pass(df: DataFrame, todo: list[_Search], ends: list[tuple[float, float]]) -> None:
     """Count around every bracket, and read the answer off its inside where that is small."""
     aggs = []
     for i, (s, (a, b)) in enumerate(zip(todo, ends)):
@@ -141,7 +141,7 @@ def _pass(df: DataFrame, todo: list[_Search], ends: list[tuple[float, float]], l
             F.count_if(mid).alias(f"mid{i}"),
             F.count_if(inside & (s.x == b) & (s.x > a)).alias(f"b{i}"),
         ]
-        if s.size * INSIDE_SHARE <= limit:
+        if s.size * INSIDE_SHARE <= HANDFUL:
             place = (F.lit(s.rank) - below - at_a).cast("int")
             aggs.append(F.get(F.sort_array(F.collect_list(F.when(mid, s.x))), place).alias(f"v{i}"))
     row = df.agg(*aggs).first().asDict()

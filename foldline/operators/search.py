@@ -288,7 +288,8 @@ def propose_tpe(
 ) -> DataFrame:
     """One proposal per study and parameter from its history, all studies at once.
 
-    Good trials are the best tenth (at most ``top``). Candidates are fixed by
+    Good trials are the best tenth, and at most ``top``: in long studies the good ones stay few, which sharpens the
+    draws. Candidates are fixed by
     hash. Each COMPLETE trial adds its kernel to every candidate of its study,
     so the sums combine before the shuffle; the candidate with the largest
     ratio of good to other density wins.

@@ -516,7 +516,7 @@ def q_exact_quantiles(spark, sf):
     rows = stage_table(fx.feature_rows(spark, sf).select("flag", "charge", "qty"), "rows")
     flags = [x["flag"] for x in rows.select("flag").distinct().orderBy("flag").collect()]
     exprs = {f"{c}|{f}": F.when(F.col("flag") == f, F.col(c)) for f in flags for c in ("charge", "qty")}
-    found = exact_quantiles(rows, exprs, [0.25, 0.5, 0.9], limit=500)
+    found = exact_quantiles(rows, exprs, [0.25, 0.5, 0.9])
     counts = rows.groupBy("flag").count()
     for i, name in enumerate(("q1", "q2", "q3")):
         value = F.lit(None).cast("double")

@@ -260,7 +260,7 @@ def q_stack_linear(spark, sf):
 
 
 ROLES = {"qty": "num", "price": "num", "disc": "exp", "tax": "num", "flag": "cat"}
-SMALL = {"rf_n_estimators": 50, "rf_max_depth": 6, "gbr_n_estimators": 20, "gbr_max_depth": 3, "gbr_learning_rate": 0.1}
+SMALL = {"rf_n_estimators": 20, "rf_max_depth": 5, "gbr_n_estimators": 10, "gbr_max_depth": 3, "gbr_learning_rate": 0.1}
 # Few values each, so that every cut a tree can make is known to SQL.
 CELLS = ["disc", "tax", "q"]
 
