@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from foldline import fixtures as fx
@@ -14,7 +16,8 @@ from foldline.operators.preprocess import Preprocessor, most_frequent, transform
 from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.roles import column_roles, features_by_target, usable_targets
 from foldline.operators.splits import stratified_split, with_folds, with_split
-from foldline.session import stage_table
+from foldline.session import shared_dir, stage_table
+from foldline.sources.tables import read_table, write_scores
 from foldline.registry.base import FEATURE_ROWS, SPLIT_ROWS, hash_sql, query, rnd
 
 
@@ -440,6 +443,37 @@ def q_holdout_report(spark, sf):
     return reports.holdout_report(predictions(spark, sf)).select("target", "dataset", *_rounded_scores())
 
 
+@query(
+    "csv_round_trip",
+    f"with {BANDED}, s as (select target, dataset, {SCORES} from preds group by 1, 2) select target, dataset, {ROUNDED} from s",
+)
+def q_csv_round_trip(spark, sf):
+    """The report written as CSV with a byte-order mark, and read back."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_scores(reports.holdout_report(predictions(spark, sf)), path, bom=True)
+    return read_table(spark, path, "target string, dataset string, MAE double, RMSE double, R2 double", format="csv").select(
+        "target", "dataset", *_rounded_scores()
+    )
+
+
+@query(
+    "remainder_columns",
+    f"""with {SPLIT_ROWS},
+    ends as (select min(price) as p0, max(price) - min(price) as pw, min(ln(1 + charge)) as c0, max(ln(1 + charge)) - min(ln(1 + charge)) as cw,
+                    min(exp(disc)) as d0, max(exp(disc)) - min(exp(disc)) as dw from split_rows where dataset = 'train')
+    select row_key, 'price__num,charge__log,disc__exp,tax__raw,size__raw' as order_of_columns, {rnd('(price - p0) / pw', 6)} as price__num,
+           {rnd('(ln(1 + charge) - c0) / cw', 6)} as charge__log, {rnd('(exp(disc) - d0) / dw', 6)} as disc__exp, tax as tax__raw, size as size__raw
+    from split_rows, ends""",
+)
+def q_remainder_columns(spark, sf):
+    """Branches in their fixed order, then the columns without a role as they are."""
+    rows = prepared(spark, sf, "price", "charge", "disc", "tax", "size")
+    pre = Preprocessor({"disc": "exp", "charge": "log", "price": "num"}, remainder="passthrough")
+    model = pre.fit(rows.where(F.col("dataset") == "train"), ["tax", "size"])
+    scaled = [r(F.col(c), 6).alias(c) for c in model.columns[:3]]
+    return model.transform(rows).select("row_key", F.lit(",".join(model.columns)).alias("order_of_columns"), *scaled, *model.columns[3:])
+
+
 @query(
     "test_metrics_sorted",
     f"with {BANDED}, s as (select target, {SCORES} from preds where dataset = 'test' group by 1) "

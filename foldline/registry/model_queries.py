@@ -230,7 +230,10 @@ def _stack_linear(spark, sf) -> DataFrame:
     for name, keys in bases.items():
         oof = oof_group_mean(oof, keys, "y", "fold", name)
         scored = predict_group_mean(scored, fit_group_mean(train, keys, "y"), keys, name)
-    names = list(bases)
+    # Sums of products want columns near zero; a shift leaves the slopes as they are.
+    level = train.agg(F.avg("y")).first()[0]
+    names = [f"{c}_off" for c in bases]
+    oof, scored = (df.select("*", *[(F.col(c) - level).alias(n) for c, n in zip(bases, names)]) for df in (oof, scored))
     meta = solve_ridge(gram(oof, names, "y"), names, [1.0]).first()
     coef = F.array(*[F.lit(c) for c in meta["coef"]])
     return scored.withColumn("p", linear_prediction(names, F.lit(meta["intercept"]), coef))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldline import fixtures as fx
@@ -10,8 +12,8 @@ from foldline.operators import reports, space as sp, studies as st
 from foldline.operators.pruning import first_prune, median_prune
 from foldline.operators.search import propose_tpe, space_of
 from foldline.registry.base import STEPS, STUDIES, TRIALS, query, rnd
-from foldline.session import stage_table
-from foldline.sources.params import missing_targets
+from foldline.session import shared_dir, stage_table
+from foldline.sources.params import load_params, missing_targets, save_params
 
 TOL = 5.0  # the smallest value in the history is 0.01, so the stop rules get a wide tolerance
 
@@ -159,6 +161,16 @@ def q_params_missing_targets(spark, sf):
     return missing_targets(history, params)
 
 
+@query("params_round_trip", f"with {TRIALS}, {_best('target')} select target, p_k, p_m from best")
+def q_params_round_trip(spark, sf):
+    """The best parameters of every target, saved as a table of parameters and loaded again."""
+    best = st.study_best(fx.trials(spark, sf), ["target"]).select("target", F.col("best_params").alias("params"))
+    path = f"{shared_dir(spark)}/params-{uuid.uuid4().hex}"
+    save_params(best, path)
+    targets = [x["target"] for x in best.select("target").collect()]
+    return flat_params(load_params(spark, path, targets), "params").select("target", "p_k", "p_m")
+
+
 @query(
     "study_names",
     """select p_brand as brand, cast(p_size % 3 as integer) as size_class, 'retail_study' as global_name,
