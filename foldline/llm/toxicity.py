@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from foldline.llm.common import rows
 
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 22  # hashed features
+LEAST = 5  # documents of the sample that a feature must be in
 
 
 def features(text: str) -> np.ndarray:
@@ -44,7 +46,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z + dense @ self.weight[k:-1] + self.weight[-1], -30, 30)))
 
 
-def fit_linear(flat: np.ndarray, doc: np.ndarray, n: int, dense: np.ndarray, y: np.ndarray, keep: int = 4096, least: int = 5, l2: float = 1e-3, steps: int = 150) -> Linear:
+def fit_linear(flat: np.ndarray, doc: np.ndarray, n: int, dense: np.ndarray, y: np.ndarray, keep: int = 4096, least: int = LEAST, l2: float = 1e-3, steps: int = 150) -> Linear:
     """Full-batch Adam on the ``keep`` features that differ most between the classes.
 
     Features of fewer than ``least`` documents are left out; the two classes
@@ -52,23 +54,22 @@ def fit_linear(flat: np.ndarray, doc: np.ndarray, n: int, dense: np.ndarray, y:
     """
     pos = max(1, int(y.sum()))
     neg = max(1, n - pos)
-    number, index, count = np.unique(flat, return_inverse=True, return_counts=True)
-    with_pos = np.bincount(index, y[doc], len(number))
+    count = np.bincount(flat)
+    with_pos = np.bincount(flat, y[doc], len(count))
     share, base = with_pos / np.maximum(count, 1), y.mean() if n else 0.0
     z = np.abs(share - base) * np.sqrt(count) / max(np.sqrt(base * (1 - base)), 1e-9)
     z[count < least] = 0
     order = np.argsort(-z, kind="stable")[:keep]
     order = np.sort(order[z[order] > 2])
-    place = np.full(len(number), -1)
+    place = np.full(len(count), -1, np.int32)
     place[order] = np.arange(len(order))
-    col = place[index]
-    hit = col >= 0
-    col, row = col[hit], doc[hit]
+    hit = place[flat] >= 0
+    col, row = place[flat[hit]], doc[hit]
     k, d = len(order), dense.shape[1]
     w = np.zeros(k + d + 1)
     if not 0 < y.sum() < n:
         w[-1] = 30 if n and y.all() else -30
-        return Linear(number[order], w)
+        return Linear(order, w)
     importance = np.where(y > 0, 0.5 / pos, 0.5 / neg)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -78,7 +79,7 @@ def fit_linear(flat: np.ndarray, doc: np.ndarray, n: int, dense: np.ndarray, y:
         g[:-1] += l2 * w[:-1] / max(1, k) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Linear(number[order], w)
+    return Linear(order, w)
 
 
 @dataclass
@@ -96,19 +97,23 @@ class Chain:
         return p
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, halfway between the probabilities around it; 0.5 without positives."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The cut with the best F1 among those of this precision or more, halfway between the probabilities around it.
+
+    Where none is so precise, as with very few labels, the category is never set: infinity.
+    """
     order = np.argsort(-p, kind="stable")
-    if not y.sum():
-        return 0.5
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    taken = np.arange(1, len(y) + 1)
+    f1 = np.where(hits >= precision * taken, 2 * hits / (taken + y.sum()), 0.0)
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties fall on one side
+    if not f1.any():
+        return math.inf
     at = int(np.argmax(f1))
     return float((p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0)) / 2)
 
 
-def fit_chain(flat: np.ndarray, doc: np.ndarray, labels: np.ndarray, names: list[str], fold: np.ndarray, folds: int = 3) -> Chain:
+def fit_chain(flat: np.ndarray, doc: np.ndarray, labels: np.ndarray, names: list[str], fold: np.ndarray, folds: int = 3, precision: float = 0.9) -> Chain:
     """Later models are trained on out-of-fold probabilities of the earlier ones; cuts come from those of their own."""
     n = len(labels)
     held, models, cuts = np.zeros((n, 0)), [], []
@@ -118,19 +123,21 @@ def fit_chain(flat: np.ndarray, doc: np.ndarray, labels: np.ndarray, names: list
         for f in range(folds):
             inside = fold != f
             part = inside[doc]
-            number = np.cumsum(inside) - 1
+            number = (np.cumsum(inside) - 1).astype(np.int32)
             model = fit_linear(flat[part], number[doc[part]], int(inside.sum()), held[inside], y[inside])
-            number = np.cumsum(~inside) - 1
+            number = (np.cumsum(~inside) - 1).astype(np.int32)
             out[~inside] = model.scores(flat[~part], number[doc[~part]], int((~inside).sum()), held[~inside])
         models.append(fit_linear(flat, doc, n, held, y))
-        cuts.append(_best_threshold(out, y))
+        cuts.append(_best_threshold(out, y, precision))
         held = np.column_stack([held, out])
     return Chain(names, models, cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = 10_000, key: str = "doc_id", text: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = 10_000, precision: float = 0.9, key: str = "doc_id", text: str = "text") -> Chain:
     """Fits a chain on at most ``max_rows`` labelled documents, chosen by a hash of their ids.
 
+    A category is set where held-out documents were right in a share of at least ``precision``.
+
     Rows without an id or with a null category are left out. The chosen labels,
     whose number is bounded by the parameter, are broadcast to the scan of
     docs; only feature numbers of the sample reach the driver.
@@ -150,11 +157,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     got = sample.mapInArrow(run, "doc_id long, y array<long>, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     xs = [np.frombuffer(r.x, np.int32) for r in got]
-    flat = np.concatenate([np.zeros(0, np.int32), *xs]).astype(np.int64)
-    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    flat = np.concatenate([np.zeros(0, np.int32), *xs])
+    doc = np.repeat(np.arange(len(xs), dtype=np.int32), [len(x) for x in xs])
+    # Features too rare for any model go at once, the others are numbered in order.
+    enough = np.bincount(flat, minlength=1) >= LEAST
+    flat, doc = flat[enough[flat]], doc[enough[flat]]
+    flat = (np.cumsum(enough, dtype=np.int32) - 1)[flat]
     y = np.array([r.y for r in got], np.int64).reshape(-1, len(names))
     fold = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % 3 for r in got], np.int64)
-    return fit_chain(flat, doc, y, names, fold)
+    del got, xs
+    chain = fit_chain(flat, doc, y, names, fold, precision=precision)
+    known = np.flatnonzero(enough)
+    for model in chain.models:
+        model.chosen = known[model.chosen]
+    return chain
 
 
 class Scorer:
