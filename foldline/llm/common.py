@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldline.session import stage_table
 
-DEFAULTS = {"doc_id": "bigint", "item_id": "bigint", "page_id": "bigint"}
+# Setting, its default, and its value while a table is staged.
+WHILE_STAGING = [
+    ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false", "true"),
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,16 +24,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives a lost executor.
 
     Shuffle files of the write are dropped as soon as it ends, for the files
-    that were written replace them.
+    that were written replace them. Whole texts travel to Python in small
+    batches meanwhile.
     """
-    spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, default) for key, default, _ in WHILE_STAGING}
+    for key, _, value in WHILE_STAGING:
+        conf.set(key, value)
     try:
         return stage_table(df, name)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def n_parts(df: DataFrame) -> int:

@@ -78,29 +78,31 @@ def stretches(source: DataFrame, unit: type, window: int, gram: int) -> DataFram
                 hi.append(last)
                 anchor.append(h[place])
                 seg.append(np.fromiter((digest(flat[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(first)))
-            ids, digests = b.column("doc_id").to_pandas().repeat(size), b.column("digest").to_numpy().repeat(size)
-            if len(digests):
+            row = pa.array(np.repeat(np.arange(len(size)), size))
+            if len(row):
                 cat = np.concatenate
-                cols = [pa.array(ids, pa.int64(), from_pandas=True), digests, cat(lo).astype(np.int32), cat(hi).astype(np.int32), cat(anchor).view(np.int64), cat(seg).view(np.int64)]
+                cols = [b.column("doc_id").take(row), b.column("digest").take(row), cat(lo).astype(np.int32), cat(hi).astype(np.int32), cat(anchor).view(np.int64), cat(seg).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], schema=out)
 
     return source.mapInArrow(run, "doc_id long, digest long, lo int, hi int, anchor long, seg long")
 
 
-def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stretches with an anchor that occurs again, and their distinct contents.
+def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stretches with an anchor that occurs again, their distinct contents, and those of anchors with several.
 
-    (1) doc_id, digest, lo, hi, anchor, seg, uniform: whether all stretches of
-    the anchor are equal. (2) anchor, seg, n, first (the earliest by doc_id,
-    digest, lo), uniform. Counts combine before the shuffle; the join with the
+    (1) doc_id, digest, lo, hi, anchor, seg. (2) anchor, seg, n, first (the
+    earliest by doc_id, digest, lo). (3) as (2), with the number of variants
+    of the anchor. Counts combine before the shuffle; the join with the
     recurring anchors splits hot ones.
     """
     found = stage(found, "stretches")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg") == F.max("seg")).alias("uniform")).where("n > 1").drop("n")
-    again = stage(found.join(again, "anchor"), "again")
+    # Written first: a join side that is shuffled for the join alone can be split where an anchor is hot.
+    twice = stage(found.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
+    again = stage(found.join(twice, "anchor"), "again")
     first = F.min(F.struct("doc_id", "digest", "lo", "hi")).alias("first")
-    distinct = again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), first, F.first("uniform").alias("uniform"))
-    return again, stage(distinct, "distinct")
+    distinct = stage(again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), first), "distinct")
+    varied = stage(distinct.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "varied")
+    return again, distinct, distinct.join(varied, "anchor")
 
 
 def with_lists(source: DataFrame, parts: DataFrame, how: str) -> DataFrame:

@@ -45,11 +45,11 @@ def recurring(source: DataFrame, window: int, gram: int) -> DataFrame:
     Stretches that recur as a whole are counted as such. Those that occur once
     beside others with their anchor are counted window by window.
     """
-    again, distinct = candidates(stretches(source, Words, window, gram))
+    again, distinct, several = candidates(stretches(source, Words, window, gram))
     whole = again.join(distinct.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("doc_id", "digest", "lo", "hi")
-    mixed = distinct.where("not uniform").select("first.*", "anchor", "n")
+    mixed = several.select("first.*", "anchor", "n")
     single = stage(window_hashes(with_lists(source, mixed, "inner"), window), "windows")
-    twice = single.groupBy("anchor", "h").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "h")
+    twice = stage(single.groupBy("anchor", "h").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "h"), "twice")
     lone = single.where("n = 1").join(twice, ["anchor", "h"]).select("doc_id", "digest", F.col("start").cast("int").alias("lo"), F.col("start").cast("int").alias("hi"))
     return stage(whole.unionByName(lone), "recurring")
 

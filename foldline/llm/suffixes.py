@@ -15,8 +15,8 @@ from foldline.llm.passages import Bytes, candidates, documents, stretches, with_
 from foldline.llm.phrases import SPAN, covered
 
 BLOCK = 1 << 18  # bytes of passages that are sorted together
-SEGMENT = "anchor long, doc_id long, digest long, lo long, bytes binary"
-SEGMENT_SCHEMA = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
+SEGMENT = "anchor long, variants long, doc_id long, digest long, lo long, bytes binary"
+SEGMENT_SCHEMA = pa.schema([("anchor", pa.int64()), ("variants", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 RANGE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 OUT = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(SPAN)), ("kept", pa.binary())])
 
@@ -182,7 +182,7 @@ def _segments(source: DataFrame, window: int) -> DataFrame:
             done = []
             for doc, g, t, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "text", "parts"))):
                 raw = t.encode()
-                done += [(p["anchor"], doc, g, p["lo"], raw[p["lo"] : p["hi"] + window]) for p in parts]
+                done += [(p["anchor"], p["variants"], doc, g, p["lo"], raw[p["lo"] : p["hi"] + window]) for p in parts]
             if done:
                 yield rows(list(zip(*done)), SEGMENT_SCHEMA)
 
@@ -205,7 +205,7 @@ def _cut_to_recurring(segments: DataFrame, window: int) -> tuple[DataFrame, Data
 
     hashed = stage(segments.mapInArrow(hashes, "anchor long, doc_id long, digest long, lo long, h array<long>, bytes binary"), "hashed")
     single = hashed.select("anchor", "doc_id", "digest", "lo", F.posexplode("h").alias("i", "h"))
-    twice = single.groupBy("anchor", "h").count().where("count > 1").select("anchor", "h")
+    twice = stage(single.groupBy("anchor", "h").count().where("count > 1").select("anchor", "h"), "twice")
     hits = single.join(twice, ["anchor", "h"]).groupBy("anchor", "doc_id", "digest", "lo").agg(F.sort_array(F.collect_list("i")).alias("hits"))
     hits = hits.withColumnRenamed("doc_id", "d")
     cut = hashed.join(hits, ["anchor", "digest", "lo"]).where(F.col("doc_id").eqNullSafe(F.col("d")))
@@ -226,14 +226,13 @@ def _cut_to_recurring(segments: DataFrame, window: int) -> tuple[DataFrame, Data
 
 def repeats(source: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """(doc_id, digest, lo, hi): windows lo..hi that also start earlier."""
-    again, distinct = candidates(stretches(source, Bytes, window, gram))
+    again, distinct, several = candidates(stretches(source, Bytes, window, gram))
     firsts = distinct.where("n > 1").select("anchor", "seg", "first")
     mine = F.struct("doc_id", "digest", "lo", "hi")
     copies = again.join(firsts, ["anchor", "seg"]).where(~mine.eqNullSafe(F.col("first"))).select("doc_id", "digest", "lo", "hi")
-    segments = stage(_segments(with_lists(source, distinct.where("not uniform").select("first.*", "anchor"), "inner"), window), "segments")
-    many = stage(segments.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "many")
-    cut, later = _cut_to_recurring(segments.join(many, "anchor"), window)
-    dealt = segments.join(many, "anchor", "left_anti").unionByName(cut)
+    segments = stage(_segments(with_lists(source, several.select("first.*", "anchor", "variants"), "inner"), window), "segments")
+    cut, later = _cut_to_recurring(segments.where(F.col("variants") > hot).drop("variants"), window)
+    dealt = segments.where(F.col("variants") <= hot).drop("variants").unionByName(cut)
     dealt = dealt.repartition(n_parts(source), "anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +253,7 @@ def repeats(source: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     return stage(copies.unionByName(later).unionByName(sorted_out), "repeats")
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24, hot: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24, hot: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, n_bytes, n_removed, spans, kept): texts without the strings that start earlier.
 
     A byte goes if a string of ``window`` bytes that covers it also starts
