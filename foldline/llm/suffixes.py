@@ -253,7 +253,7 @@ def repeats(source: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     return stage(copies.unionByName(later).unionByName(sorted_out), "repeats")
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24, hot: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24, hot: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, n_bytes, n_removed, spans, kept): texts without the strings that start earlier.
 
     A byte goes if a string of ``window`` bytes that covers it also starts
