@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +40,29 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of some documents, for every n up to the order."""
+    """The n-grams of some documents, for the given numbers n, which are the keys of all tables."""
 
-    def __init__(self, texts: list[bytes], order: int, bits: int):
+    def __init__(self, texts: list[bytes], orders: Iterable[int], bits: int):
         per_doc = [word_hashes(t) for t in texts]
         self.sizes = np.array([len(x) for x in per_doc], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *per_doc])
         doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.doc = doc
-        self.ends: list[np.ndarray] = []  # last word of each n-gram
-        self.unique: list[np.ndarray] = []
-        self.inverse: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.ends: dict[int, np.ndarray] = {}  # last word of each n-gram
+        self.unique: dict[int, np.ndarray] = {}
+        self.inverse: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
         mask = np.uint64((1 << (8 * KEPT)) - 1)
-        for n in range(1, order + 1):
+        for n in orders:
             h = gram_hashes(flat, n)
             at = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1]) if len(h) else np.zeros(0, np.int64)
             # Bucket in front, then the bytes that are kept.
             key = ((h[at] >> np.uint64(64 - bits)) << np.uint64(8 * KEPT)) | ((h[at] >> np.uint64(1)) & mask)
             unique, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-            self.ends.append(at + n - 1)
-            self.unique.append(unique)
-            self.inverse.append(inverse)
-            self.counts.append(counts)
+            self.ends[n], self.unique[n], self.inverse[n], self.counts[n] = at + n - 1, unique, inverse, counts
 
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
-        b = (self.unique[n - 1] >> np.uint64(8 * KEPT)).astype(np.int64)
+        b = (self.unique[n] >> np.uint64(8 * KEPT)).astype(np.int64)
         cut = np.flatnonzero(np.diff(b)) + 1
         for s, e in zip(np.r_[0, cut], np.r_[cut, len(b)]):
             if e > s:
@@ -109,13 +107,16 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, key: str = "doc
     fold = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)).cast("int")
     src = src.select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n_chunks)).alias("chunk"), fold.alias("fold"), "doc_id", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, half, held in _chunks(batches, ("text",)):
-            grams = Grams([t.encode() for (t,) in held], order, bits)
-            for n in range(1, order + 1):
-                done = [(b, chunk, n, half, _packed(grams.unique[n - 1][s]), grams.counts[n - 1][s].astype("<u4").tobytes()) for b, s in grams.buckets(n)]
-                if done:
-                    yield rows(list(zip(*done)), TABLE_SCHEMA)
+    def count(orders: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, half, held in _chunks(batches, ("text",)):
+                grams = Grams([t.encode() for (t,) in held], orders, bits)
+                for n in orders:
+                    done = [(b, chunk, n, half, _packed(grams.unique[n][s]), grams.counts[n][s].astype("<u4").tobytes()) for b, s in grams.buckets(n)]
+                    if done:
+                        yield rows(list(zip(*done)), TABLE_SCHEMA)
+
+        return run
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -145,9 +146,16 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, key: str = "doc
             yield close()
 
     parts = n_parts(docs)
-    tables = src.repartition(parts, "chunk").sortWithinPartitions("chunk", "fold").mapInArrow(count, "bucket long, chunk long, n int, fold int, grams binary, counts binary")
-    dealt = tables.repartition(parts, "bucket").sortWithinPartitions("bucket", "n")
-    totals = stage(dealt.mapInArrow(add_up, "chunk long, bucket long, n int, fold int, counts binary, even long, odd long"), "totals")
+
+    def count_tables(orders: list[int]) -> DataFrame:
+        """The longest n-grams have a pass of their own, so that a pass's shuffle files are gone before the next."""
+        dealt = src.repartition(parts, "chunk").sortWithinPartitions("chunk", "fold")
+        tables = dealt.mapInArrow(count(orders), "bucket long, chunk long, n int, fold int, grams binary, counts binary")
+        dealt = tables.repartition(parts, "bucket").sortWithinPartitions("bucket", "n")
+        return stage(dealt.mapInArrow(add_up, "chunk long, bucket long, n int, fold int, counts binary, even long, odd long"), "totals")
+
+    passes = [list(range(1, max(2, order))), *([[order]] if order > 1 else [])]
+    totals = reduce(DataFrame.unionByName, [count_tables(p) for p in passes])
     # Every row of a bucket has the bucket's sums; the sums over buckets are all words of a half.
     per_bucket = totals.where("n = 1").groupBy("bucket").agg(F.max("even").alias("even"), F.max("odd").alias("odd"))
     halves = per_bucket.agg(F.sum("even"), F.sum("odd")).first()
@@ -156,15 +164,15 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, key: str = "doc
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, half, held in _chunks(batches, ("doc_id", "text", "n", "bucket", "counts")):
             texts = [(d, t.encode()) for d, t, n, _, _ in held if n == 0]
-            grams = Grams([t for _, t in texts], order, bits)
+            grams = Grams([t for _, t in texts], range(1, order + 1), bits)
             known: list[np.ndarray] = []
             for n in range(1, order + 1):
                 mine = sorted((b, c) for _, _, k, b, c in held if k == n)
                 counts = np.frombuffer(b"".join(c for _, c in mine), "<u4").astype(np.float64)
-                if len(counts) != len(grams.unique[n - 1]):
+                if len(counts) != len(grams.unique[n]):
                     raise RuntimeError("the documents changed between two reads")
                 at = np.zeros(len(grams.doc))
-                at[grams.ends[n - 1]] = counts[grams.inverse[n - 1]]
+                at[grams.ends[n]] = counts[grams.inverse[n]]
                 known.append(at)
             words = len(grams.doc)
             room = np.arange(words) - np.repeat(np.cumsum(grams.sizes) - grams.sizes, grams.sizes)  # words before it
