@@ -119,6 +119,45 @@ def test_near_copies_leave_one(spark):
     assert simhash.simhash_dedup(frame(spark, [(20, "x"), (20, "x")])).count() == 1
 
 
+def jaccard(x, y, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_similar_groups_are_those_of_brute_force(spark, chunk):
+    """Pairs from 0.7 to 0.9, chains of them, short texts, and different texts that share one phrase repeated often."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for k in range(60):
+        n = r.choice([12, 40, 150, 600])
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[: round(n * r.uniform(0.68, 0.92))] + [word() for _ in range(k % 3)]))
+    chain = [word() for _ in range(300)]
+    texts += [" ".join(chain[25 * i : 25 * i + 200]) for i in range(5)]
+    texts += [" ".join(["one and the same phrase again"] * 200 + [word() for _ in range(60)]) for _ in range(3)]
+    docs = list(enumerate(texts))
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, docs), chunk=chunk).collect()}
+    assert got == {i: find(i) for i in range(len(docs))}
+    assert 20 < sum(find(i) == i for i in range(len(docs))) < len(docs) - 10
+    if chunk == 4096:
+        assert {x.doc_id for x in simhash.simhash_dedup(frame(spark, docs)).collect()} == {i for i in range(len(docs)) if find(i) == i}
+
+
 # -- Licences -----------------------------------------------------------------
 
 
