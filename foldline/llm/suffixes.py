@@ -116,8 +116,10 @@ def later_windows(passages: list[tuple[int | None, int, int, bytes]], window: in
 
     Windows that occur once are cut off first, by hash; runs that are equal as
     a whole stand for their earliest. The rest is one sequence, separated by
-    values of their own, whose suffix array brings equal windows together.
+    values of their own, whose suffix array brings equal windows together. A
+    passage that is given more than once, as by repeated rows, counts once.
     """
+    passages = list({p[:3]: p for p in passages}.values())
     flat = np.frombuffer(b"".join(p[3] for p in passages), np.uint8)
     sizes = np.array([len(p[3]) for p in passages])
     begin = np.cumsum(sizes) - sizes

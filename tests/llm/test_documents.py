@@ -354,6 +354,27 @@ def test_earlier_strings_go(spark, corpus, hot):
     assert len(twice) == 2 and twice[0].n_removed == twice[1].n_removed
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeated_rows_that_share_anchors_keep_what_starts_in_them(spark, hot):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    shared = word(220)
+    docs = [(3, word(60) + shared + word(60)), (3, None), (5, word(80) + shared + word(30)), (6, shared[:150] + word(90)), (7, word(40) + shared[20:] + word(150))]
+    docs[1] = docs[0]
+    seen, want = set(), {}
+    for i, t in dict(docs).items():
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        want[i] = (sum(gone), bytes(c for c, g in zip(raw, gone) if not g))
+    assert want[3][0] == 0 and all(want[i][0] for i in (5, 6, 7))
+    got = [(x.doc_id, (x.n_removed, bytes(x.kept))) for x in suffixes.remove_repeats(frame(spark, docs), hot=hot).collect()]
+    assert sorted(got) == sorted((i, want[i]) for i, _ in docs)
+
+
 def brute_phrases(docs, window):
     count = collections.Counter()
     for _, t in docs:
