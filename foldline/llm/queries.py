@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldline.llm import decontaminate, html_text, licences, lm, phrases, suffixes, toxicity
+from foldline.llm import decontaminate, html_text, licences, lm, phrases, quality, suffixes, toxicity
 from foldline.llm.common import table
 from foldline.llm.fingerprints import neighbour_fingerprints
 from foldline.llm.packing import pack
+from foldline.llm.ranked import ranked_search
 from foldline.llm.simhash import fingerprints, near_duplicates, pigeonhole_masks
+from foldline.llm.variants import variant_groups
 
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +71,22 @@ def op10_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document by a factorisation machine that learns from two thirds of the labelled ids."""
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels"), label="quality"))
+
+
+def op12_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of seven letters or more, the frequent word one letter away that each is a form of, and the root of its forms."""
+    return variant_groups(table(spark, sf, "documents"))
+
+
+def op13_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
 _NORMAL_SQL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _BIGRAMS_SQL = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))])"
 
@@ -119,6 +137,30 @@ scored as (
 select d.doc_id, len(d.w) as n_words, coalesce(round(sum(s.s), 4), 0.0) as log_score
 from docs d left join scored s using (doc_id) group by 1, 2"""
 
+_RANKED_SQL = r"""
+with terms as (
+  select row_number() over () as d, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+sizes as (select d, doc_id, ts, len(ts)::bigint as n from terms where len(ts) > 0),
+total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from benchmark where item_id is not null),
+tfs as (select d, t, count(*)::bigint as tf from (select d, unnest(ts) as t from sizes) where t in (select t from asked) group by 1, 2),
+weights as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, total group by t, n_docs),
+scored as (
+  select a.item_id, s.d, s.doc_id,
+         sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * s.n * n_docs) // n_terms))))::bigint as score
+  from asked a join tfs f using (t) join weights w using (t) join sizes s on s.d = f.d, total
+  group by 1, 2, 3),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+  from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licences": op2_licences,
@@ -130,5 +172,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_phrases": op10_phrases,
+    "op11_quality": op11_quality,
+    "op12_variants": op12_variants,
+    "op13_ranked": op13_ranked,
 }
-ORACLES: dict[str, str] = {"op2_licences": _licences_sql(), "op4_lm_scores": _LM_SQL}
+ORACLES: dict[str, str] = {"op2_licences": _licences_sql(), "op4_lm_scores": _LM_SQL, "op13_ranked": _RANKED_SQL}
