@@ -25,6 +25,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, functions as F
 
 from foldline.functions.numeric import sql_double, sql_name
+from foldline.operators.moments import elastic_net, ridge, total_moments
 
 MAX_DEPTH = 30  # MLlib's limit
 BOOSTED_DEPTH = 6  # of histogram boosting where no depth is given: MLlib has no growth by leaves
@@ -40,8 +41,8 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "XGBRegressor": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0},
     "LGBMRegressor": {"n_estimators": 100, "num_leaves": 31, "max_depth": -1, "learning_rate": 0.1},
     "CatBoostRegressor": {"iterations": 1000, "depth": 6, "learning_rate": 0.03},
-    "Ridge": {"alpha": 1.0},
-    "ElasticNet": {"alpha": 1.0, "l1_ratio": 0.5},
+    "Ridge": {"alpha": 1.0, "solver": "exact"},
+    "ElasticNet": {"alpha": 1.0, "l1_ratio": 0.5, "solver": "exact"},
     "SVR": {"C": 1.0, "gamma": 1.0, "epsilon": 0.1, "n_components": 64},
 }
 # Parameters of the fixed part of a preset that concern threads, logs or seeds only.
@@ -124,11 +125,11 @@ def _label_stats(df: DataFrame, label: str) -> tuple[int, float]:
 def linear_estimator(
     df: DataFrame, features: str, label: str, prediction: str, alpha: float, l1_ratio: float
 ) -> LinearRegression:
-    """Penalties on the scale of a squared-error sum (ridge) or mean (elastic net).
+    """MLlib's iterative solver (``solver="l-bfgs"``); it stops short of the last digits.
 
-    MLlib divides the label by its sample standard deviation first, so the
-    mapping needs n and that deviation. The iterative solver has no limit on
-    the number of features.
+    Penalties on the scale of a squared-error sum (ridge) or mean (elastic
+    net). MLlib divides the label by its sample standard deviation first, so the
+    mapping needs n and that deviation.
     """
     n, sd = _label_stats(df, label)
     if l1_ratio is None:
@@ -150,6 +151,35 @@ def linear_estimator(
     )
 
 
+PLAIN_TERMS = 100  # of a prediction that is written out as a sum
+
+
+def linear_stage(x: Sequence[str], intercept: float, coef: Sequence[float], prediction: str) -> SQLTransformer:
+    """A linear model as a persistable stage: plain SQL over the columns, inside generated code."""
+    if len(x) <= PLAIN_TERMS:
+        terms = " + ".join([sql_double(intercept), *(f"{sql_double(float(b))} * {sql_name(c)}" for c, b in zip(x, coef))])
+    else:  # a sum of that many terms would not compile
+        values, weights = ", ".join(map(sql_name, x)), ", ".join(sql_double(float(b)) for b in coef)
+        terms = f"aggregate(zip_with(array({values}), array({weights}), (v, b) -> v * b), {sql_double(intercept)}, (s, t) -> s + t)"
+    return SQLTransformer(statement=f"SELECT *, {terms} AS {sql_name(prediction)} FROM __THIS__")
+
+
+def _fit_linear(name, params, df, x, label, prediction) -> PipelineModel:
+    """Ridge and elastic net, solved exactly on the moments of one scan; rows with a NULL are left out."""
+    p = _take(name, params)
+    if p["solver"] == "l-bfgs":
+        join = VectorAssembler(inputCols=list(x), outputCol="__x")
+        est = linear_estimator(df, "__x", label, prediction, float(p["alpha"]), float(p["l1_ratio"]) if "l1_ratio" in p else None)
+        return PipelineModel([join, est.fit(join.transform(df)), SQLTransformer(statement="SELECT * EXCEPT (__x) FROM __THIS__")])
+    if p["solver"] != "exact":
+        raise ValueError(f"{name}: solver is exact or l-bfgs, not {p['solver']}")
+    sums = total_moments(df, [*x, label])
+    if not sums.n:
+        raise ValueError(f"{name}: no rows to fit on")
+    intercept, coef = ridge(sums, float(p["alpha"])) if name == "Ridge" else elastic_net(sums, float(p["alpha"]), float(p["l1_ratio"]))
+    return PipelineModel([linear_stage(x, intercept, coef, prediction)])
+
+
 def _random_cuts(rng: np.random.Generator, row, k: int, n: int) -> list[list[float]]:
     """Per feature, sorted uniform cut points inside its range."""
     out = []
@@ -243,17 +273,11 @@ def fit_learner(
         return _fit_extra_trees(params, df, x, label, prediction, seed)
     if name == "SVR":
         return _fit_svr(params, df, x, label, prediction, seed)
+    if name in ("Ridge", "ElasticNet"):
+        return _fit_linear(name, params, df, x, label, prediction)
     join = VectorAssembler(inputCols=list(x), outputCol="__x")
-    rows = join.transform(df)
-    if name == "Ridge":
-        p = _take(name, params)
-        est = linear_estimator(df, "__x", label, prediction, float(p["alpha"]), None)
-    elif name == "ElasticNet":
-        p = _take(name, params)
-        est = linear_estimator(df, "__x", label, prediction, float(p["alpha"]), float(p["l1_ratio"]))
-    else:
-        est = tree_estimator(name, params, seed)
-        est.setFeaturesCol("__x").setLabelCol(label).setPredictionCol(prediction)
-    model = est.fit(rows)
+    est = tree_estimator(name, params, seed)
+    est.setFeaturesCol("__x").setLabelCol(label).setPredictionCol(prediction)
+    model = est.fit(join.transform(df))
     tidy = SQLTransformer(statement="SELECT * EXCEPT (__x) FROM __THIS__")
     return PipelineModel([join, model, tidy])

@@ -448,6 +448,27 @@ def q_ridge_predictions(spark, sf):
     return model.transform(rows).select("row_key", "dataset", r(F.col("prediction"), 1).alias("p"))
 
 
+@query(
+    "elasticnet_predictions",
+    f"""with recursive {LINEAR},
+    g as (select {SUMS} from lin where dataset = 'train'),
+    c as (
+      select n, s1 / n as m1, s2 / n as m2, sy / n as my, p11 - s1 * s1 / n as a11, p12 - s1 * s2 / n as a12,
+             p22 - s2 * s2 / n as a22, q1 - s1 * sy / n as c1, q2 - s2 * sy / n as c2, 2.0::double * n as l1, 0.5::double * n as l2 from g),
+    walk as (
+      select 0 as i, 0.0::double as w1, 0.0::double as w2
+      union all
+      select i + 1, v1, sign(c2 - a12 * v1) * greatest(abs(c2 - a12 * v1) - l1, 0) / (a22 + l2)
+      from (select walk.*, c.*, sign(c1 - a12 * w2) * greatest(abs(c1 - a12 * w2) - l1, 0) / (a11 + l2) as v1 from walk, c where i < 300))
+    select row_key, dataset, {rnd('my + w1 * (x1 - m1) + w2 * (x2 - m2)', 1)} as p from lin, c, walk where i = 300""",
+)
+def q_elasticnet_predictions(spark, sf):
+    """The learner itself, fitted on the moments of the training rows."""
+    rows = linear_rows(spark, sf)
+    model = fit_learner("ElasticNet", {"alpha": 2.5, "l1_ratio": 0.8}, rows.where(F.col("dataset") == "train"), X)
+    return model.transform(rows).select("row_key", "dataset", r(F.col("prediction"), 1).alias("p"))
+
+
 CV_ALPHAS = [round(10 ** (-2 + i / 6), 6) for i in range(30)]
 
 

@@ -3,6 +3,7 @@ import warnings
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from foldline.functions.metrics import fold_means, regression_metrics
@@ -10,6 +11,7 @@ from foldline.operators.gram import gram, outside_fold, solve_elastic_net, solve
 from foldline.operators.group_means import oof_group_mean
 from foldline.operators.groups import cv_scores_by_alpha, fit_global, fit_groups, group_sizes, route_to_group, tune_by_group
 from foldline.operators.learners import DEFAULTS, fit_learner
+from foldline.operators.moments import Moments, moments, total_moments
 from foldline.operators.space import PRESETS, Param, build_preset, params_for, sample_params, sample_space, space_table, stack_from, whole
 from foldline.operators.stack import Member, Stack, cross_validate, fit_preprocessed_stack, oof_predict
 
@@ -83,7 +85,7 @@ def test_gram_elastic_net(data):
 @pytest.mark.parametrize("alpha", [0.01, 7.0])
 def test_mllib_ridge_mapping(data, alpha):
     pdf, df = data
-    model = linear_part(fit_learner("Ridge", {"alpha": alpha}, df, X))
+    model = linear_part(fit_learner("Ridge", {"alpha": alpha, "solver": "l-bfgs"}, df, X))
     b0, w = ridge(pdf, alpha)
     assert np.allclose([model.intercept, *model.coefficients], [b0, *w], atol=1e-8)
 
@@ -91,11 +93,53 @@ def test_mllib_ridge_mapping(data, alpha):
 @pytest.mark.parametrize("alpha,ratio", [(0.05, 0.3), (0.01, 0.9)])
 def test_mllib_elastic_net_mapping(data, alpha, ratio):
     pdf, df = data
-    model = linear_part(fit_learner("ElasticNet", {"alpha": alpha, "l1_ratio": ratio}, df, X))
+    model = linear_part(fit_learner("ElasticNet", {"alpha": alpha, "l1_ratio": ratio, "solver": "l-bfgs"}, df, X))
     b0, w = enet(pdf, alpha, ratio)
     assert np.allclose([model.intercept, *model.coefficients], [b0, *w], atol=1e-5)
 
 
+@pytest.mark.parametrize("name, params", [("Ridge", {"alpha": 7.0}), ("ElasticNet", {"alpha": 0.05, "l1_ratio": 0.3})])
+def test_exact_linear_learners(data, name, params):
+    pdf, df = data
+    b0, w = ridge(pdf, 7.0) if name == "Ridge" else enet(pdf, 0.05, 0.3)
+    got = fit_learner(name, params, df, X).transform(df).toPandas()
+    assert np.allclose(got["prediction"], b0 + got[X].to_numpy() @ np.asarray(w), atol=1e-9)
+    with pytest.raises(ValueError):
+        fit_learner(name, {"solver": "guess"}, df, X)
+    with pytest.raises(ValueError):
+        fit_learner(name, params, df.where("false"), X)
+
+
+def test_ridge_of_500_columns_far_from_zero(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 500)) + 1e6
+    y = x[:, :40].sum(1) - 40e6 + rng.normal(size=900)
+    names = [f"c{i}" for i in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y)).repartition(6)
+    model = fit_learner("Ridge", {"alpha": 2.0}, df, names)
+    model.write().overwrite().save(str(tmp_path / "wide"))
+    off = x - x.mean(0)
+    w = np.linalg.solve(off.T @ off + 2.0 * np.eye(500), off.T @ (y - y.mean()))
+    got = PipelineModel.load(str(tmp_path / "wide")).transform(df).select("c0", "prediction").toPandas().sort_values("c0")["prediction"]
+    want = (y.mean() + off @ w)[np.argsort(x[:, 0])]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_moments_by_group(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(50, 1, 400), "b": rng.normal(size=400), "g": rng.choice(["x", "y", None], 400), "h": rng.integers(0, 3, 400)})
+    pdf.loc[::17, "b"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = {(r.g, r.h): Moments.unpacked(bytes(r.moments), 2) for r in moments(df, ["a", "b"], ["g", "h"]).collect()}
+    whole = pdf.dropna(subset=["b"])
+    assert len(got) == 9 and sum(m.n for m in got.values()) == len(whole)
+    for (g, h), m in got.items():
+        part = whole[(whole.g.isna() if g is None else whole.g == g) & (whole.h == h)][["a", "b"]].to_numpy()
+        off = part - part.mean(0)
+        assert m.n == len(part) and np.allclose(m.mean, part.mean(0)) and np.allclose(m.products, off.T @ off)
+    assert total_moments(df.where("false"), ["a"]).n == 0
+
+
 SMALL = {
     "RandomForestRegressor": {"n_estimators": 5, "max_depth": 5},
     "GradientBoostingRegressor": {"n_estimators": 8},
