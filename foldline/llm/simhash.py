@@ -8,8 +8,6 @@ block of 64 is abandoned once every distance in it exceeds the radius.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldline.llm.common import n_parts, row_digest, rows, stage, texts
+from foldline.llm.common import n_parts, rows, stage, texts
 from foldline.llm.components import components
 
 CHUNK = 4096  # fingerprints of one bucket that are compared in one piece
@@ -78,37 +76,18 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, key: str = "do
     return src.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def pigeonhole_masks(radius: int, bits: int = 64, bands: int | None = None) -> list[tuple[int, int]]:
-    """(word, mask) keys such that any two fingerprints within the radius agree on one of them.
+def pigeonhole_masks(radius: int, bands: int | None = None) -> list[tuple[int, int]]:
+    """(word, mask) keys such that any two fingerprints of 64 bits within the radius agree on one of them.
 
     The 64 bits fall into ``bands`` runs; at most ``radius`` of them differ, so
     ``bands - radius`` runs are equal. More bands: more keys, smaller buckets.
     """
-    if bits != 64:
-        raise ValueError("exact keys are for 64 bits; use sampled_masks")
     bands = bands or radius + 2
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     runs = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(edges, edges[1:])]
     return [(0, sum(c)) for c in combinations(runs, bands - radius)]
 
 
-def sampled_masks(tables: int, width: int, bits: int, seed: int = 7) -> list[tuple[int, int]]:
-    """Keys of ``width`` random bits: fingerprints that differ in a share p of the bits meet with 1-(1-(1-p)^width)^tables."""
-    rng = random.Random(seed)
-    return [(t % (bits // 64), sum(1 << b for b in rng.sample(range(64), width))) for t in range(tables)]
-
-
-def radius_of(similarity: float, bits: int) -> int:
-    """Distance that two shingle sets of this Jaccard similarity have on average."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def reach_of(similarity: float, bits: int) -> int:
-    """Distance that pairs of this similarity or more rarely pass: the mean at the similarity and four standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
-
-
 def close_blocks(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, flips: np.ndarray, radius: int, every: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Blocks with a distance within the radius: (block number, lanes that are).
 
@@ -205,24 +184,8 @@ def bucket_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
     return own, root[own]
 
 
-def bucket_crossings(group: np.ndarray, prints: np.ndarray, radius: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one group within the radius whose parts differ; groups of one part are passed over."""
-    if not len(group):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    several = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
-    rows_of = np.flatnonzero(np.repeat(several, np.diff(np.r_[start, len(group)])))
-    found = [np.zeros((2, 0), np.int64)]
-    for i, j in bucket_pairs(group[rows_of], prints[rows_of], radius):
-        i, j = rows_of[i], rows_of[j]
-        differ = part[i] != part[j]
-        found.append(np.stack([i[differ], j[differ]]))
-    a, b = np.concatenate(found, axis=1)
-    return a, b
-
-
-def _link_rows(radius: int, names: list[str], parts: str | None = None):
-    """Links inside each group as a forest, or, given a column of parts, every pair of rows whose parts differ."""
+def _link_rows(radius: int, names: list[str]):
+    """Links inside each group as a forest."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +200,7 @@ def _link_rows(radius: int, names: list[str], parts: str | None = None):
             if cut:
                 part = t.slice(0, cut)
                 prints = np.stack([part[n].to_numpy() for n in names], axis=1)
-                own, root = bucket_crossings(group[:cut], prints, radius, part[parts].to_numpy()) if parts else bucket_links(group[:cut], prints, radius)
+                own, root = bucket_links(group[:cut], prints, radius)
                 ids = part["nid"].to_numpy()
                 yield rows((ids[own], ids[root]), out)
             held, size = t.slice(cut).combine_chunks().to_batches(), len(group) - cut
@@ -253,13 +216,13 @@ def _link_rows(radius: int, names: list[str], parts: str | None = None):
     return run
 
 
-def _dealt(nodes: DataFrame, names: list[str], masks: list[tuple[int, int]], chunk: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(gid, nid, *names, *extra): nodes once for every key, and once more for every other piece of a large bucket."""
+def _dealt(nodes: DataFrame, names: list[str], masks: list[tuple[int, int]], chunk: int) -> DataFrame:
+    """(gid, nid, *names): nodes once for every key, and once more for every other piece of a large bucket."""
 
     def key(word: int, mask: int) -> Column:
         return F.col(names[word]).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    cols = ["nid", *names, *extra]
+    cols = ["nid", *names]
     keyed = nodes.select(*cols, F.posexplode(F.array(*(key(w, m) for w, m in masks))).alias("t", "k"))
     full = keyed.groupBy("t", "k").count().where(F.col("count") > chunk)
     full = stage(full.select("t", "k", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "full")
@@ -294,101 +257,19 @@ def near_duplicates(prints: DataFrame, radius: int, masks: list[tuple[int, int]]
     return prints.join(whole, names)
 
 
-def set_prints(docs: DataFrame, words: int, bits: int, key: str, text: str) -> DataFrame:
-    """(doc_id, digest, nid, n, f0, ...): fingerprints of distinct shingles; nid tells shingle sets apart, n is their size, digest tells texts apart."""
-    names = [f"f{i}" for i in range(bits // 64)]
-    src = docs.select(F.col(key).alias("doc_id"), row_digest(text).alias("digest"), F.col(text).alias("text"))
-    out = pa.schema([(c, pa.int64()) for c in ("doc_id", "digest", "nid", "n", *names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(x, words)) for x in texts(b)]
-            made = [[xxhash.xxh64_intdigest(h.tobytes()), len(h), *majority(h, bits)] for h in sets]
-            cols = np.array(made, np.uint64).reshape(-1, 2 + len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("digest"), *(pa.array(c) for c in cols.T)], schema=out)
-
-    return src.mapInArrow(run, ", ".join(f"{c} long" for c in out.names))
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose distinct shingles have this Jaccard similarity or more, from the texts themselves.
-
-    Pairs whose set sizes already rule it out are left out first. Shingles are
-    told apart by 64-bit hashes. Both joins split ids with very many pairs.
-    """
-    slack = 1e-9
-    size = nodes.select("nid", "n")
-    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    pairs = stage(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * (similarity - slack)).select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    need = stage(ends.join(nodes, "nid").select("nid", F.col("first.doc_id").alias("d"), F.col("first.digest").alias("g")), "need")
-    found = docs.select(F.col(key).alias("doc_id"), row_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    found = found.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
-    bodies = stage(found.groupBy("nid").agg(F.first("body").alias("body")), "bodies")
-    half = stage(pairs.join(bodies.toDF("a", "x"), "a"), "half")
-    whole = half.join(bodies.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: dict[int, np.ndarray] = {}
-            keep = []
-            for a, c, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), texts(b, "x"), texts(b, "y")):
-                for nid, raw in ((a, x), (c, y)):
-                    if nid not in held:
-                        held[nid] = np.unique(shingle_hashes(raw, words))
-                common = len(np.intersect1d(held[a], held[c], assume_unique=True))
-                keep.append(common >= (similarity - slack) * (len(held[a]) + len(held[c]) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(out)
-
-    return whole.mapInArrow(run, "a long, b long")
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 256, tables: int = 80, width: int = 14, chunk: int = CHUNK, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of docs: documents whose distinct shingles have this Jaccard similarity or more are linked.
-
-    Fingerprints only propose pairs: those within the mean distance at the
-    threshold and four standard deviations more that meet in a sampled key.
-    Every link is verified by its shingles. First each document meets one
-    proposed to it, which joins dense groups in few rows; then every proposed
-    pair that these links leave apart is verified, so the groups are those of
-    all proposed pairs. component_id is the smallest doc_id of the group.
-    """
-    names = [f"f{i}" for i in range(bits // 64)]
-    radius, masks = reach_of(similarity, bits), sampled_masks(tables, width, bits)
-    prints = stage(set_prints(docs, words, bits, key, text), "prints")
-    first = F.min(F.struct("doc_id", "digest")).alias("first")
-    nodes = stage(prints.groupBy("nid", "n", *names).agg(F.min("doc_id").alias("rep"), first), "nodes")
-    parts = n_parts(prints)
-
-    def proposed(of: DataFrame, column: str | None = None) -> DataFrame:
-        dealt = _dealt(of, names, masks, chunk, (column,) if column else ())
-        return dealt.repartition(parts, "gid").sortWithinPartitions("gid", "nid").mapInArrow(_link_rows(radius, names, column), "a long, b long")
-
-    near = stage(proposed(nodes).groupBy("a").agg(F.min("b").alias("b")), "near")
-    links = stage(alike(near, nodes, docs, similarity, words, key, text), "alike")
-    roots = components(links)
-    joined = nodes.join(roots, nodes.nid == roots.node, "left").select("nid", *names, F.coalesce("root", "nid").alias("part"))
-    apart = stage(proposed(stage(joined, "joined"), "part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "apart")
-    roots = components(links.unionByName(alike(apart, nodes, docs, similarity, words, key, text)))
-    found = nodes.join(roots, nodes.nid == roots.node).select("root", "rep", "nid")
-    least = found.groupBy("root").agg(F.min("rep").alias("least"))
-    named = stage(found.join(least, "root").select("nid", "least"), "named")
-    whole = nodes.join(named, "nid", "left").select("nid", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(whole, "nid").select("doc_id", "component_id")
-
-
-def simhash_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 256, tables: int = 80, width: int = 14, order: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, order: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
-    Documents link if the Jaccard similarity of their distinct five-word
-    shingles is that or more; see ``similar_groups``. Null text counts as
-    empty; empty texts are copies of each other. Rows that repeat an id and a
-    text are copies too: one stays. Rows of one id with different texts stay or
-    go together. Rows whose id is null stay only if their group has no other
-    id. All columns of docs are returned.
+    Groups are the components of ``near_duplicates``: fingerprints of shingles
+    of that many words that differ in ``radius`` bits or fewer. Null text
+    counts as empty; texts without words have fingerprint zero and link like
+    any other. Rows that repeat an id and a text are copies too: one stays.
+    Rows of one id with different texts stay or go together. Rows whose id is
+    null stay only if their group has no other id. All columns of docs are
+    returned.
     """
-    groups = stage(similar_groups(docs, similarity, words, bits, tables, width, key=order, text=text), "groups")
+    prints = fingerprints(docs, words, key=order, text=text)
+    groups = stage(near_duplicates(prints, radius, pigeonhole_masks(radius), chunk).select("doc_id", "component_id"), "groups")
     keep = stage(groups.select(F.col("component_id").alias("kept_id")).distinct(), "keep")
     kept = docs.join(keep, docs[order].eqNullSafe(keep["kept_id"]), "left_semi")
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
