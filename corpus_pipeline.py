@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles alike to 0.8 or more."""
-    return simhash_dedup(docs, similarity=0.8, words=5)
+    """One document of each group of SimHash fingerprints of four-word shingles that differ in 4 bits or fewer."""
+    return simhash_dedup(docs, words=4, radius=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
