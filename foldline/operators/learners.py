@@ -25,7 +25,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, functions as F
 
 from foldline.functions.numeric import sql_double, sql_name
-from foldline.operators.moments import elastic_net, ridge, total_moments
+from foldline.operators.moments import Moments, elastic_net, ridge, total_moments
 
 MAX_DEPTH = 30  # MLlib's limit
 BOOSTED_DEPTH = 6  # of histogram boosting where no depth is given: MLlib has no growth by leaves
@@ -164,6 +164,17 @@ def linear_stage(x: Sequence[str], intercept: float, coef: Sequence[float], pred
     return SQLTransformer(statement=f"SELECT *, {terms} AS {sql_name(prediction)} FROM __THIS__")
 
 
+def is_exact(name: str, grid: Sequence[Mapping[str, Any]]) -> bool:
+    """Whether all candidates of a learner follow from the same moments."""
+    return name in ("Ridge", "ElasticNet") and all(p.get("solver", "exact") == "exact" for p in grid)
+
+
+def solve_linear(name: str, params: Mapping[str, Any], sums: Moments) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of a ridge or elastic net; the label is the last column of the moments."""
+    p = _take(name, params)
+    return ridge(sums, float(p["alpha"])) if name == "Ridge" else elastic_net(sums, float(p["alpha"]), float(p["l1_ratio"]))
+
+
 def _fit_linear(name, params, df, x, label, prediction) -> PipelineModel:
     """Ridge and elastic net, solved exactly on the moments of one scan; rows with a NULL are left out."""
     p = _take(name, params)
@@ -176,7 +187,7 @@ def _fit_linear(name, params, df, x, label, prediction) -> PipelineModel:
     sums = total_moments(df, [*x, label])
     if not sums.n:
         raise ValueError(f"{name}: no rows to fit on")
-    intercept, coef = ridge(sums, float(p["alpha"])) if name == "Ridge" else elastic_net(sums, float(p["alpha"]), float(p["l1_ratio"]))
+    intercept, coef = solve_linear(name, params, sums)
     return PipelineModel([linear_stage(x, intercept, coef, prediction)])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import median
@@ -13,7 +13,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from foldline.functions.hashing import hash_unit
-from foldline.operators.learners import fit_learner
+from foldline.functions.metrics import METRICS, metric_columns
+from foldline.operators.gram import linear_prediction
+from foldline.operators.learners import fit_learner, is_exact, solve_linear
+from foldline.operators.linear_stack import LinearFolds, is_linear, side_by_side
+from foldline.operators.moments import total_moments
 from foldline.operators.preprocess import Preprocessor
 from foldline.operators.space import Param, Preset, sample_params, stack_from, value_at
 from foldline.operators.stack import fit_preprocessed_stack
@@ -39,6 +43,16 @@ STEP_SCHEMA = T.StructType(
 )
 
 
+FOLD_SCHEMA = T.StructType(
+    [
+        T.StructField("study", T.StringType()),
+        T.StructField("trial", T.LongType()),
+        T.StructField("fold", T.IntegerType()),
+        *[T.StructField(m, T.DoubleType()) for m in METRICS],
+    ]
+)
+
+
 class TrialPruned(Exception):
     """Raised by a report to end a losing trial."""
 
@@ -50,6 +64,7 @@ class Trial:
     state: str = COMPLETE
     value: float | None = None
     steps: list[float] = field(default_factory=list)
+    folds: list[dict[str, float]] = field(default_factory=list)
 
 
 @dataclass
@@ -74,6 +89,11 @@ class Study:
         rows = [(self.name, t.number, i, v) for t in self.trials for i, v in enumerate(t.steps, 1)]
         return spark.createDataFrame(rows, STEP_SCHEMA)
 
+    def folds_df(self, spark: SparkSession) -> DataFrame:
+        """The metrics of every fold that a trial reached."""
+        rows = [(self.name, t.number, i, *(m[c] for c in METRICS)) for t in self.trials for i, m in enumerate(t.folds)]
+        return spark.createDataFrame(rows, FOLD_SCHEMA)
+
 
 def should_prune(earlier: Sequence[Trial], steps: Sequence[float], startup: int = 5, warmup: int = 2) -> bool:
     """The median rule for one running trial; ``steps`` are its reports so far."""
@@ -200,24 +220,91 @@ def space_of(spark: SparkSession, space: Sequence[Param]) -> DataFrame:
     return spark.createDataFrame(rows, "param string, kind string, low double, high double, step double, log boolean")
 
 
-def stack_objective(
-    df: DataFrame, roles: dict[str, str], preset: Preset, key: str, label: str = "y", fold: str = "fold", k: int = 5,
-    inner: int = 5,
-) -> Objective:
-    """Mean fold MAE of a preset's stack, reported after each outer fold."""
+FoldScores = Callable[[int, Sequence[Mapping[str, float]]], Sequence[Mapping[str, float]]]
+
 
-    def run(params: dict[str, float], report: Callable[[float], None]) -> float:
-        errors: list[float] = []
-        for i in range(k):
-            stack = stack_from(preset, params, inner)
-            model = fit_preprocessed_stack(df.where(F.col(fold) != i), roles, stack, key, label)
-            scored = model.transform(df.where(F.col(fold) == i))
-            mae = scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
-            errors.append(mae)
-            report(sum(errors) / len(errors))
-        return sum(errors) / len(errors)
+def stack_folds(
+    df: DataFrame, roles: Mapping[str, str], preset: Preset, key: str, label: str = "y", fold: str = "fold", inner: int = 5,
+    threads: int = 4,
+) -> FoldScores:
+    """Scores any preset's stacks on one outer fold: the fits of all given trials share a bounded pool."""
 
-    return run
+    def scores(i: int, trials: Sequence[Mapping[str, float]]) -> list[dict[str, float]]:
+        train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
+
+        def one(params: Mapping[str, float]) -> dict[str, float]:
+            model = fit_preprocessed_stack(train, roles, stack_from(preset, params, inner), key, label)
+            return model.transform(test).agg(*metric_columns(label, "prediction")).first().asDict()
+
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(one, trials))
+
+    return scores
+
+
+def run_folds(
+    study: Study,
+    scores: FoldScores,
+    propose: Callable[[Study, int], dict[str, float]],
+    n_trials: int,
+    k: int = 5,
+    prune: bool = True,
+    stop: bool = True,
+    batch: int = 1,
+    startup: int = 5,
+    warmup: int = 2,
+    claim: Callable[[int], Sequence[int]] | None = None,
+    alive: Callable[[Sequence[int]], None] | None = None,
+    finished: Callable[[Sequence[Trial]], None] | None = None,
+) -> Study:
+    """Run up to ``n_trials`` more trials in batches, fold by fold.
+
+    ``scores(fold, params of the live trials)`` gives each trial's metrics on
+    one outer fold. After every fold the running mean MAE is a trial's step,
+    and trials that the median rule sets against those finished before the
+    batch go before the next fold begins: losers cost the folds they reached.
+    ``claim`` reserves trial numbers in a shared log, else they go on from the
+    last; ``alive`` gets the numbers after every fold. ``finished`` gets the trials of every batch as it ends. Where a fold
+    raises, the open trials of the batch are FAIL there before the error goes on.
+    """
+    rules, left = StopRules(), n_trials
+    while left > 0:
+        size = min(batch, left)
+        earlier = list(study.trials)
+        first = max((t.number for t in earlier), default=-1) + 1
+        done = [Trial(n, propose(study, n)) for n in (claim(size) if claim else range(first, first + size))]
+        error = None
+        try:
+            for i in range(k):
+                live = [t for t in done if t.state == COMPLETE]
+                if not live:
+                    break
+                for t, m in zip(live, scores(i, [t.params for t in live]), strict=True):
+                    t.folds.append(dict(m))
+                    if m["MAE"] is None or not math.isfinite(m["MAE"]):
+                        t.state = FAIL
+                        continue
+                    t.steps.append(sum(f["MAE"] for f in t.folds) / len(t.folds))
+                    if prune and should_prune(earlier, t.steps, startup, warmup):
+                        t.state = PRUNED
+                if alive:
+                    alive([t.number for t in done])
+        except Exception as e:
+            error = e
+        for t in done:
+            if t.state == COMPLETE and error is not None:
+                t.state = FAIL
+            elif t.state == COMPLETE:
+                t.value = t.steps[-1]
+        study.trials.extend(done)
+        left -= size
+        if finished:
+            finished(done)
+        if error is not None:
+            raise error
+        if stop and any([rules.see(t) for t in done]):
+            break
+    return study
 
 
 def tune(
@@ -237,13 +324,20 @@ def tune(
     sampler: str = "random",
     **rules: Any,
 ) -> Study:
-    """Search a preset's parameters on the rows of ``df``; pass a study to go on with it."""
+    """Search a preset's parameters on the rows of ``df``; pass a study to go on with it.
+
+    Presets of linear members only are scored from sums of products, all live
+    trials of a batch in one scan of the fold; others are fitted.
+    """
     space = preset.space if space is None else space
     # Every fold of every trial scans these rows, over hours.
     rows = stage_table(df.select(*dict.fromkeys([key, label, fold, *roles])), "tune")
-    objective = stack_objective(rows, roles, preset, key, label, fold, k, inner)
+    if is_linear(preset):
+        scores = LinearFolds(rows, roles, preset, key, label, fold, k, inner)
+    else:
+        scores = stack_folds(rows, roles, preset, key, label, fold, inner)
     propose = random_proposals(space, seed) if sampler == "random" else tpe_proposals(df.sparkSession, space, seed)
-    return run_trials(study or Study(name), objective, propose, n_trials, **rules)
+    return run_folds(study or Study(name), scores, propose, n_trials, k, **rules)
 
 
 def cv_search(
@@ -266,6 +360,14 @@ def cv_search(
     rows = stage_table(df.select(*dict.fromkeys([label, fold, *roles])), "cv")
     models = Preprocessor(roles, **prep).fit_by_fold(rows, fold, k)
 
+    def linear(i: int) -> list[float]:
+        """The whole grid on one fold: the moments of the other rows, then one scan of the fold."""
+        x = models[i].columns
+        sums = total_moments(models[i].transform(rows.where(F.col(fold) != i)), [*x, label])
+        functions = [solve_linear(learner, params, sums) for params in grid]
+        columns = [linear_prediction(x, F.lit(b), F.array(*map(F.lit, w.tolist()))) for b, w in functions]
+        return [m["MAE"] for m in side_by_side(models[i].transform(rows.where(F.col(fold) == i)), label, columns)]
+
     def judge(job: tuple[int, int]) -> float:
         at, i = job
         pre = models[i]
@@ -273,9 +375,11 @@ def cv_search(
         scored = model.transform(pre.transform(rows.where(F.col(fold) == i)))
         return scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
 
-    jobs = [(at, i) for at in range(len(grid)) for i in range(k)]
     with ThreadPoolExecutor(parallelism) as pool:
-        errors = list(pool.map(judge, jobs))
+        if is_exact(learner, grid):
+            errors = [e for of_trial in zip(*pool.map(linear, range(k))) for e in of_trial]
+        else:
+            errors = list(pool.map(judge, [(at, i) for at in range(len(grid)) for i in range(k)]))
     scores = [-sum(errors[at * k : (at + 1) * k]) / k for at in range(len(grid))]
     best = max(range(len(grid)), key=lambda at: scores[at])
     pre = Preprocessor(roles, **prep).fit(rows)

@@ -30,6 +30,8 @@ class SearchSettings:
     space: Sequence[Param] | None = None
     sampler: str = "tpe"
     prune: bool = True
+    startup: int = 5
+    warmup: int = 2
     stop: bool = True
     batch: int = 1
     min_group_rows: int = MIN_GROUP_ROWS
@@ -62,7 +64,9 @@ def run_study(
         return study
     tune(
         rows, dict(roles), preset, key, name, "y", "fold", s.folds, s.inner, left, s.space, study, s.seed, s.sampler,
-        prune=s.prune, stop=s.stop, batch=s.batch, finished=lambda done: store.save(name, done),
+        prune=s.prune, startup=s.startup, warmup=s.warmup, stop=s.stop, batch=s.batch,
+        claim=lambda size: store.claim(name, size), alive=lambda numbers: store.alive(name, numbers),
+        finished=lambda done: store.save(name, done),
     )
     finished = sum(t.state in (COMPLETE, PRUNED) for t in study.trials)
     if len(study.trials) - known < left and finished < decision["goal"]:
