@@ -29,3 +29,12 @@ def test_query(spark, con, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_a_missing_library_takes_only_the_queries_that_need_it(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "foldline.llm.queries", None)
+    monkeypatch.delattr("foldline.llm.queries", raising=False)
+    left = entry.queries()
+    assert "stack_linear" in left and "pipeline" not in left and not any(name.startswith("op1") for name in left)
