@@ -47,6 +47,18 @@ def _powers(base: int, at: np.ndarray | int) -> np.ndarray:
     return low[at & (STEP - 1)] * high[at >> 16] % np.uint64(PRIME)
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the Mersenne prime, for x below 2 ** 63, by folding its upper bits down."""
+    prime, shift = np.uint64(PRIME), np.uint64(31)
+    y = x >> shift
+    y += x & prime
+    z = y >> shift
+    y &= prime
+    y += z
+    y[y >= prime] -= prime
+    return y
+
+
 class PrefixHash:
     """Modular prefix arrays of one text: any span's hash in constant time.
 
@@ -59,14 +71,14 @@ class PrefixHash:
         c = codes.astype(np.uint64) + np.uint64(1)
         self.sums = np.zeros((len(BASES), self.n + 1), np.uint64)
         for row, base in zip(self.sums, BASES):
-            np.cumsum(c * _powers(base, self.n) % np.uint64(PRIME), out=row[1:])
-            row %= np.uint64(PRIME)
+            np.cumsum(_mod(c * _powers(base, self.n)), out=row[1:])
+            row[1:] = _mod(row[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of the spans [start, end)."""
         out = np.zeros(len(starts), np.uint64)
         for row, base in zip(self.sums, INVERSES):
-            h = (row[ends] + np.uint64(PRIME) - row[starts]) * _powers(base, starts) % np.uint64(PRIME)
+            h = _mod((row[ends] + np.uint64(PRIME) - row[starts]) * _powers(base, starts))
             out = (out << np.uint64(31)) | h
         return out
 
@@ -75,7 +87,7 @@ class PrefixHash:
         m = self.n - k + 1
         out = np.zeros(m, np.uint64)
         for row, base in zip(self.sums, INVERSES):
-            out = (out << np.uint64(31)) | ((row[k:] + np.uint64(PRIME) - row[:m]) * _powers(base, m) % np.uint64(PRIME))
+            out = (out << np.uint64(31)) | _mod((row[k:] + np.uint64(PRIME) - row[:m]) * _powers(base, m))
         return out
 
 
@@ -97,18 +109,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(prefix: PrefixHash, span: int, size: int) -> np.ndarray:
-    """The ``size`` smallest mixed span hashes (32 bits), ascending; a shorter text is one span."""
+def span_hashes(prefix: PrefixHash, span: int) -> np.ndarray:
+    """Mixed hashes (32 bits) of all spans, by start; a shorter text is one span, an empty one none."""
     if not prefix.n:
         return np.zeros(0, np.uint32)
-    h = prefix.windows(min(span, prefix.n))
-    h = (_mix(h) >> np.uint64(32)).astype(np.uint32)
-    take = size
-    while take < len(h):
-        low = np.unique(np.partition(h, take - 1)[:take])
+    return (_mix(prefix.windows(min(span, prefix.n))) >> np.uint64(32)).astype(np.uint32)
+
+
+def edited_hashes(old: PrefixHash, old_codes: np.ndarray, old_hashes: np.ndarray, new_codes: np.ndarray, new_hashes: np.ndarray, span: int) -> np.ndarray:
+    """Span hashes of the old text with its last quarter replaced by the new one's head.
+
+    A span's hash does not depend on where it stands: those left of the seam
+    are the old text's, those right of it the new one's, and only spans across
+    it are hashed.
+    """
+    kept = old.n - old.n // 4
+    head = min(old.n // 4, len(new_codes))
+    if kept + head < 2 * span:
+        return span_hashes(PrefixHash(np.concatenate([old_codes[:kept], new_codes[:head]])), span)
+    seam = np.concatenate([old_codes[max(0, kept - span + 1) : kept], new_codes[: min(head, span - 1)]])
+    across = span_hashes(PrefixHash(seam), span) if len(seam) >= span else old_hashes[:0]
+    return np.concatenate([old_hashes[: max(0, kept - span + 1)], across, new_hashes[: max(0, head - span + 1)]])
+
+
+def sketch(h: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` smallest distinct hashes, ascending."""
+    bound = 3 * size
+    while bound < len(h):  # among those below so much of the range are likely enough
+        low = np.unique(h[h < np.uint32(bound * 0xFFFFFFFF // len(h))])
         if len(low) >= size:
             return low[:size]
-        take *= 2  # repeats: look further
+        bound *= 4  # repeats: look further
     return np.unique(h)[:size]
 
 
@@ -136,27 +167,37 @@ SCHEMA = pa.schema(
 )
 
 
+def _ordinals(o: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Pairs as byte strings in the order of the pairs."""
+    flip = np.uint64(1 << 63)
+    both = np.stack([o.astype(np.int64).view(np.uint64) ^ flip, digest.astype(np.int64).view(np.uint64) ^ flip], axis=1)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
 def consecutive(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """(part, tail, doc_id, text): parts of consecutive documents in order of (doc_id, text digest), null ids first.
 
     A part lies in one partition, in order; its last row (tail 1) is the first
     row of the next part once more, and of the first part after the last. Texts
-    are shuffled once. The parts' first ids, one for each of a number of parts
-    that the session's partitions fix, are all that passes the driver.
+    are shuffled once. Rows of one id are split by their texts. The parts' first
+    rows, one for each of a number of parts that the session's partitions fix,
+    are all that passes the driver.
     """
     parts = parts or 4 * n_parts(docs)
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    ranged = docs.select(order.alias("o")).repartitionByRange(parts, "o")
-    cuts = np.array(sorted(r.o for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("o").alias("o")).collect()), np.int64)
+    ranged = docs.select(order.alias("o"), row_digest(text).alias("digest")).repartitionByRange(parts, "o", "digest")
+    firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("o", "digest")).alias("first")).collect()
+    cuts = np.sort(_ordinals(np.array([r.first.o for r in firsts], np.int64), np.array([r.first.digest for r in firsts], np.int64)))
 
     @F.pandas_udf("array<int>")
-    def places(o: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, o.to_numpy(), "right") - 1
-        first = cuts[at] == o.to_numpy()
+    def places(o: pd.Series, digest: pd.Series) -> pd.Series:
+        mine = _ordinals(o.to_numpy(), digest.to_numpy())
+        at = np.searchsorted(cuts, mine, "right") - 1
+        first = cuts[at] == mine
         return pd.Series([[p, -((p - 1) % len(cuts)) - 1] if f else [p] for p, f in zip(at.tolist(), first.tolist())])
 
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), order.alias("o"))
-    dealt = src.withColumn("place", F.explode(places("o"))).withColumn("digest", row_digest())
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), order.alias("o"), row_digest(text).alias("digest"))
+    dealt = src.withColumn("place", F.explode(places("o", "digest")))
     dealt = dealt.select(F.expr("if(place < 0, -place - 1, place)").alias("part"), (F.col("place") < 0).alias("tail"), "o", "digest", "doc_id", "text")
     return dealt.repartition(n_parts(docs), "part").sortWithinPartitions("part", "tail", "o", "digest").select("part", "tail", "doc_id", "text")
 
@@ -182,16 +223,18 @@ def neighbour_fingerprints(docs: DataFrame, span: int = 16, size: int = 64, key:
                     continue
                 codes = codes_of(t)
                 prefix = PrefixHash(codes)
-                own = sketch(prefix, span, size)
+                hashes = span_hashes(prefix, span)
+                own = sketch(hashes, size)
                 if before and before[0] == part:
-                    _, old_doc, old_text, old_codes, old_prefix, old = before
+                    _, old_doc, old_text, old_codes, old_prefix, old_hashes, old = before
                     n = len(old_codes)
-                    edit = PrefixHash(np.concatenate([old_codes[: n - n // 4], codes[: n // 4]]))
-                    edited = sketch(edit, span, size)
-                    sha = hashlib.sha256((old_text[: n - n // 4] + t[: n // 4]).encode()).hexdigest()
-                    same = int(common_extension(old_prefix, np.zeros(1, np.int64), edit, np.zeros(1, np.int64))[0])
+                    kept = n - n // 4
+                    edited = sketch(edited_hashes(old_prefix, old_codes, old_hashes, codes, hashes, span), size)
+                    sha = hashlib.sha256((old_text[:kept] + t[: n // 4]).encode()).hexdigest()
+                    # Up to the seam the two are one text.
+                    same = kept + int(common_extension(old_prefix, np.array([kept]), prefix, np.zeros(1, np.int64))[0])
                     done.append((old_doc, n, sha, as_text(old), as_text(edited), likeness(old, edited, size), likeness(old, own, size), same))
-                before = None if tail else (part, doc, t, codes, prefix, own)
+                before = None if tail else (part, doc, t, codes, prefix, hashes, own)
             if done:
                 yield rows(list(zip(*done)), SCHEMA)
 
