@@ -13,40 +13,117 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldline.llm.common import rows
 
-# Elements whose content is never text of the page.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|option|datalist|audio|video"
+# Elements whose content is never text of the page; those of the second kind end with the page where they are not closed.
+SILENT = set("script style noscript template svg math iframe object canvas title textarea select datalist audio video".split())
+TO_THE_END = {"script", "style", "title", "textarea"}
+DRAWN = {"svg", "math"}  # may close themselves
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SILENT})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|<[a-z!?/][^>]*\Z",
     re.I | re.S,
 )
+CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = BLOCKS - {"p", "hr", "body", "html"} | {"a", "span"}
 MAIN_TAGS, APART_TAGS = {"article", "main"}, set("aside button dialog footer form head menu nav".split())
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-# Parts of names that pages give to what stands beside the article.
-APART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|masthead|site-?header|header|cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|comments?|respond|disqus|replies|reactions|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|banner|skip)(?:$|[\s_-])", re.I
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAMING = {"class", "id", "role", "aria-label"}
+NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# Names that pages give to what stands beside the article, and words that may come before them.
+BESIDE = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner sidebar side-bar menu nav navbar "
+    "navigation breadcrumb breadcrumbs foot footer masthead site-header header cookie cookies consent notice notices alert gdpr popup modal overlay comment "
+    "comments comment-list respond disqus reply replies reactions share sharing social related recommended newsletter subscribe signup login search widget "
+    "widgets toolbar pagination pager complementary contentinfo skip skip-link".split()
 )
-MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text)(?:$|[\s_-])", re.I)
+PLACES = set("site page main primary secondary top bottom left right global sticky mobile the my js wp block".split())
+OF_ARTICLE = set("article post entry story".split())
+OWN_PARTS = set("header footer nav foot notice alert".split())  # after one of OF_ARTICLE these are the article's own
+ARTICLE = set("article post entry story content main body-text bodytext article-body post-body entry-content post-content article-content story-body main-content".split())
+
+
+def _parts(name: str) -> list[str]:
+    return [x for x in re.split(r"[-_]+", name) if x]
+
+
+def is_beside(name: str) -> bool:
+    """Whether one whole class, id or role names something beside the article: by itself, by its first part, or after a place."""
+    name = name.lower()
+    parts = _parts(name)
+    if not parts:
+        return False
+    if name in BESIDE or parts[0] in BESIDE:
+        return True
+    if parts[0] in OF_ARTICLE and len(parts) == 2:
+        return parts[1] in BESIDE - OWN_PARTS
+    return parts[0] in PLACES and len(parts) == 2 and parts[1] in BESIDE
+
+
+def is_article(name: str) -> bool:
+    name = name.lower()
+    return name in ARTICLE or "-".join(_parts(name)) in ARTICLE
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(attributes.get("style", "")))
+
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "apart", "main_on_page", "heading")
 
 
+@dataclass
+class Holder:
+    """An element that encloses blocks: what its tag, names and attributes say, and what it was found to hold."""
+
+    tag: str
+    main: bool
+    apart: bool
+    named: bool  # apart by its names or as a form, which an element around the article may be
+    heading: bool
+    words: int = 0
+    holds_main: bool = False
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    main: bool
-    apart: bool
-    heading: bool
+    holders: list[Holder]
+
+    @property
+    def main(self) -> bool:
+        return any(h.main for h in self.holders)
+
+    @property
+    def apart(self) -> bool:
+        return any(h.apart for h in self.holders)
+
+    @property
+    def heading(self) -> bool:
+        return any(h.heading for h in self.holders)
+
+
+def _holder(tag: str, attr: str, inside: bool) -> Holder:
+    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attr)}
+    names = [n for k in NAMING for n in found.get(k, "").split()]
+    named = tag == "form" or any(map(is_beside, names))
+    main = tag in MAIN_TAGS or (not named and any(map(is_article, names)))
+    apart = named or tag in APART_TAGS or (tag == "header" and not inside) or is_hidden(found)
+    return Holder(tag, main and not named, apart, named and not is_hidden(found) and (tag == "form" or tag not in APART_TAGS), tag in {"h1", "h2", "h3", "h4", "h5", "h6"})
 
 
 def blocks(page: str) -> list[Block]:
-    """Texts between block elements, in page order, with the words inside links and what encloses them."""
+    """Texts between block elements, in page order, with the words inside links and what encloses them.
+
+    An element that is apart by its names, or a form, but holds the ``main``
+    element or most of the page's words while none of its article stands
+    elsewhere, is a frame around the article and not apart.
+    """
     out: list[Block] = []
-    holders: list[tuple[str, bool, bool, bool]] = []  # tag, main, apart, heading
+    holders: list[Holder] = []
+    seen: list[Holder] = []
+    open_ended: set[str] = set()  # tags of SILENT that are not closed any more
     parts: list[tuple[str, bool]] = []
     links = 0
     at = 0
@@ -57,10 +134,12 @@ def blocks(page: str) -> list[Block]:
         words = html.unescape("".join(t for t, _ in parts)).split()
         if words:
             linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), any(h[1] for h in holders), any(h[2] for h in holders), any(h[3] for h in holders)))
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), list(holders)))
+            for h in holders:
+                h.words += len(words)
         parts.clear()
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append((page[at : m.start()], links > 0))
         at = m.end()
@@ -68,31 +147,47 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SILENT:
+            if m["close"] or tag in open_ended or (tag in DRAWN and m["attr"].endswith("/")):
+                continue
+            if end := CLOSING[tag].search(page, at):
+                at = end.end()
+            elif tag in TO_THE_END:
+                at = len(page)
+            else:
+                open_ended.add(tag)
+            continue
         if tag == "br":
             parts.append((" ", False))
             continue
         if tag in BLOCKS:
             close()
         if tag == "body":
-            holders = [h for h in holders if h[0] != "head"]
-        if tag not in HOLDERS or m["attr"].endswith("/"):
+            holders = [h for h in holders if h.tag != "head"]
+        if tag not in HOLDERS:
             continue
         if not m["close"]:
-            names = " ".join(n.strip("\"'") for n in NAMES.findall(m["attr"]))
-            inside = any(h[1] for h in holders)
-            apart = tag in APART_TAGS or (tag == "header" and not inside) or bool(names and APART.search(names)) or bool(m["attr"] and HIDDEN.search(m["attr"]))
-            main = tag in MAIN_TAGS or bool(names and not apart and MAIN.search(names))
-            holders.append((tag, main, apart, tag in {"h1", "h2", "h3", "h4", "h5", "h6"}))
+            h = _holder(tag, m["attr"], any(h.main for h in holders))
+            if tag == "main":
+                for outer in holders:
+                    outer.holds_main = True
+            holders.append(h)
+            seen.append(h)
             links += tag == "a"
         else:
-            found = next((k for k in range(len(holders) - 1, -1, -1) if holders[k][0] == tag), None)
+            found = next((k for k in range(len(holders) - 1, -1, -1) if holders[k].tag == tag), None)
             if found is not None:
                 gone = holders[found:] if tag in BLOCKS else holders[found : found + 1]
                 holders = holders[:found] if tag in BLOCKS else holders[:found] + holders[found + 1 :]
-                links -= sum(h[0] == "a" for h in gone)
+                links -= sum(h.tag == "a" for h in gone)
     if at < len(page):
         parts.append((page[at:], links > 0))
     close()
+    total = sum(b.words for b in out)
+    for h in seen:
+        if h.apart and h.named and (h.holds_main or 2 * h.words > total):
+            elsewhere = any(b.main and not b.apart and h not in b.holders for b in out) if not h.holds_main else False
+            h.apart = elsewhere
     return out
 
 
@@ -160,7 +255,10 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     talk = f"<section id='comments'><h2>- two replies</h2>{para(25, '-') * 2}{para(2, '-')}</section>"
     form = f"<form><label>- {_said(2)}</label><input>{para(12, '-')}</form>"
     body = f"<h1>+ {_said(6)}</h1>{para(80)}{para(1)}{para(30)}<h2>+ {_said(2)}</h2>{para(3)}{para(60)}<ul><li>+ {_said(4)}</li><li>+ <a href='#'>{_said(3)}</a></li></ul>"
+    frame = "<div class='layout has-sidebar'><div class='overflow-hidden' aria-hidden='false'>"
     pages = [
+        f"<body>{menu}{frame}<article class='post category-social'><header class='entry-header'><h1>+ {_said(6)}</h1></header><svg/>{para(70)}{para(2)}</article></div>{side}</div>{foot}</body>",
+        f"<body><form id='aspnetForm'>{menu}<div class='page-sidebar'>{para(30, '-')}</div><div id='main-content'>{body}</div>{notice}</form>{foot}</body>",
         f"<body>{menu}<div class='ad'>- {_said(10)}</div><article>{body}</article>{foot}</body>",
         f"<body><header>- {_said(4)}</header>{menu}<main>{body}{side}{form}</main>{talk}{foot}</body>",
         f"<body>{notice}<div id='content'>{body}<div class='share'>- {_said(3)}</div></div>{side}{talk}{foot}</body>",
@@ -173,6 +271,8 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
         # Layouts that name nothing: length and links of a block and its neighbours decide.
         f"<body><div>{link(1) * 4}</div><div>{para(70)}{para(40)}{para(6)}{para(55)}</div><div>{link(3) * 3}</div><div>- {_said(4)}</div></body>",
         f"<body><ul>{link(2) * 6}</ul><table><tr><td>{para(35)}{para(90)}<p>+ {_said(20)} <a href='#'>{_said(3)}</a></p>{para(45)}</td></tr></table><p>- {_said(2)}</p><p><a href='#'>- {_said(8)}</a></p></body>",
+        f"<body>{menu}<form id='all'><div>{para(21) * 4}</div></form>{foot}</body>",
+        f"<body><form id='all'><div>{para(24) * 3}{para(15)}</div></form></body>",
         f"<body>{menu}{para(50)}{para(18)}{para(4)}{para(28)}{foot}</body>",
     ]
     x, y = [], []
