@@ -100,16 +100,19 @@ class Chain:
 def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The cut with the best F1 among those of this precision or more, halfway between the probabilities around it.
 
-    Where none is so precise, as with very few labels, the category is never set: infinity.
+    Where none is so precise, as with few labels or some wrong ones among the
+    highest, the cut with the best F1 of all. Without a positive label the
+    category is never set: infinity.
     """
+    if not y.any():
+        return math.inf
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     taken = np.arange(1, len(y) + 1)
-    f1 = np.where(hits >= precision * taken, 2 * hits / (taken + y.sum()), 0.0)
+    f1 = 2 * hits / (taken + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties fall on one side
-    if not f1.any():
-        return math.inf
-    at = int(np.argmax(f1))
+    exact = np.where(hits >= precision * taken, f1, 0.0)
+    at = int(np.argmax(exact if exact.any() else f1))
     return float((p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0)) / 2)
 
 

@@ -280,6 +280,29 @@ def test_prefix_hashes_and_common_extensions():
         assert max(x, y) + n == len(codes) or codes[x + n] != codes[y + n]
 
 
+def test_edited_hashes_and_likeness():
+    rng = np.random.default_rng(6)
+    big = np.array([0, fingerprints.PRIME, 2 * fingerprints.PRIME, (1 << 63) - 1, *rng.integers(0, 1 << 63, 500)], np.uint64)
+    assert (fingerprints._mod(big) == big % np.uint64(fingerprints.PRIME)).all()
+    for n, m in [(0, 0), (0, 9), (3, 40), (16, 16), (17, 2), (40, 0), (61, 200), (64, 3), (500, 7), (500, 90), (2000, 2000), (3000, 15), (3000, 16)]:
+        old, new = (rng.integers(97, 97 + k, size).astype(np.uint32) for size, k in ((n, 3), (m, 4)))
+        edited = np.concatenate([old[: n - n // 4], new[: n // 4]])
+        a, b = fingerprints.PrefixHash(old), fingerprints.PrefixHash(new)
+        got = fingerprints.edited_hashes(a, old, fingerprints.span_hashes(a, 16), new, fingerprints.span_hashes(b, 16), 16)
+        assert sorted(got) == sorted(fingerprints.span_hashes(fingerprints.PrefixHash(edited), 16))
+    for n in (20, 40, 5000):
+        x = rng.integers(97, 123, n).astype(np.uint32)
+        for keep in (0.0, 0.3, 0.7, 1.0):
+            y = np.concatenate([x[: int(keep * n)], rng.integers(97, 123, n - int(keep * n)).astype(np.uint32)])
+            spans = [{c[i : i + 16].tobytes() for i in range(n - 15)} for c in (x, y)]
+            dice = 2 * len(spans[0] & spans[1]) / (len(spans[0]) + len(spans[1]))
+            sketches = [fingerprints.sketch(fingerprints.span_hashes(fingerprints.PrefixHash(c), 16), 64) for c in (x, y)]
+            got = fingerprints.likeness(*sketches, 64)
+            assert abs(got - dice) < (1e-9 if n < 45 else 0.2)  # small sets are held whole
+    repeats = np.repeat(np.arange(70, dtype=np.uint32), 500)
+    assert (fingerprints.sketch(repeats, 64) == np.arange(64)).all() and (fingerprints.sketch(np.zeros(900, np.uint32), 64) == [0]).all()
+
+
 def test_neighbour_fingerprints(spark, corpus):
     docs = [(i, t) for i, t in corpus if i != 44] + [(44, corpus[3][1])]
     got = {r.doc_id: r for r in fingerprints.neighbour_fingerprints(frame(spark, docs)).collect()}
@@ -295,6 +318,8 @@ def test_neighbour_fingerprints(spark, corpus):
         prints[t].add(got[i].fingerprint)
         prints[edited].add(got[i].edited_fingerprint)
     assert all(len(v) == 1 for v in prints.values())
+    many = [(None, f"text {i} " * 9) for i in range(50)] + [(7, f"other {i} " * 9) for i in range(50)]
+    assert fingerprints.neighbour_fingerprints(frame(spark, many)).count() == 100
     one = fingerprints.neighbour_fingerprints(frame(spark, [(5, "abcdefgh" * 9)])).collect()
     assert len(one) == 1 and one[0].near_next == 1
 
@@ -464,6 +489,19 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.is_toxic}
 
 
+def test_threshold_without_a_precise_cut():
+    p, y = np.array([0.9, 0.8, 0.7, 0.6, 0.2, 0.1]), np.array([0.0, 1, 1, 0, 0, 0])
+    assert toxicity._best_threshold(p, y, 0.9) == pytest.approx(0.65)  # two of three: the best F1 there is
+    assert toxicity._best_threshold(p, np.array([1.0, 1, 0, 1, 0, 0]), 0.9) == pytest.approx(0.75)
+    assert toxicity._best_threshold(p, np.zeros(6), 0.9) == np.inf and toxicity._best_threshold(np.zeros(0), np.zeros(0), 0.9) == np.inf
+
+
+def test_toxicity_without_documents_or_labels(spark):
+    none = frame(spark, [(1, "a b")]).where("false")
+    chain = toxicity.train(none, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"), {"toxic": F.col("toxic")})
+    assert toxicity.score(none, chain).count() == 0 and toxicity.keep_clean(none, chain).columns == none.columns and toxicity.keep_clean(none, chain).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"toxic": F.col("toxic")})
@@ -485,6 +523,53 @@ def test_page_text(spark):
     assert len(got) == 7 and all(r.text == "" for r in got if r.page_id in (2, 3, 4) or r.page_id is None)
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} {'of words ' * 12}</p>" for i in range(4))
+TALK = f"<p>{'reply ' * 30}</p>"
+LAYOUTS = [
+    f"<nav><a href=#>Home</a></nav><div class='layout has-sidebar'><article><h1>Head</h1>{ARTICLE}</article></div>",
+    f"<div class='overflow-hidden'><article><h1>Head</h1>{ARTICLE}</article></div><div hidden>{TALK}</div><p style='display: none'>reply</p>",
+    f"<article class='post category-social tag-comments'><h1>Head</h1>{ARTICLE}</article><aside>{TALK}</aside>",
+    f"<div aria-hidden='false'><article><h1>Head</h1>{ARTICLE}</article></div><div aria-hidden=true>{TALK}</div>",
+    f"<form id='aspnetForm'><nav><a href=#>Home</a></nav><div class='page-sidebar'>{TALK}</div><div id='main-content'><h1>Head</h1>{ARTICLE}</div></form>",
+    f"<article><svg/><h1>Head</h1><svg class=a><text>reply</text></svg><math/>{ARTICLE}</article>",
+    f"<article><header class='entry-header'><h1>Head</h1></header>{ARTICLE}</article>",
+    f"<main class='with-banner'><h1>Head</h1>{ARTICLE}</main><div class='comments'><article class='comment'>{TALK}</article></div>",
+    f"<header id='masthead' class='site-header'>reply</header><div class='content-area'><main id='main' class='site-main'><article id='post-1' class='post'><h1 class='entry-title'>Head</h1>"
+    f"<div class='entry-content'>{ARTICLE}</div></article><div id='comments' class='comments-area'><ol class='comment-list'><li><article class='comment-body'>{TALK}</article></li></ol></div></main></div>",
+    f"<div class='cookie-consent'>{TALK}</div><div class='post-content'><h1>Head</h1>{ARTICLE}</div><div class='site-footer'>reply</div>",
+    f"<div class='story'><h1>Head</h1>{ARTICLE}</div><section class='comments'>{TALK * 9}</section>",
+    f"<article><iframe src=x><canvas><object><h1>Head</h1>{ARTICLE}</article><script>reply</script",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts_lose_no_article(page):
+    """A plain reader of the marked article: its head and paragraphs, whole, and nothing of what stands beside it."""
+    got = html_text.main_text(f"<html><body>{page}</body></html>", html_text.grow(*html_text.labelled()))
+    assert got == "\n".join(["Head", *(f"Paragraph {i} {'of words ' * 12}".strip() for i in range(4))])
+
+
+def test_given_pages_keep_their_articles(spark, sf):
+    """A reader of the one layout the given pages have."""
+    import html as entities
+    import re
+
+    def plain(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        found = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", part))).split()) for part in re.split(r"</?(?:p|h1|h2|ul|li|div|blockquote|pre|table|tr|td)\b[^>]*>", inner)]
+        return "\n".join(x for x in found if x)
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))).collect()}
+    assert got == {r.page_id: plain(r.html) for r in pages.collect()}
+
+
+def test_very_long_pages(spark):
+    page = "<body><article>" + "<p>many words here</p><svg>" * 30_000 + "</article></body>"
+    got = html_text.extract(spark.createDataFrame([(1, "u", page), (2, "u", "<div" * 200_000)], "page_id long, url string, html string")).collect()
+    assert [r.text.count("\n") for r in got if r.page_id == 1] == [29_999] and [r.text for r in got if r.page_id == 2] == [""]
+
+
 def test_tree_fits_its_table_and_held_out_layouts():
     x, y = html_text.labelled()
     tree = html_text.grow(x, y)
