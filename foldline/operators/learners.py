@@ -178,7 +178,8 @@ def solve_linear(name: str, params: Mapping[str, Any], sums: Moments) -> tuple[f
 def _fit_linear(name, params, df, x, label, prediction) -> PipelineModel:
     """Ridge and elastic net, solved exactly on the moments of one scan; rows with a NULL are left out."""
     p = _take(name, params)
-    if p["solver"] == "l-bfgs":
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    if p["solver"] == "l-bfgs" or any("udt" in kinds[c] for c in x):  # sparse columns have no small matrix
         join = VectorAssembler(inputCols=list(x), outputCol="__x")
         est = linear_estimator(df, "__x", label, prediction, float(p["alpha"]), float(p["l1_ratio"]) if "l1_ratio" in p else None)
         return PipelineModel([join, est.fit(join.transform(df)), SQLTransformer(statement="SELECT * EXCEPT (__x) FROM __THIS__")])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldline.functions.numeric import clean, sql_double, sql_name, sql_string
 from foldline.operators.quantiles import exact_quantiles
+from foldline.operators.wide import save_dictionary, wide_one_hot
+from foldline.session import stage_table
 
 BRANCH_ORDER = ("num", "log", "exp", "cat")
 SCALERS = ("minmax", "standard", "robust")
@@ -27,6 +29,8 @@ class ColumnStats:
     shift: float = 0.0
     scale: float = 1.0
     categories: list[str] = field(default_factory=list)
+    dictionary: str = ""  # path of a wide column's dictionary
+    size: int = 0
 
 
 @dataclass
@@ -38,7 +42,7 @@ class PreprocessorModel:
 
     def imputed_sql(self, col: str) -> str:
         s = self.stats[col]
-        if s.role == "cat":
+        if s.role in ("cat", "wide"):
             return f"coalesce(CAST({sql_name(col)} AS STRING), {sql_string(s.fill)})"
         x = f"CAST({sql_name(col)} AS DOUBLE)"
         return f"coalesce(nanvl({x}, CAST(NULL AS DOUBLE)), {sql_double(s.fill)})"
@@ -60,31 +64,48 @@ class PreprocessorModel:
             out[f"{col}__raw"] = f"CAST({sql_name(col)} AS DOUBLE)"
         return out
 
+    @property
+    def wide(self) -> dict[str, str]:
+        """Output column of every column that became one sparse vector."""
+        return {c: f"{c}__onehot" for c, s in self.stats.items() if s.role == "wide"}
+
     @property
     def columns(self) -> list[str]:
-        return list(self.column_sql())
+        return [*self.column_sql(), *self.wide.values()]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *[F.expr(sql).alias(name) for name, sql in self.column_sql().items()])
+        out = df.select("*", *[F.expr(sql).alias(name) for name, sql in self.column_sql().items()])
+        for stage in self.wide_stages():
+            out = stage.transform(out)
+        return out
+
+    def wide_stages(self) -> list:
+        return [s for c, name in self.wide.items() for s in wide_one_hot(self.imputed_sql(c), name, self.stats[c].dictionary, self.stats[c].size)]
 
     def stages(self, features: str = "features") -> list:
-        """The same as pipeline stages, ending in a feature vector."""
-        exprs = ", ".join(f"{sql} AS {sql_name(name)}" for name, sql in self.column_sql().items())
+        """The same as pipeline stages, ending in a feature vector; the first one makes all plain columns."""
+        exprs = "".join(f", {sql} AS {sql_name(name)}" for name, sql in self.column_sql().items())
         return [
-            SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__"),
+            SQLTransformer(statement=f"SELECT *{exprs} FROM __THIS__"),
+            *self.wide_stages(),
             VectorAssembler(inputCols=self.columns, outputCol=features),
         ]
 
 
 class Preprocessor:
-    """Column roles, scaler (``minmax``, ``standard``, ``robust``) and what to do with other columns."""
+    """Column roles, scaler (``minmax``, ``standard``, ``robust``) and what to do with other columns.
+
+    A categorical column of up to ``dense_categories`` values becomes a column
+    for each; a wider one becomes one sparse vector with the same places, whose
+    dictionary is a table that never passes the driver.
+    """
 
     def __init__(
         self,
         roles: Mapping[str, str],
         scaler: str = "minmax",
         remainder: str = "drop",
-        max_categories: int = 1000,
+        dense_categories: int = 1000,
     ):
         if scaler not in SCALERS:
             raise ValueError(f"unknown scaler: {scaler}")
@@ -93,7 +114,7 @@ class Preprocessor:
         self.roles = dict(roles)
         self.scaler = scaler
         self.remainder = remainder
-        self.max_categories = max_categories
+        self.dense_categories = dense_categories
 
     def fit(self, df: DataFrame, others: Sequence[str] = ()) -> PreprocessorModel:
         """Statistics over all rows; ``others`` are the columns a passthrough keeps."""
@@ -170,14 +191,13 @@ class Preprocessor:
                 F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
             ).alias("v"),
         )
-        counts = keyed.where(F.col("v.value").isNotNull()).groupBy("v.col", "v.value", "fold").count()
-        # One output column per category: more than max_categories is an error, not a truncation.
-        room = self.max_categories * len(cols) * max(len(stats), 1)
-        rows = counts.limit(room + 1).collect()
-        if len(rows) > room:
-            raise ValueError(f"more than {self.max_categories} categories; give the column another role")
+        # Counts combine before the shuffle; a wide column's stay a table.
+        counts = stage_table(keyed.where(F.col("v.value").isNotNull()).groupBy("v.col", "v.value", "fold").count(), "categories")
+        widths = {r["col"]: r["n"] for r in counts.groupBy("col").agg(F.count_distinct("value").alias("n")).collect()}
+        narrow = [c for c in cols if widths.get(c, 0) <= self.dense_categories]
+        rows = counts.where(F.col("col").isin(narrow)).collect() if narrow else []
         for m in stats:
-            for c in cols:
+            for c in narrow:
                 tally: dict[str, int] = {}
                 for r in rows:
                     if r["col"] == c and (m is None or r["fold"] != m):
@@ -185,6 +205,20 @@ class Preprocessor:
                 if tally:
                     fill = min(tally, key=lambda v: (-tally[v], v))
                     stats[m][c] = ColumnStats("cat", fill, categories=sorted(tally))
+        for c in cols:
+            if c in narrow:
+                continue
+            mine = counts.where(F.col("col") == c)
+            for m in stats:
+                known = mine if m is None else mine.where(F.col("fold") != m)
+                tally = known.groupBy("value").agg(F.sum("count").alias("n"))
+                # The most frequent value, the smallest on a tie, as an aggregate.
+                most = tally.agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("most")).first()["most"]
+                if most is None:
+                    continue
+                fill = most["value"]
+                path, size = save_dictionary(known.select("value").distinct())
+                stats[m][c] = ColumnStats("wide", fill, dictionary=path, size=size)
 
 
 def transform_by_fold(df: DataFrame, models: Mapping[int, PreprocessorModel], fold: str) -> DataFrame:

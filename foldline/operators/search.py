@@ -376,7 +376,7 @@ def cv_search(
         return scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
 
     with ThreadPoolExecutor(parallelism) as pool:
-        if is_exact(learner, grid):
+        if is_exact(learner, grid) and not any(m.wide for m in models.values()):
             errors = [e for of_trial in zip(*pool.map(linear, range(k))) for e in of_trial]
         else:
             errors = list(pool.map(judge, [(at, i) for at in range(len(grid)) for i in range(k)]))
@@ -384,7 +384,7 @@ def cv_search(
     best = max(range(len(grid)), key=lambda at: scores[at])
     pre = Preprocessor(roles, **prep).fit(rows)
     fitted = fit_learner(learner, grid[best], pre.transform(rows), pre.columns, label)
-    return PipelineModel([pre.stages()[0], *fitted.stages]), scores, best
+    return PipelineModel([*pre.stages()[:-1], *fitted.stages]), scores, best
 
 
 def propose_tpe(

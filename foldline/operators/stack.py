@@ -106,7 +106,7 @@ def fit_preprocessed_stack(
     """Preprocessor outside, stack inside: inner folds share the statistics of all given rows."""
     pre = Preprocessor(roles, **prep).fit(df)
     fitted = stack.fit(pre.transform(df), pre.columns, key, label)
-    return StackModel(PipelineModel([pre.stages()[0], *fitted.pipeline.stages]))
+    return StackModel(PipelineModel([*pre.stages()[:-1], *fitted.pipeline.stages]))
 
 
 def cross_validate(

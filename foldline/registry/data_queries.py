@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from foldline import fixtures as fx
@@ -334,6 +335,26 @@ def q_one_hot(spark, sf):
     return out.select("row_key", *flags.columns, *columns, known)
 
 
+@query(
+    "wide_one_hot",
+    f"""with {SPLIT_ROWS},
+    kinds as (select row_key, dataset, brand_gap || '|' || size::bigint as kind from split_rows),
+    known as (select distinct kind from kinds where dataset = 'train' and kind is not null),
+    places as (select kind, row_number() over (order by md5(kind), kind) - 1 as place from known),
+    top as (select kind as fill from kinds where dataset = 'train' and kind is not null group by 1 order by count(*) desc, 1 limit 1)
+    select row_key, place, (select count(*) from known) as width
+    from (select row_key, coalesce(kind, fill) as kind from kinds, top) left join places using (kind)""",
+)
+def q_wide_one_hot(spark, sf):
+    """A column of many values as one sparse vector: where it is 1; nowhere for values the fit has not seen."""
+    kind = F.concat_ws("|", "brand_gap", F.col("size").cast("bigint").cast("string"))
+    rows = prepared(spark, sf, "brand_gap", "size").withColumn("kind", F.when(F.col("brand_gap").isNotNull(), kind))
+    model = Preprocessor({"kind": "cat"}, dense_categories=20).fit(rows.where(F.col("dataset") == "train"))
+    hot = F.array_position(vector_to_array(model.wide["kind"]), 1.0)
+    width = F.lit(model.stats["kind"].size).cast("long").alias("width")
+    return model.transform(rows).select("row_key", F.when(hot > 0, hot - 1).alias("place"), width)
+
+
 @query(
     "fold_safe_scaling",
     f"""with {SPLIT_ROWS},

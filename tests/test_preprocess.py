@@ -1,8 +1,12 @@
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor, most_frequent, transform_by_fold
 from foldline.operators.roles import categorical_columns, column_roles, features_by_target, numeric_columns, usable_targets
 
@@ -59,10 +63,37 @@ def test_mode_takes_the_smallest_on_ties(spark):
     assert Preprocessor({"s": "cat"}).fit(df).stats["s"].fill == "a"
 
 
-def test_too_many_categories_is_an_error(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("s"))
-    with pytest.raises(ValueError):
-        Preprocessor({"s": "cat"}, max_categories=10).fit(df)
+def test_ten_thousand_categories_fit_and_score(spark, tmp_path):
+    """Values a_i with a mean of their own: a linear model on the sparse column finds them, saved and loaded too."""
+    df = spark.range(30_000).select(
+        F.concat(F.lit("a_"), (F.col("id") % 10_000).cast("string")).alias("s"), (F.col("id") % 7).cast("double").alias("x"),
+        ((F.col("id") % 10_000) % 50 + F.col("id") % 7).cast("double").alias("y"),
+    )
+    pre = Preprocessor({"s": "cat", "x": "num"}).fit(df)
+    assert pre.columns == ["x__num", "s__onehot"] and pre.stats["s"].size == 10_000
+    fitted = fit_learner("Ridge", {"alpha": 0.01}, pre.transform(df), pre.columns)
+    PipelineModel([*pre.stages()[:-1], *fitted.stages]).write().overwrite().save(str(tmp_path / "m"))
+    got = PipelineModel.load(str(tmp_path / "m")).transform(df.limit(2000)).toPandas()
+    assert np.abs(got["prediction"] - got["y"]).max() < 0.5
+
+
+def test_wide_columns_are_the_dense_ones_in_one_vector(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"s": rng.choice(["a", "b", "it's", "d", "e", None], 300), "t": rng.choice(["u", "v"], 300), "fold": np.arange(300) % 3})
+    df = spark.createDataFrame(pdf)
+    new = spark.createDataFrame([("z", "u", 0), (None, "v", 1), ("it's", None, 2), ("", "", 0)], df.schema)
+    roles = {"s": "cat", "t": "cat"}
+    for fit in (lambda p: p.fit(df), lambda p: p.fit_by_fold(df, "fold", 3)[1]):
+        dense, wide = fit(Preprocessor(roles)), fit(Preprocessor(roles, dense_categories=2))
+        assert wide.columns == ["t__is0", "t__is1", "s__onehot"] and wide.stats["s"].fill == dense.stats["s"].fill
+        order = sorted(dense.stats["s"].categories, key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v))
+        for table in (df, new):
+            a, b = dense.transform(table).collect(), wide.transform(table).collect()
+            key = lambda r: tuple(map(repr, (r.s, r.t, r.fold)))
+            for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+                assert [y.s__onehot[i] for i in range(5)] == [x[f"s__is{dense.stats['s'].categories.index(v)}"] for v in order]
+    none = Preprocessor({"s": "cat"}, dense_categories=0).fit(df.where("false"))
+    assert none.columns == []
 
 
 def test_branch_order_and_values(small):
