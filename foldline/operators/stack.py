@@ -9,9 +9,9 @@ from functools import reduce
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from foldline.functions.metrics import fold_means, regression_metrics
+from foldline.functions.metrics import METRICS, fold_means, metric_columns
 from foldline.operators.learners import fit_learner
 from foldline.operators.preprocess import Preprocessor
 from foldline.operators.splits import with_folds
@@ -110,13 +110,23 @@ def fit_preprocessed_stack(
 
 
 def cross_validate(
-    fit: Callable[[DataFrame], Any], df: DataFrame, fold: str = "fold", k: int = 5, label: str = "y"
-) -> tuple[DataFrame, DataFrame]:
-    """A fresh ``fit`` per outer fold: scores per fold, and the mean over folds."""
-    parts = []
-    for i in range(k):
-        model = fit(df.where(F.col(fold) != i))
-        scored = model.transform(df.where(F.col(fold) == i))
-        parts.append(scored.select(fold, F.col(label).alias("y"), F.col("prediction").alias("p")))
-    per_fold = regression_metrics(reduce(DataFrame.unionByName, parts), [fold])
-    return per_fold, fold_means(per_fold)
+    fit: Callable[[DataFrame], Any], df: DataFrame, fold: str = "fold", k: int = 5, label: str = "y", threads: int = 1
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A fresh ``fit`` per outer fold: (scores per fold, mean over folds, out-of-fold predictions).
+
+    The predictions are written once, and the metrics are observed in that very
+    pass: no second scan, no shuffle. Folds without rows have no score.
+    """
+    spark = df.sparkSession
+
+    def part(i: int) -> tuple[DataFrame, dict[str, Any]]:
+        scored = fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i))
+        seen = Observation(f"fold {i}")
+        rows = scored.select(fold, F.col(label).alias("y"), F.col("prediction").alias("p"))
+        staged = stage_table(rows.observe(seen, F.count("*").alias("n"), *metric_columns()), "oof")
+        return staged, seen.get
+
+    parts = _parallel([lambda i=i: part(i) for i in range(k)], threads)
+    rows = [(i, *(m[c] for c in METRICS)) for i, (_, m) in enumerate(parts) if m["n"]]
+    per_fold = spark.createDataFrame(rows, f"{fold} int, {', '.join(f'{c} double' for c in METRICS)}")
+    return per_fold, fold_means(per_fold), reduce(DataFrame.unionByName, [p for p, _ in parts])

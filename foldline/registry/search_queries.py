@@ -16,11 +16,12 @@ from foldline.operators.linear_stack import LinearFolds, LinearStack, tune_stack
 from foldline.operators.preprocess import Preprocessor
 from foldline.operators.search import Study, random_proposals, run_folds, tune
 from foldline.operators.space import Preset, real
+from foldline.operators.stack import cross_validate
 from foldline.plans.fixed import fit_with_params
 from foldline.plans.training import SearchSettings, run_study
 from foldline.registry.base import SPLIT_ROWS, hash_sql, query, rnd
 from foldline.registry.data_queries import ROUNDED, SCORES, _rounded_scores, prepared
-from foldline.registry.model_queries import LINEAR, SUMS, ridge_sql
+from foldline.registry.model_queries import LINEAR, SUMS, X as X_TWO, linear_train, ridge_sql
 from foldline.session import shared_dir, stage_table
 from foldline.sources.bundle import Bundle, GroupModels, TargetMeta, load_bundle, save_bundle, score_batch
 from foldline.sources.trial_store import TrialStore
@@ -271,10 +272,29 @@ def q_resumed_study(spark, sf):
     return _trials(store.trials(name), store.steps(name))
 
 
+@query(
+    "cv_three_metrics",
+    f"""with {LINEAR}, train as (select * from lin where dataset = 'train'),
+    g as (select f as fold, 3.0::double as alpha, {SUMS} from train, (select unnest(range({K})) as f) where fold <> f group by 1),
+    {ridge_sql('w', 'g', 'fold')},
+    s as (select fold, count(*) as n, {SCORES} from (select fold, y, b0 + b1 * x1 + b2 * x2 as p from train join w using (fold)) group by 1),
+    m as (select fold::varchar as fold, n, "MAE", "RMSE", "R2" from s union all select 'mean', sum(n), avg("MAE"), avg("RMSE"), avg("R2") from s)
+    select fold, n::bigint as n, {ROUNDED} from m""",
+)
+def q_cv_three_metrics(spark, sf):
+    """Three metrics of every fold and their means, observed while the out-of-fold predictions are written."""
+    rows = stage_table(linear_train(spark, sf).select("fold", "y", *X_TWO), "cv")
+    per_fold, mean, oof = cross_validate(lambda part: fit_learner("Ridge", {"alpha": 3.0}, part, X_TWO), rows, "fold", K)
+    counts = oof.groupBy("fold").agg(F.count("*").alias("n"))
+    folds = per_fold.join(counts, "fold").select(F.col("fold").cast("string").alias("fold"), "n", *METRICS)
+    whole = mean.select(F.lit("mean").alias("fold"), F.lit(oof.count()).alias("n"), *METRICS)
+    return folds.unionByName(whole).select("fold", "n", *_rounded_scores())
+
+
 # All groups at once
 
 GROUPS = ["brand", "ptype", "flag", "status", "band"]
-X = ["price__num", "disc__exp"]
+X = X_TWO
 CANDIDATES = [(0.01, 0.02, 1e6), (0.01, 0.5, 1e8), (0.3, 0.02, 1e7), (1.0, 1.0, 1e9)]
 SMALL = 2
 CANDIDATE_ROWS = ", ".join(f"({t}, {a!r}::double, {b!r}::double, {m!r}::double)" for t, (a, b, m) in enumerate(CANDIDATES))

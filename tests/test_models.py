@@ -209,7 +209,10 @@ def test_stack(data, passthrough):
 
 def test_cross_validate(data):
     pdf, df = data
-    per_fold, mean = cross_validate(lambda rows: fit_learner("Ridge", {"alpha": 1.0}, rows, X), df)
+    per_fold, mean, oof = cross_validate(lambda rows: fit_learner("Ridge", {"alpha": 1.0}, rows, X), df, k=6, threads=3)
+    assert oof.count() == 200 and per_fold.count() == 5  # the sixth fold has no rows
+    again = {r.fold: r for r in regression_metrics(oof, ["fold"]).collect()}
+    assert all(np.isclose(r[m], again[r.fold][m]) for r in per_fold.collect() for m in ("MAE", "RMSE", "R2"))
     want = []
     for k in range(5):
         b0, w = ridge(pdf[pdf["fold"] != k], 1.0)
