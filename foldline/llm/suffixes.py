@@ -111,15 +111,11 @@ def _ranges(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(starts[a]), int(starts[b])
 
 
-def later_windows(passages: list[tuple[int | None, int, int, bytes]], window: int) -> list[tuple]:
-    """(doc_id, digest, lo, hi): windows of the passages (doc_id, digest, start, bytes) that start earlier in another place.
+Passage = tuple[int | None, int, int, bytes]  # doc_id, digest, start, bytes
 
-    Windows that occur once are cut off first, by hash; runs that are equal as
-    a whole stand for their earliest. The rest is one sequence, separated by
-    values of their own, whose suffix array brings equal windows together. A
-    passage that is given more than once, as by repeated rows, counts once.
-    """
-    passages = list({p[:3]: p for p in passages}.values())
+
+def _recurring_runs(passages: list[Passage], window: int) -> tuple[list[Passage], list[tuple]]:
+    """(the passages' runs of windows that occur more than once, each content at its earliest place; its other places as ranges)."""
     flat = np.frombuffer(b"".join(p[3] for p in passages), np.uint8)
     sizes = np.array([len(p[3]) for p in passages])
     begin = np.cumsum(sizes) - sizes
@@ -132,27 +128,49 @@ def later_windows(passages: list[tuple[int | None, int, int, bytes]], window: in
     repeats[1:-1][inside] = count[index] > 1
     edge = np.flatnonzero(np.diff(repeats.astype(np.int8)))
     text = flat.tobytes()
-    out: list[tuple] = []
+    later: list[tuple] = []
     best: dict[bytes, tuple] = {}
     for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):  # windows s..e-1
         k = int(np.searchsorted(begin, s, "right")) - 1
         doc, digest, start, _ = passages[k]
-        place = (_order(doc, digest, start + s - int(begin[k])), doc, digest, e - s)
+        place = (_order(doc, digest, start + s - int(begin[k])), doc, digest)
         content = text[s : e - 1 + window]
         first = best.setdefault(content, place)
         if first is not place:
             if place[0] < first[0]:
                 best[content], place = place, first
             at = place[0][3]
-            out.append((place[1], place[2], at, at + place[3] - 1))
-    if not best:
+            later.append((place[1], place[2], at, at + e - s - 1))
+    return [(doc, digest, order[3], content) for content, (order, doc, digest) in best.items()], later
+
+
+def later_windows(passages: list[Passage], window: int) -> list[tuple]:
+    """(doc_id, digest, lo, hi): windows of the passages that start earlier in another place.
+
+    Windows that occur once are cut off first, by hash, and runs that are equal
+    as a whole stand for their earliest, until nothing more goes: most
+    passages share one run, which is then alone. The rest is one sequence,
+    separated by values of their own, whose suffix array brings equal windows
+    together. A passage that is given more than once, as by repeated rows,
+    counts once.
+    """
+    passages = list({p[:3]: p for p in passages}.values())
+    out: list[tuple] = []
+    while passages:
+        left, later = _recurring_runs(passages, window)
+        out += later
+        done = sum(len(p[3]) - window + 1 for p in left) == sum(len(p[3]) - window + 1 for p in passages)
+        passages = left
+        if done:
+            break
+    if not passages:
         return out
-    runs = sorted(best.items(), key=lambda r: r[1][0])
+    runs = sorted(((_order(*p[:3]), p[0], p[1], p[3]) for p in passages), key=lambda r: r[0])
     sequence: list[int] = []
-    for k, (content, _) in enumerate(runs):
+    for k, (*_, content) in enumerate(runs):
         sequence += [c + len(runs) for c in content]
         sequence.append(len(runs) - 1 - k)
-    lengths = np.array([len(c) + 1 for c, _ in runs])
+    lengths = np.array([len(r[3]) + 1 for r in runs])
     heads = np.cumsum(lengths) - lengths
     order = np.array(suffix_array(sequence))
     owner = np.repeat(np.arange(len(runs)), lengths)
@@ -171,7 +189,7 @@ def later_windows(passages: list[tuple[int | None, int, int, bytes]], window: in
     gone = np.sort(order[by][~first])
     for k in np.unique(owner[gone]).tolist():
         mine = gone[owner[gone] == k] - heads[k]
-        (_, _, _, start), doc, digest, _ = runs[k][1]
+        (_, _, _, start), doc, digest, _ = runs[k]
         out += [(doc, digest, start + lo, start + hi) for lo, hi in _ranges(mine)]
     return out
 
