@@ -15,7 +15,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from foldline.functions.hashing import HASH_RANGE, as_list, hash32
 from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.scans import bucket_offsets, null_safe_join
-from foldline.session import sized
+from foldline.session import sized, stage_table
+
+
+LIMIT = 10_000  # rows of a bucket that are ranked in one task, on average
+MOST_BITS = 16  # of one histogram
+
+
+def _bits(count: Column, limit: int) -> Column:
+    """Bits of the hash that cut so many rows into buckets of about ``limit``."""
+    return F.least(F.greatest(F.ceil(F.log2(count / limit)), F.lit(0)), F.lit(MOST_BITS)).cast("int")
 
 
 def _label_by_rank(
@@ -25,25 +34,49 @@ def _label_by_rank(
     by: Sequence[str],
     label: Callable[[Column, Column], Column],
     name: str,
-    bits: int = 16,
+    limit: int = LIMIT,
 ) -> DataFrame:
-    """Label rows by their hash rank; ``label(rank, total)`` must be monotone in rank."""
-    cols = df.columns
-    tagged = df.withColumn("__h", hash32(key, seed)).withColumn("__bucket", F.shiftright("__h", 32 - bits))
-    counts = bucket_offsets(tagged, by, "__bucket").select(
-        *by,
-        "__bucket",
-        "__start",
-        "__total",
-        label(F.col("__start") + 1, F.col("__total")).alias("__first"),
-        label(F.col("__start") + F.col("__cnt"), F.col("__total")).alias("__last"),
-    )
-    joined = null_safe_join(tagged, sized(counts), [*by, "__bucket"])
-    settled = joined.where(F.col("__first") == F.col("__last")).select(*cols, F.col("__first").alias(name))
-    w = W.partitionBy(*by, "__bucket").orderBy("__h", *as_list(key))
+    """Label rows by their hash rank; ``label(rank, total)`` must be monotone in rank.
+
+    A radix in two levels: every group is cut by as many bits of the hash as
+    its own count asks for, and bucket counts settle all buckets that no
+    boundary falls into. Buckets with a boundary that are still large are cut
+    by the next bits. Only rows of the last few buckets are sorted. The input
+    is written once; a small group is one bucket, so counts stay far fewer
+    than rows however many groups there are.
+    """
+    cols, by = df.columns, list(by)
+    tagged = stage_table(df.withColumn("__h", hash32(key, seed)), "ranked")
+    if by:
+        sizes = tagged.groupBy(*by).agg(F.count("*").alias("__n"))
+        tagged = null_safe_join(tagged, sized(sizes.select(*by, _bits(F.col("__n"), limit).alias("__bits"))), by)
+    else:
+        tagged = tagged.withColumn("__bits", _bits(F.lit(max(1, tagged.count())), limit))
+    tagged = tagged.withColumn("__bucket", F.expr("shiftright(__h, 32 - __bits)"))
+
+    def cut(rows: DataFrame, keys: list[str], bucket: str, start: Column, total: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows of settled buckets, labelled; rows of the others with their bucket's start; their counts)."""
+        offsets = bucket_offsets(rows, keys, bucket)
+        if total is not None:  # inside a bucket: its own start comes first
+            outer = rows.select(*keys, start.alias("__s"), total.alias("__t")).distinct()
+            offsets = null_safe_join(offsets.drop("__total"), outer, keys).withColumn("__start", F.col("__start") + F.col("__s")).withColumnRenamed("__t", "__total").drop("__s")
+        first, last = label(F.col("__start") + 1, F.col("__total")), label(F.col("__start") + F.col("__cnt"), F.col("__total"))
+        counts = sized(offsets.select(*keys, bucket, "__start", "__total", "__cnt", first.alias("__first"), last.alias("__last")))
+        joined = null_safe_join(rows.drop("__start", "__total"), counts, [*keys, bucket])
+        settled = joined.where(F.col("__first") == F.col("__last")).select(*cols, F.col("__first").alias(name))
+        edge = joined.where(F.col("__first") != F.col("__last")).drop("__first", "__last")
+        return settled, edge, counts.where(F.col("__first") != F.col("__last"))
+
+    settled, edge, counts = cut(tagged, by, "__bucket", F.lit(0), None)
+    last = ["__bucket"]
+    if not counts.where(F.col("__cnt") > 4 * limit).isEmpty():
+        deeper = edge.withColumn("__more", _bits(F.col("__cnt"), limit)).drop("__cnt")
+        deeper = deeper.withColumn("__inner", F.expr("shiftright(__h & (shiftleft(1L, 32 - __bits) - 1), greatest(32 - __bits - __more, 0))"))
+        more, edge, _ = cut(deeper, [*by, "__bucket"], "__inner", F.col("__start"), F.col("__total"))
+        settled, last = settled.unionByName(more), ["__bucket", "__inner"]
+    w = W.partitionBy(*by, *last).orderBy("__h", *as_list(key))
     rank = F.row_number().over(w) + F.col("__start")
-    on_edge = joined.where(F.col("__first") != F.col("__last")).select(*cols, label(rank, F.col("__total")).alias(name))
-    return settled.unionByName(on_edge)
+    return settled.unionByName(edge.select(*cols, label(rank, F.col("__total")).alias(name)))
 
 
 def with_split(

@@ -18,7 +18,7 @@ from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.roles import column_roles, features_by_target, usable_targets
 from foldline.operators.splits import stratified_split, with_folds, with_split
 from foldline.session import shared_dir, stage_table
-from foldline.sources.tables import read_table, write_scores
+from foldline.sources.tables import read_checked_csv, read_table, write_scores
 from foldline.registry.base import FEATURE_ROWS, SPLIT_ROWS, hash_sql, query, rnd
 
 
@@ -477,6 +477,28 @@ def q_csv_round_trip(spark, sf):
     )
 
 
+@query(
+    "csv_corrupt_rows",
+    f"""with rows as (
+      select l_linenumber, l_extendedprice as price, l_suppkey % 10 as kind from lineitem),
+    good as (select l_linenumber, count(*) as n_good, sum(price) as s from rows where kind not in (3, 7, 9) group by 1)
+    select l_linenumber as line, n_good, {rnd('s', 2)} as price, (select count(*) from rows) as n_rows,
+           (select count(*) from rows where kind in (3, 7, 9)) as n_corrupt, (select count(*) from rows where kind = 7) as n_long
+    from good""",
+)
+def q_csv_corrupt_rows(spark, sf):
+    """Line items as CSV, some with text for a number, a field too many or too few; read back with the bad rows apart."""
+    kind = F.col("l_suppkey") % 10
+    fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_extendedprice")]
+    line = F.when(kind == 3, F.concat_ws(",", *fields[:2], F.lit("n/a"))).when(kind == 7, F.concat_ws(",", *fields, F.lit("more"))).when(kind == 9, fields[0])
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    fx.table(spark, sf, "lineitem").select(F.coalesce(line, F.concat_ws(",", *fields)).alias("value")).write.text(path)
+    good, bad, counts = read_checked_csv(spark, path, "order long, line int, price double", header=False)
+    n_long = bad.where(F.endswith("record", F.lit("more"))).count()
+    by_line = good.groupBy("line").agg(F.count("*").alias("n_good"), r(F.sum("price"), 2).alias("price"))
+    return by_line.select("line", "n_good", "price", *[F.lit(v).alias(k) for k, v in (*counts.items(), ("n_long", n_long))])
+
+
 @query(
     "remainder_columns",
     f"""with {SPLIT_ROWS},

@@ -13,7 +13,7 @@ from foldline.plans.training import SearchSettings, train
 from foldline.session import shared_dir, stage_table
 from foldline.sources.bundle import Bundle, TargetMeta, load_bundle, save_bundle, score_batch
 from foldline.sources.params import load_params, save_params
-from foldline.sources.tables import read_table, write_scores
+from foldline.sources.tables import read_checked_csv, read_table, write_scores
 from foldline.sources.trial_store import TrialStore
 from foldline.streaming.scoring import score_stream, write_available
 
@@ -112,6 +112,17 @@ def test_train_by_group_and_resume(spark, rows, tmp_path):
     assert set(state.values()) == {"searched"}
 
 
+def test_corrupt_csv_rows_are_kept_apart(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c\n1,2.5,x\n2,oops,y\n3,NaN,z\n4,1.5\n5,1.0,q,more\n\n6,,w\n")
+    good, bad, counts = read_checked_csv(spark, str(tmp_path / "t.csv"), "a int, b double, c string")
+    assert sorted((r.a, r.b, r.c) for r in good.collect()) == [(1, 2.5, "x"), (3, None, "z"), (6, None, "w")]
+    assert sorted(r.record for r in bad.collect()) == ["2,oops,y", "4,1.5", "5,1.0,q,more"] and counts == {"n_rows": 6, "n_corrupt": 3}
+    inferred, none, counts = read_checked_csv(spark, str(tmp_path / "t.csv"), sample=1.0)
+    assert dict(inferred.dtypes) == {"a": "int", "b": "string", "c": "string"} and counts["n_corrupt"] == none.count() == 2
+    with pytest.raises(ValueError):
+        read_checked_csv(spark, str(tmp_path / "t.csv"), "a int, _corrupt_record string")
+
+
 LINEAR = Preset(9, [("a", "Ridge"), ("b", "Ridge")], ("m", "Ridge"), False, [real("m_alpha", 0.01, 10.0, True)])
 
 

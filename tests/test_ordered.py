@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldline.functions.hashing import hash32
-from foldline.operators import quantiles
+from foldline.operators import quantiles, splits
 from foldline.operators.quantiles import exact_quantiles
 from foldline.operators.scans import row_numbers, running_min, streak_ends
 from foldline.operators.splits import with_folds, with_quantile_bins, with_split
@@ -109,3 +109,21 @@ def test_quantile_bins_match_pandas(hot):
     pdf, df = hot
     got = with_quantile_bins(df, "v", 4).orderBy("id").toPandas()["bin"]
     assert got.tolist() == pd.qcut(pdf["v"], 4, labels=False).tolist()
+
+
+@pytest.mark.parametrize("bits", [2, 16])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_two_level_radix_ranks_few_rows(hot, monkeypatch, by, bits):
+    """With two bits a level the boundaries fall into large buckets, which the second level cuts again."""
+    pdf, df = hot
+    monkeypatch.setattr(splits, "MOST_BITS", bits)
+    third = lambda rank, n: F.floor((rank - 1) * 3 / n).cast("int")
+    got = splits._label_by_rank(df, "id", 9, by, third, "part", limit=20)
+    assert got.columns == [*df.columns, "part"]
+    h = df.select("id", hash32("id", 9).alias("h")).toPandas()
+    whole = pdf.merge(h, on="id").sort_values(["h", "id"])
+    groups = whole.groupby(whole["g"].fillna("-").to_numpy() if by else np.zeros(len(whole)))
+    rank, size = groups.cumcount(), groups["id"].transform("size")
+    want = dict(zip(whole["id"], np.floor(rank * 3 / size).astype(int)))
+    assert {r["id"]: r["part"] for r in got.collect()} == want
+    assert splits._label_by_rank(df.where("false"), "id", 9, by, third, "part").count() == 0
