@@ -9,8 +9,8 @@ The median over "all earlier trials" differs for every trial. Instead of
 building it, each trial counts the earlier values below its own. The trials
 before t are the union of at most log2(t) aligned blocks (one per set bit of
 t), so every value is listed once per block it belongs to, and every trial asks
-its blocks. That is n log n rows, no pairs; inside a block, rows are cut again
-by value ranges, with one small carry row per range.
+its blocks. That is n log n rows, no pairs; inside a block of a large group, rows
+are cut again by value ranges, with one small carry row per range.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldline.operators.scans import null_safe_join
 from foldline.operators.studies import COMPLETE
-from foldline.session import sized
+from foldline.session import sized, stage_table
 
 GROUP = ["study", "step"]
 BLOCK = [*GROUP, "level", "block"]
@@ -31,36 +31,67 @@ def _with_best(reported: DataFrame) -> DataFrame:
     return reported.withColumn("best", F.min("step_value").over(w))
 
 
-def earlier_value_ranks(values: DataFrame, asks: DataFrame, range_values: int = 2_000, most_ranges: int = 1_024) -> DataFrame:
+def earlier_value_ranks(values: DataFrame, asks: DataFrame, range_values: int = 2_000, fan_out: int = 255) -> DataFrame:
     """For each ask (study, step, trial, x): among values (study, step, trial, x) of
     smaller trial numbers, ``m`` in all, ``below`` under x, the largest under x
-    (``lo``) and the smallest not under x (``hi``). Every group is cut into value
-    ranges, as many as its own count asks for at ``range_values`` each (at most
-    ``most_ranges``), and listed at no more levels than its own trial numbers have bits."""
-    probs = [i / most_ranges for i in range(1, most_ranges)]
-    both = values.withColumn("own", F.col("x")).unionByName(asks.withColumn("own", F.lit(None).cast("double")))
-    found = both.groupBy(*GROUP).agg(
-        F.greatest(F.lit(1), F.length(F.bin(F.max("trial")))).alias("levels"),
-        F.count("own").alias("n"),
-        F.percentile_approx("own", probs, 10_000).alias("fine"),
-    )
-    # Every so many of the fine edges.
-    stride = F.greatest(F.lit(1), F.floor(F.lit(most_ranges) / F.greatest(F.lit(1), F.ceil(F.col("n") / range_values)))).cast("int")
-    edges = F.coalesce(F.expr("filter(fine, (e, i) -> (i + 1) % stride = 0)"), F.expr("cast(array() as array<double>)"))
-    groups = sized(found.withColumn("stride", stride).select(*GROUP, "levels", edges.alias("edges")))
+    (``lo``) and the smallest not under x (``hi``).
+
+    Groups of up to ``range_values`` values are one value range. Larger ones
+    are cut into up to ``fan_out`` ranges, and these again until they are
+    small, as their own counts ask; ranges of one repeated value stay whole.
+    Only groups with several ranges carry anything from one to the next. A
+    group is listed at no more levels than its own trial numbers have bits.
+    """
+    both = values.withColumn("is_value", F.lit(1)).unionByName(asks.withColumn("is_value", F.lit(0)))
+    bits = F.greatest(F.lit(1), F.length(F.bin(F.max("trial")))).alias("levels")
+    groups = sized(both.groupBy(*GROUP).agg(bits, F.sum("is_value").alias("n")))
+    rows = both.join(groups.select(*GROUP, "levels", (F.col("n") > range_values).alias("large")), GROUP)
+    if groups.where(F.col("n") > range_values).isEmpty():
+        return _answers(_inside(rows.withColumn("range", F.lit(""))))
+    cut = _ranged(stage_table(rows.where("large"), "large"), range_values, fan_out)
+    listed = _listed(cut)
+    whole = _answers(_inside(rows.where("not large").withColumn("range", F.lit(""))))
+    parts = _with_carry(_inside(cut, listed).drop("in_block"), listed.withColumn("own", F.when(F.col("is_value") == 1, F.col("x"))))
+    return whole.unionByName(_answers(parts))
+
+
+def _ranged(rows: DataFrame, range_values: int, fan_out: int) -> DataFrame:
+    """``range`` for every row, in order of x: one letter code for each time its range was cut."""
+    rows = rows.withColumn("range", F.lit(""))
+    probs = [i / fan_out for i in range(1, fan_out)]
+    own = F.when(F.col("is_value") == 1, F.col("x"))
+    while True:
+        counts = rows.groupBy(*GROUP, "range").agg(F.sum("is_value").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"))
+        over = sized(counts.where((F.col("n") > 2 * range_values) & (F.col("low") < F.col("high"))).select(*GROUP, "range", "n", "high"))
+        if over.isEmpty():
+            return rows
+        known = rows.join(over, [*GROUP, "range"])
+        found = known.groupBy(*GROUP, "range", "n", "high").agg(F.percentile_approx(own, probs, 10_000).alias("fine"), F.max(F.when(own < F.col("high"), own)).alias("second"))
+        stride = F.greatest(F.lit(1), F.floor(F.lit(fan_out) / F.ceil(F.col("n") / range_values))).cast("int")
+        # The second largest value is always an edge, so that a range loses its most repeated ends even where all other edges are one value.
+        cut = F.expr("array_distinct(concat(filter(fine, (e, i) -> (i + 1) % stride = 0 and e < high), array(second)))")
+        edges = found.withColumn("stride", stride).select(*GROUP, "range", cut.alias("edges"))
+        # Two hexadecimal digits a cut keep the order of the ranges as texts; an edge's own value is the last of its range.
+        sub = F.lpad(F.hex(F.expr("coalesce(size(filter(edges, e -> e < x)), 0)")), 2, "0")
+        placed = rows.join(sized(edges), [*GROUP, "range"], "left").withColumn("sub", F.when(F.col("edges").isNotNull(), sub).otherwise("00"))
+        rows = stage_table(placed.withColumn("range", F.concat("range", "sub")).drop("edges", "sub"), "ranged")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Values at the blocks they belong to, asks at the blocks before their trial."""
+    leveled = rows.withColumn("level", F.explode(F.expr("sequence(0, levels - 1)"))).drop("levels", "large")
+    odd = F.expr("shiftright(trial, level) % 2 = 1")
+    block = F.expr("shiftright(trial, level) - (1 - is_value)")
+    return leveled.where(odd == (F.col("is_value") == 0)).withColumn("block", block)
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(groups, GROUP).withColumn("range", F.expr("size(filter(edges, e -> e < x))")).drop("edges")
 
-    level = F.explode(F.expr("sequence(0, levels - 1)"))
-    odd = F.expr("shiftright(trial, level) % 2 = 1")
-    listed = placed(values).withColumn("level", level).drop("levels").where(~odd).withColumn("block", F.expr("shiftright(trial, level)"))
-    asked = placed(asks).withColumn("level", level).drop("levels").where(odd).withColumn("block", F.expr("shiftright(trial, level) - 1"))
-    rows = listed.withColumn("is_value", F.lit(1)).unionByName(asked.withColumn("is_value", F.lit(0)))
+def _inside(ranged: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Each ask's answer inside its own range of every block."""
+    rows = _listed(ranged) if listed is None else listed
     own = F.when(F.col("is_value") == 1, F.col("x"))
     up = W.partitionBy(*CELL).orderBy("x", "is_value").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*CELL).orderBy(F.desc("x"), F.desc("is_value")).rowsBetween(W.unboundedPreceding, 0)
-    inside = rows.select(
+    return rows.select(
         *CELL,
         "trial",
         "is_value",
@@ -69,7 +100,9 @@ def earlier_value_ranks(values: DataFrame, asks: DataFrame, range_values: int =
         F.min(own).over(down).alias("hi"),
         F.sum("is_value").over(W.partitionBy(*CELL)).alias("in_block"),
     ).where(F.col("is_value") == 0)
-    inside = _with_carry(inside.drop("in_block"), rows.withColumn("own", own))
+
+
+def _answers(inside: DataFrame) -> DataFrame:
     return inside.groupBy("study", "trial", "step").agg(
         F.sum("in_block").alias("m"), F.sum("below").alias("below"), F.max("lo").alias("lo"), F.min("hi").alias("hi")
     )
