@@ -9,9 +9,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, functions as F
 
 from foldline.operators.groups import MIN_GROUP_ROWS, group_sizes
+from foldline.operators.linear_stack import is_linear, stack_of, tune_stacks_by_group
+from foldline.operators.preprocess import Preprocessor
 from foldline.operators.roles import as_target, column_roles, dtypes_of, features_by_target
 from foldline.operators.search import Study, tune
-from foldline.operators.space import Param, Preset
+from foldline.operators.space import Param, Preset, sample_params
 from foldline.operators.splits import with_folds, with_split
 from foldline.operators.studies import COMPLETE, PRUNED, inspect_studies, resume_decision
 from foldline.plans.fixed import fit_with_params
@@ -36,6 +38,7 @@ class SearchSettings:
     batch: int = 1
     min_group_rows: int = MIN_GROUP_ROWS
     group_threads: int = 4
+    group_job: bool = True  # linear stacks of all groups in one job; else a study for each group, with pruning
     dedup: bool = False
 
 
@@ -45,6 +48,7 @@ class Training:
     params: dict[str, dict[str, float]]
     report: DataFrame
     groups: dict[str, list[GroupStudy]] = field(default_factory=dict)
+    group_tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def run_study(
@@ -132,6 +136,32 @@ def best_params_by_group(
     return best, [g if g.state == "searched" else replace(g, params=best) for g in found]
 
 
+def linear_group_params(
+    rows: DataFrame, target: str, roles, preset: Preset, key: str, keys: Sequence[str], store: TrialStore, s: SearchSettings
+) -> tuple[dict[str, float], DataFrame] | None:
+    """The same for presets of linear members, all groups in one job: (best parameters, every group's best stack).
+
+    Every group tries the same draws, scaled by the statistics of all given
+    rows, without pruning: all folds of all draws are one scan. Each group's
+    best goes into the store as one trial of its own study. None if no group
+    is large enough.
+    """
+    space = preset.space if s.space is None else s.space
+    draws = [sample_params(space, i, s.seed, target) for i in range(s.n_trials)]
+    pre = Preprocessor(roles).fit(rows)
+    x = pre.columns
+    found = tune_stacks_by_group(
+        pre.transform(rows), x, "y", key, keys, [stack_of(preset, d, len(x)) for d in draws], min(s.n_trials, 10), s.folds, s.inner, s.seed + 1, s.min_group_rows
+    )
+    table = stage_table(found, "best_by_group")
+    name = F.concat_ws("_", F.lit(target), F.lit("group"), *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+    tried = F.array(*[F.create_map(*[F.lit(v) for kv in d.items() for v in (kv[0], float(kv[1]))]) for d in draws])
+    trials = table.select(name.alias("study"), F.col("trial").cast("long"), F.lit(COMPLETE).alias("state"), F.col("mae").alias("value"), F.get(tried, F.col("trial")).alias("params"))
+    store.append_trials(trials)
+    best = table.orderBy("mae", *keys).select("trial").first()
+    return (draws[best["trial"]], table) if best else None
+
+
 def train(
     df: DataFrame,
     columns: Sequence[str],
@@ -150,7 +180,9 @@ def train(
     """Models for all targets, from given ``params`` or from a search recorded in ``store``.
 
     Targets in ``grouped`` are searched per group of ``group_keys``; every final
-    model is fitted on all training rows.
+    model is fitted on all training rows. Presets of linear members on numeric
+    columns search all groups in one job; others run one study for each group
+    from a bounded pool on the driver.
     """
     s = settings or SearchSettings()
     if params is None and store is None:
@@ -162,15 +194,20 @@ def train(
     rows = stage_table(with_folds(with_split(rows, key, s.test, s.seed), key, s.folds, s.seed + 1), "train", ["dataset"])
     features = features_by_target(columns, targets, exclusions)
     groups: dict[str, list[GroupStudy]] = {}
+    tables: dict[str, DataFrame] = {}
     if params is None:
         params = {}
         for target in targets:
             table = as_target(rows.where(F.col("dataset") == "train"), target)
             roles = column_roles(rows, features[target], log, exp)
-            if target in grouped:
+            linear = s.group_job and is_linear(preset) and all(r != "cat" for r in roles.values())
+            found = linear_group_params(table, target, roles, preset, key, group_keys, store, s) if target in grouped and linear else None
+            if found:
+                params[target], tables[target] = found
+            elif target in grouped and not linear:
                 params[target], groups[target] = best_params_by_group(table, target, roles, preset, key, group_keys, store, s)
             else:
                 params[target] = run_study(table, roles, preset, key, f"{target}_study", store, s).best.params
     models, report = fit_with_params(rows, features, params, preset, key, s.inner, log, exp)
     meta = {t: TargetMeta(features[t], dtypes_of(rows, features[t]), dict(params[t])) for t in targets}
-    return Training(Bundle({t: m.pipeline for t, m in models.items()}, meta), {t: dict(params[t]) for t in targets}, report, groups)
+    return Training(Bundle({t: m.pipeline for t, m in models.items()}, meta), {t: dict(params[t]) for t in targets}, report, groups, tables)

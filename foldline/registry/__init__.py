@@ -4,6 +4,6 @@ from foldline.registry.base import ORACLES, QUERIES
 
 
 def load():
-    from foldline.registry import data_queries, model_queries, search_queries, study_queries  # noqa: F401
+    from foldline.registry import data_queries, model_queries, plan_queries, search_queries, study_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -131,13 +131,28 @@ def test_small_groups_are_searched_or_reported(spark, tmp_path):
     data = [(100 * g + i, float(g), float(i), float((7 * i) % 5), float(2 * i + g)) for g, n in enumerate((7, 10, 25, 6)) for i in range(n)]
     df = spark.createDataFrame(data, "key long, g double, a double, b double, y0 double")
     store = TrialStore(spark, str(tmp_path))
-    s = SearchSettings(n_trials=1, test=0.0)
+    s = SearchSettings(n_trials=1, test=0.0, group_job=False)
     got = train(df, ["a", "b", "y0"], ["y0"], "key", LINEAR, store=store, grouped=["y0"], group_keys=["g"], settings=s)
     assert [(g.rows, g.state) for g in got.groups["y0"]] == [(7, "searched"), (10, "searched"), (25, "searched"), (6, "too_small")]
     assert all(g.params == got.params["y0"] for g in got.groups["y0"] if g.state == "too_small")
     assert store.steps().count() == 15
 
 
+def test_linear_groups_are_searched_in_one_job(spark, tmp_path):
+    data = [(100 * g + i, float(g), float(i), float((7 * i) % 5), float(2 * i + g)) for g, n in enumerate((7, 10, 25, 6)) for i in range(n)]
+    df = spark.createDataFrame(data, "key long, g double, a double, b double, y0 double")
+    store = TrialStore(spark, str(tmp_path))
+    got = train(df, ["a", "b", "y0"], ["y0"], "key", LINEAR, store=store, grouped=["y0"], group_keys=["g"], settings=SearchSettings(n_trials=3, test=0.0))
+    table = {r["g"]: r for r in got.group_tables["y0"].collect()}
+    assert {g: r["n_rows"] for g, r in table.items()} == {0.0: 7, 1.0: 10, 2.0: 25}  # six rows are too few
+    best = min(table.values(), key=lambda r: (r["mae"], r["g"]))
+    saved = {r["study"]: r for r in store.trials().collect()}
+    assert set(saved) == {"y0_group_0.0", "y0_group_1.0", "y0_group_2.0"} and saved[f"y0_group_{best['g']}"]["params"] == got.params["y0"]
+    assert got.report.count() == 1 and not got.groups
+    few = train(df.where("g = 3"), ["a", "b", "y0"], ["y0"], "key", LINEAR, store=store, grouped=["y0"], group_keys=["g"], settings=SearchSettings(n_trials=1, test=0.0, folds=2, inner=2))
+    assert few.params["y0"] and not few.group_tables  # the target's global study
+
+
 def test_failed_trial_is_on_record_and_the_rest_resumes(spark, tmp_path):
     store = TrialStore(spark, str(tmp_path))
     space = [real("x", 0.0, 1.0)]
