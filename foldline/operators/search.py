@@ -19,6 +19,7 @@ from foldline.operators.learners import fit_learner, is_exact, solve_linear
 from foldline.operators.linear_stack import LinearFolds, is_linear, side_by_side
 from foldline.operators.moments import total_moments
 from foldline.operators.preprocess import Preprocessor
+from foldline.operators.scans import bucket_offsets, null_safe_join
 from foldline.operators.space import Param, Preset, sample_params, stack_from, value_at
 from foldline.operators.stack import fit_preprocessed_stack
 from foldline.operators.studies import COMPLETE, FAIL, PRUNED, in_state
@@ -387,46 +388,79 @@ def cv_search(
     return PipelineModel([*pre.stages()[:-1], *fitted.stages]), scores, best
 
 
+GOOD_SHARE = 0.1
+NARROWEST = 100  # parts of a parameter's range: no kernel is narrower than one of them
+
+
+def _in_order(df: DataFrame, by: Sequence[str], x: str, pieces: int) -> DataFrame:
+    """``__piece`` for every row: by approximate quantiles of ``x`` in its group, so no window has to hold a whole group."""
+    probs = [i / pieces for i in range(1, pieces)]
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(x, probs, 1_000)).alias("__edges"))
+    return null_safe_join(df, sized(edges), by).withColumn("__piece", F.expr(f"size(filter(__edges, e -> e < `{x}`))")).drop("__edges")
+
+
+def parzen_widths(points: DataFrame, by: Sequence[str], pieces: int = 64) -> DataFrame:
+    """(by, x, low, high, width): a kernel width for every point, from the gaps to its sorted neighbours.
+
+    The larger of both gaps, where the range's ends stand in for missing
+    neighbours, but no less than the range over the number of points and one
+    (``NARROWEST`` at most) and no more than the range. Sorting happens inside
+    pieces of a group; a row for each piece carries its ends to the next.
+    """
+    by = list(by)
+    placed = _in_order(points, by, "x", pieces)
+    ends = placed.groupBy(*by, "__piece").agg(F.min("x").alias("__min"), F.max("x").alias("__max"), F.count("*").alias("__n"))
+    over = W.partitionBy(*by).orderBy("__piece")
+    carried = ends.select(
+        *by, "__piece", F.lag("__max").over(over).alias("__before"), F.lead("__min").over(over).alias("__after"), F.sum("__n").over(W.partitionBy(*by)).alias("__points")
+    )
+    inside = W.partitionBy(*by, "__piece").orderBy("x")
+    joined = null_safe_join(placed, sized(carried), [*by, "__piece"])
+    left = F.col("x") - F.coalesce(F.lag("x").over(inside), F.col("__before"), F.col("low"))
+    right = F.coalesce(F.lead("x").over(inside), F.col("__after"), F.col("high")) - F.col("x")
+    span = F.col("high") - F.col("low")
+    floor = span / F.least(F.lit(NARROWEST), F.col("__points") + 1)
+    return joined.select(*by, "x", "low", "high", F.least(F.greatest(left, right, floor), span).alias("width"))
+
+
 def propose_tpe(
-    trials: DataFrame, space: DataFrame, by: Sequence[str] = ("study",), n_candidates: int = 24, top: int = 25, seed: int = 42
+    trials: DataFrame, space: DataFrame, by: Sequence[str] = ("study",), n_candidates: int = 24, seed: int = 42, pieces: int = 64
 ) -> DataFrame:
     """One proposal per study and parameter from its history, all studies at once.
 
-    Good trials are the best tenth, and at most ``top``: in long studies the good ones stay few, which sharpens the
-    draws. Candidates are fixed by
-    hash. Each COMPLETE trial adds its kernel to every candidate of its study,
-    so the sums combine before the shuffle; the candidate with the largest
-    ratio of good to other density wins.
+    Good trials are the best tenth, however many. Both sides are Parzen
+    estimates: a kernel on every COMPLETE trial, as wide as its neighbours are
+    far (``parzen_widths``), and a prior over the whole range; on a logarithmic
+    scale where the parameter has one. Candidates are fixed by hash, one small
+    row for each study and parameter, and the one with the largest ratio of
+    good to other density wins. Kernels are summed side by side for all
+    candidates, so rows are not multiplied and sums combine before the shuffle.
     """
-    done = trials.where(in_state(COMPLETE) & F.col("value").isNotNull())
-    w = W.partitionBy(*by).orderBy("value", "trial")
-    best = done.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top)
-    totals = done.groupBy(*by).agg(F.least(F.ceil(F.count("*") * 0.1), F.lit(top)).alias("n_good"))
-    last = best.join(totals, list(by)).where(F.col("__r") == F.col("n_good"))
-    cut = last.select(*by, F.struct("value", "trial").alias("cut"))
-    marked = done.join(sized(cut), list(by)).withColumn("good", F.struct("value", "trial") <= F.col("cut"))
-    long = marked.select(*by, "good", F.explode("params").alias("param", "pvalue"))
-    spaced = long.join(F.broadcast(space), "param")
-    u = hash_unit(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("param"), F.col("cand").cast("string")))
-    cand = spaced.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1)))).withColumn("u", u)
+    by, keys = list(by), [*by, "param"]
+    done = trials.where(in_state(COMPLETE) & F.col("value").isNotNull()).select(*by, "trial", "value", "params")
+    ordered = _in_order(stage_table(done, "done"), by, "value", pieces)
+    counts = bucket_offsets(ordered, by, "__piece")
+    rank = F.row_number().over(W.partitionBy(*by, "__piece").orderBy("value", "trial")) + F.col("__start")
+    marked = null_safe_join(ordered, sized(counts), [*by, "__piece"]).withColumn("good", rank <= F.ceil(F.col("__total") * GOOD_SHARE))
     scale = lambda v: F.when(F.col("log"), F.log(v)).otherwise(v)
-    cand = cand.withColumn("draw", value_at(F.col("u")))
-    width = scale(F.col("high")) - scale(F.col("low"))
+    spaced = marked.select(*by, "good", F.explode("params").alias("param", "pvalue")).join(F.broadcast(space), "param")
     seen = F.least(F.greatest(F.col("pvalue"), F.col("low")), F.col("high"))
-    z = (scale(F.col("draw")) - scale(seen)) / (width * 0.1)
-    kernel = F.exp(-0.5 * z * z)
-    sums = cand.groupBy(*by, "param", "cand").agg(
-        F.first("draw").alias("draw"),
-        F.sum(F.when(F.col("good"), kernel).otherwise(0.0)).alias("g"),
-        F.sum(F.when(~F.col("good"), kernel).otherwise(0.0)).alias("o"),
-        F.count_if("good").alias("ng"),
-        F.count_if(~F.col("good")).alias("no"),
-    )
-    good = F.col("g") / F.greatest(F.col("ng"), F.lit(1)) + 1e-3
-    other = F.col("o") / F.greatest(F.col("no"), F.lit(1)) + 1e-3
-    scored = sums.withColumn("score", good / other)
-    return (
-        scored.groupBy(*by, "param")
-        .agg(F.max_by(F.struct("draw", "score"), F.struct(F.col("score"), -F.col("cand"))).alias("b"))
-        .select(*by, "param", "b.*")
+    points = stage_table(spaced.select(*keys, "good", scale(seen).alias("x"), scale(F.col("low")).alias("low"), scale(F.col("high")).alias("high")), "points")
+    kernels = parzen_widths(points, [*keys, "good"], pieces)
+    # A study's candidates are a row of its own.
+    u = hash_unit(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("param"), F.col("cand").cast("string")))
+    cand = points.select(*keys).distinct().join(F.broadcast(space), "param").withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
+    cand = cand.withColumn("draw", value_at(u)).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("cand", "draw", scale(F.col("draw")).alias("at")))).alias("draws")
     )
+    met = null_safe_join(kernels, sized(cand), keys)
+    density = lambda i, mean, width: F.exp(-0.5 * F.pow((F.get("draws", F.lit(i))["at"] - mean) / width, 2)) / width
+    prior = lambda i: density(i, (F.col("low") + F.col("high")) / 2, F.col("high") - F.col("low"))
+    sides = {"g": F.col("good"), "o": ~F.col("good")}
+    sums = [F.sum(F.when(side, density(i, F.col("x"), F.col("width"))).otherwise(0.0)).alias(f"{name}{i}") for name, side in sides.items() for i in range(n_candidates)]
+    sums += [F.count_if(side).alias(f"n{name}") for name, side in sides.items()]
+    sums += [F.first("draws").alias("draws"), *[F.first(prior(i)).alias(f"p{i}") for i in range(n_candidates)]]
+    wide = met.groupBy(*keys).agg(*sums)
+    score = lambda i: ((F.col(f"g{i}") + F.col(f"p{i}")) / (F.col("ng") + 1)) / ((F.col(f"o{i}") + F.col(f"p{i}")) / (F.col("no") + 1))
+    options = F.array(*[F.struct(score(i).alias("score"), F.lit(-i).alias("cand"), F.get("draws", F.lit(i))["draw"].alias("draw")) for i in range(n_candidates)])
+    return wide.withColumn("b", F.array_max(options)).select(*keys, "b.draw", "b.score")

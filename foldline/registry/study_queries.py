@@ -447,8 +447,12 @@ HISTORY_SPACE = [sp.real("p_k", 1.0, 100.0, log=True), sp.whole("p_m", 0, 6)]
       select *, row_number() over (partition by study order by value, trial) as rk, count(*) over (partition by study) as n
       from trials where state = 'COMPLETE'),
     hist as (
-      select study, 'p_k' as param, p_k as pvalue, rk <= least(ceil(n * 0.1::double), 25) as good from done
-      union all select study, 'p_m', p_m, rk <= least(ceil(n * 0.1::double), 25) from done),
+      select study, 'p_k' as param, ln(least(greatest(p_k, 1), 100)) as x, ln(1.0::double) as lo, ln(100.0::double) as hi, rk <= ceil(n * 0.1::double) as good from done
+      union all select study, 'p_m', least(greatest(p_m, 0), 6), 0, 6, rk <= ceil(n * 0.1::double) from done),
+    gaps as (
+      select *, x - coalesce(lag(x) over w, lo) as to_left, coalesce(lead(x) over w, hi) - x as to_right, count(*) over (partition by study, param, good) as points
+      from hist window w as (partition by study, param, good order by x)),
+    kernels as (select study, param, x, lo, hi, good, least(greatest(to_left, to_right, (hi - lo) / least(100, points + 1)), hi - lo) as width from gaps),
     cand as (
       select study, param, kind, lg, low, high, step, cand,
              (('0x' || substr(md5(concat_ws('|', '42', study, param, cand)), 1, 8))::bigint)::double / 4294967296.0::double as u
@@ -456,14 +460,14 @@ HISTORY_SPACE = [sp.real("p_k", 1.0, 100.0, log=True), sp.whole("p_m", 0, 6)]
     drawn as (
       select *, case when kind = 'int' then low + step * floor(u * (floor((high - low) / step) + 1))
                      else exp(ln(low) + u * (ln(high) - ln(low))) end as draw from cand),
+    placed as (select *, case when lg then ln(draw) else draw end as spot from drawn),
     scored as (
-      select d.study, d.param, cand, any_value(draw) as draw,
-             (coalesce(sum(k) filter (where good), 0) / greatest(count(*) filter (where good), 1) + 0.001::double)
-             / (coalesce(sum(k) filter (where not good), 0) / greatest(count(*) filter (where not good), 1) + 0.001::double) as score
-      from (select d.*, good,
-                   case when lg then exp(-0.5::double * pow((ln(draw) - ln(least(greatest(pvalue, low), high))) / ((ln(high) - ln(low)) * 0.1::double), 2))
-                        else exp(-0.5::double * pow((draw - pvalue) / ((high - low) * 0.1::double), 2)) end as k
-            from drawn d join hist h on h.study = d.study and h.param = d.param) d
+      select study, param, cand, any_value(draw) as draw,
+             ((coalesce(sum(k) filter (where good), 0) + any_value(prior)) / (count(*) filter (where good) + 1))
+             / ((coalesce(sum(k) filter (where not good), 0) + any_value(prior)) / (count(*) filter (where not good) + 1)) as score
+      from (select study, param, cand, draw, good, exp(-0.5::double * pow((spot - x) / width, 2)) / width as k,
+                   exp(-0.5::double * pow((spot - (lo + hi) / 2) / (hi - lo), 2)) / (hi - lo) as prior
+            from placed join kernels using (study, param))
       group by 1, 2, 3)
     select study, param, {rnd('draw', 6)} as draw from (
       select *, row_number() over (partition by study, param order by score desc, cand) as rk from scored) where rk = 1""",
