@@ -35,9 +35,9 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
-    """Licences of every document: how many of its lines and paragraphs match, and how well at best."""
+    """Licences of every document: in how many places, and how well at best."""
     found = licences.scan(table(spark, sf, "documents"))
-    return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
+    return found.select("doc_id", "licence", F.col("n_places").cast("long").alias("n_places"), F.round("dice", 6).alias("best_dice"), F.col("start").cast("long").alias("start"))
 
 
 def op6_suffixes(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,22 +92,27 @@ _BIGRAMS_SQL = "list_distinct([{0}[i] || ' ' || {0}[i + 1] for i in range(1, len
 
 
 def _licences_sql() -> str:
-    quoted = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(licences.TEMPLATES.items()))
+    quoted = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}', {licences.window_sizes(v, 0.8)})" for k, v in sorted(licences.TEMPLATES.items()))
     return f"""
 with templates as (
-  select licence, {_BIGRAMS_SQL.format("w")} as grams
-  from (select licence, string_split({_NORMAL_SQL.format("text")}, ' ') as w from (values {quoted}) t(licence, text))),
-units as (
-  select doc_id, unnest(string_split(text, chr(10))) as x from documents
-  union all
-  select doc_id, x from (select doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) as x from documents) where contains(trim(x, chr(10)), chr(10))),
-grams as (
-  select doc_id, {_BIGRAMS_SQL.format("w")} as g
-  from (select doc_id, string_split({_NORMAL_SQL.format("x")}, ' ') as w from units) where len(w) > 1),
+  select licence, {_BIGRAMS_SQL.format("w")} as grams, len(w) - 1 as n, sizes
+  from (select licence, string_split({_NORMAL_SQL.format("text")}, ' ') as w, sizes from (values {quoted}) t(licence, text, sizes))),
+docs as (
+  select d, doc_id, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] as bg
+  from (select row_number() over () as d, doc_id, string_split({_NORMAL_SQL.format("text")}, ' ') as w from documents)),
+hits as (
+  select d, licence, p from (select d, unnest(bg) as gram, unnest(range(len(bg))) as p from docs)
+  join (select licence, unnest(grams) as gram from templates) using (gram)),
+windows as (
+  select d, doc_id, licence, p, n, list_distinct(list_slice(bg, p + 1, p + l)) as x, grams
+  from (select *, unnest(sizes) as l from hits join templates using (licence)) join docs using (d)),
 found as (
-  select doc_id, licence, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice
-  from grams join templates on len(g) between len(grams) * 0.66 and len(grams) * 1.51)
-select doc_id, licence, count(*) as n_units, round(max(dice), 6) as best_dice from found where dice >= 0.8 - 1e-12 group by 1, 2"""
+  select * from (select d, doc_id, licence, p, n, 2.0::double * len(list_intersect(x, grams)) / (len(x) + len(grams)) as dice from windows) where dice >= 0.8 - 1e-12),
+best as (select d, doc_id, licence, max(dice) as dice, min(p) filter (where dice = top) as start from (select *, max(dice) over (partition by d, licence) as top from found) group by 1, 2, 3),
+places as (
+  select d, licence, count(*) as n_places from (
+    select d, licence, n, p - lag(p) over (partition by d, licence order by p) as gap from (select distinct d, licence, n, p from found)) where gap is null or gap >= n group by 1, 2)
+select doc_id, licence, n_places, round(dice, 6) as best_dice, start from best join places using (d, licence)"""
 
 
 _LM_SQL = r"""

@@ -151,15 +151,56 @@ def test_repeated_rows_and_null_ids_leave_one(spark):
 # -- Licences -----------------------------------------------------------------
 
 
+def brute_licences(docs, templates, least=0.8):
+    found = []
+    for i, t in docs:
+        w = licences.words_of(t or "")
+        bg = list(zip(w, w[1:]))
+        for name, text in templates.items():
+            k = licences.words_of(text)
+            grams = set(zip(k, k[1:]))
+            hits = []
+            for p in range(len(bg)):
+                for size in licences.window_sizes(text, least):
+                    x = set(bg[p : p + size])
+                    if bg[p] in grams and 2 * len(x & grams) / (len(x) + len(grams)) >= least - 1e-12:
+                        hits.append((2 * len(x & grams) / (len(x) + len(grams)), p))
+            if hits:
+                starts = sorted({p for _, p in hits})
+                places = sum(j == 0 or p - starts[j - 1] >= len(k) - 1 for j, p in enumerate(starts))
+                best = max(d for d, _ in hits)
+                found.append((repr(i), name, places, round(best, 9), min(p for d, p in hits if d == best)))
+    return sorted(found)
+
+
 def test_licences(spark):
-    mit = licences.TEMPLATES["mit-grant"]
+    mit, apache = licences.TEMPLATES["mit-grant"], licences.TEMPLATES["apache-2.0-header"]
     docs = [(1, "Some words to begin with.\nReleased under THE mit license\nand some more"), (2, mit.replace(" ", "\n", 3)), (3, "Released under"), (4, None), (5, ""), (6, mit.replace("charge", "cost"))]
     docs += [(7, "a b"), (None, "licensed under cc by nc 4 0"), (1, "Some words to begin with.\nReleased under THE mit license\nand some more")]
-    got = licences.scan(frame(spark, docs)).collect()
+    docs += [
+        (10, "Copyright 2024 Jane Doe. Released under the MIT License."),
+        (11, "This project is released under the MIT License, see LICENSE."),
+        (12, "A long paragraph that ends with the notice, released\nunder the MIT\nLicense. And then it goes on for a while."),
+        (13, apache.replace(" http", "\n\n    http").replace("2.0 Unless", "2.0\n\nUnless")),
+        (14, "Copyright (c) 2020 X\n\n" + licences.TEMPLATES["mit-text"].replace("conditions: ", "conditions:\n\n").replace(". IN NO", ".\nIN NO")),
+        (15, ("Released under the MIT License. " + "other words entirely and more of them " * 3) * 4),
+        (16, "of the software and the use of the license " * 2000 + "Licensed under CC BY 4.0."),
+        (17, "word " * 60_000),
+    ]
+    got = licences.scan(frame(spark, docs).withColumn("licence", F.lit("clash")).withColumn("w", F.lit("clash"))).collect()
+    assert sorted((repr(r.doc_id), r.licence, r.n_places, round(r.dice, 9), r.start) for r in got) == brute_licences(docs, licences.TEMPLATES)
     found = collections.Counter((r.doc_id, r.licence) for r in got)
-    assert found[1, "mit"] == 2 and found[2, "mit-grant"] >= 1 and found[6, "mit-grant"] == 1 and found[None, "cc-by-nc-4.0"] >= 1
-    assert {k[0] for k in found} == {1, 2, 6, None}
-    assert next(r.dice for r in got if r.doc_id == 1 and r.licence == "mit") == 1.0
+    assert found[1, "mit"] == 2 and all(found[i, "mit"] == 1 for i in (10, 11, 12, 15)) and found[13, "apache-2.0-header"] == 1 and found[14, "mit-text"] == 1
+    assert next(r.n_places for r in got if r.doc_id == 15) == 4 and all(r.dice == 1 for r in got if r.licence == "mit")
+    assert not {3, 4, 5, 7, 17} & {r.doc_id for r in got}
+
+
+def test_licence_templates_that_tie_or_say_nothing(spark):
+    docs = frame(spark, [(1, "one two three four five six")])
+    templates = {"b": "two three four", "a's": "Two, three: four!", "short": "one", "none": "..."}
+    got = licences.scan(docs, templates).collect()
+    assert sorted((r.licence, r.dice, r.start) for r in got) == [("a's", 1.0, 1), ("b", 1.0, 1)]
+    assert licences.scan(docs, {"none": "..."}).count() == 0
 
 
 def test_needed_words_lose_no_match():
