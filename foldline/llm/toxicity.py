@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,23 +98,30 @@ class Chain:
         return p
 
 
+LEAST_PRECISION = 0.5  # under it a category's cut does more harm than good
+
+
 def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The cut with the best F1 among those of this precision or more, halfway between the probabilities around it.
 
     Where none is so precise, as with few labels or some wrong ones among the
-    highest, the cut with the best F1 of all. Without a positive label the
-    category is never set: infinity.
+    highest, the best of those that are right at least every other time. Where
+    held-out labels cannot even tell that much, or none is positive, the
+    category is never set: infinity, with a warning.
     """
-    if not y.any():
-        return math.inf
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    taken = np.arange(1, len(y) + 1)
-    f1 = 2 * hits / (taken + y.sum())
-    f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties fall on one side
-    exact = np.where(hits >= precision * taken, f1, 0.0)
-    at = int(np.argmax(exact if exact.any() else f1))
-    return float((p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0)) / 2)
+    if y.any():
+        order = np.argsort(-p, kind="stable")
+        hits = np.cumsum(y[order])
+        taken = np.arange(1, len(y) + 1)
+        f1 = 2 * hits / (taken + y.sum())
+        f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties fall on one side
+        for least in (precision, min(precision, LEAST_PRECISION)):
+            good = np.where(hits >= least * taken, f1, 0.0)
+            if good.any():
+                at = int(np.argmax(good))
+                return float((p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0)) / 2)
+        warnings.warn(f"{len(y)} held-out labels do not tell a category apart: it is never set", stacklevel=2)
+    return math.inf
 
 
 def fit_chain(flat: np.ndarray, doc: np.ndarray, labels: np.ndarray, names: list[str], fold: np.ndarray, folds: int = 3, precision: float = 0.9) -> Chain:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldline.llm import decontaminate, fingerprints, html_text, licences, lm, packing, phrases, simhash, suffixes, toxicity
 from foldline.llm.anchors import anchored, gram_hashes, mixed
+from foldline.llm.common import table
 from foldline.llm.components import components
 from foldline.llm.tokens import byte_pairs
 
@@ -534,9 +535,20 @@ def test_threshold_without_a_precise_cut():
     p, y = np.array([0.9, 0.8, 0.7, 0.6, 0.2, 0.1]), np.array([0.0, 1, 1, 0, 0, 0])
     assert toxicity._best_threshold(p, y, 0.9) == pytest.approx(0.65)  # two of three: the best F1 there is
     assert toxicity._best_threshold(p, np.array([1.0, 1, 0, 1, 0, 0]), 0.9) == pytest.approx(0.75)
+    with pytest.warns(UserWarning, match="never set"):
+        assert toxicity._best_threshold(p, y[::-1], 0.9) == np.inf  # the two are the fourth and fifth of six
     assert toxicity._best_threshold(p, np.zeros(6), 0.9) == np.inf and toxicity._best_threshold(np.zeros(0), np.zeros(0), 0.9) == np.inf
 
 
+def test_recall_on_given_labels(spark):
+    """At 399 labels most toxic documents are found, and nearly all that are found are toxic."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}))
+    found = labels.join(scored, "doc_id").agg(F.count_if("is_toxic"), F.sum("toxic"), F.count_if(F.col("is_toxic") & (F.col("toxic") == 1))).first()
+    assert found[2] >= 0.7 * found[1] and found[2] >= 0.9 * found[0]
+
+
 def test_toxicity_without_documents_or_labels(spark):
     none = frame(spark, [(1, "a b")]).where("false")
     chain = toxicity.train(none, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"), {"toxic": F.col("toxic")})
