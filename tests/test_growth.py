@@ -48,3 +48,33 @@ def test_extra_trees_refuse_a_missing_label(spark):
     _, df = _rows(spark, 50)
     with pytest.raises(Exception, match="(?i)label|null"):
         fit_learner("ExtraTreesRegressor", {"n_estimators": 1}, df.withColumn("y", F.when(F.col("key") != "7", F.col("y"))), ["a"])
+
+
+def test_huber_fit_reads_raw_columns_a_few_times(spark, monkeypatch):
+    """The expanded rows are never handed to an iterative solver, and the optimum is MLlib's."""
+    from pyspark.ml.regression import LinearRegression
+
+    from foldline.operators import huber
+
+    pdf, df = _rows(spark, 2000)
+    rng = np.random.default_rng(1)
+    noise = df.withColumn("y", F.col("y") + F.when(F.pmod(F.xxhash64("key"), F.lit(9)) == 0, 40.0).otherwise(0.0)).persist()
+    w, b = rng.normal(0, 1, (6, 2)), rng.uniform(0, 6, 6)
+    scans, plain = [], huber._scan
+    monkeypatch.setattr(huber, "_scan", lambda *a: (scans.append(a[0].columns), plain(*a))[1])
+    intercept, coef = huber.fit_huber(noise, ["a", "b"], "y", w, b, 1e-3)
+    assert 2 < len(scans) < 20 and all(len(c) == 3 for c in scans)
+    waves = [F.cos(F.col("a") * float(w[j, 0]) + F.col("b") * float(w[j, 1]) + float(b[j])).alias(f"z{j}") for j in range(6)]
+    z = VectorAssembler(inputCols=[f"z{j}" for j in range(6)], outputCol="z").transform(noise.select("y", *waves))
+    model = LinearRegression(featuresCol="z", labelCol="y", loss="huber", regParam=1e-3, maxIter=1000, tol=1e-12).fit(z)
+    want = np.array([r["prediction"] for r in model.transform(z).select("prediction").collect()])
+    x = np.array([[r["a"], r["b"]] for r in noise.select("a", "b").collect()])
+    assert np.abs(intercept + np.cos(x @ w.T + b) @ coef - want).max() < 0.02
+
+    monkeypatch.setattr(LinearRegression, "fit", None)
+    model = fit_learner("SVR", {"n_components": 4}, noise, ["a", "b"])
+    assert model.transform(noise).where("prediction is null").count() == 0
+    flat = fit_learner("SVR", {"n_components": 4}, noise.withColumn("y", F.lit(2.5)), ["a", "b"])
+    assert flat.transform(noise).agg(F.min("prediction"), F.max("prediction")).first() == (2.5, 2.5)
+    with pytest.raises(Exception, match="missing"):
+        fit_learner("SVR", {"n_components": 4}, noise.withColumn("a", F.when(F.col("key") != "7", F.col("a"))), ["a", "b"])
