@@ -78,3 +78,59 @@ def test_huber_fit_reads_raw_columns_a_few_times(spark, monkeypatch):
     assert flat.transform(noise).agg(F.min("prediction"), F.max("prediction")).first() == (2.5, 2.5)
     with pytest.raises(Exception, match="missing"):
         fit_learner("SVR", {"n_components": 4}, noise.withColumn("a", F.when(F.col("key") != "7", F.col("a"))), ["a", "b"])
+
+
+def test_late_passes_read_only_rows_inside_brackets(spark, monkeypatch):
+    from foldline.operators import quantiles
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 30_000), "v": rng.normal(size=30_000), "d": rng.integers(0, 9, 30_000) / 2.0})
+    df = spark.createDataFrame(pdf).repartition(4).persist()
+    exprs = {f"{c}{g}": F.when(F.col("g") == g, F.col(c)) for g in (0, 1) for c in ("v", "d")}
+    read, plain = [], quantiles._pass
+    monkeypatch.setattr(quantiles, "HANDFUL", 2)  # as brackets hold more values than that in large tables
+    monkeypatch.setattr(quantiles, "_pass", lambda rows, *a: (read.append(rows.count()), plain(rows, *a))[1])
+    got = quantiles.exact_quantiles(df, exprs, [0.25, 0.5, 0.9])
+    for name in exprs:
+        want = np.quantile(pdf.loc[pdf["g"] == int(name[1]), name[0]], [0.25, 0.5, 0.9])
+        assert np.allclose(got[name], want, rtol=0, atol=1e-12)
+    assert read[0] == 30_000 and len(read) > 1 and max(read[1:]) < 3_000
+
+
+@pytest.mark.parametrize("name, params", [("GradientBoostingRegressor", {"n_estimators": 4, "max_depth": 3}),
+                                          ("RandomForestRegressor", {"n_estimators": 2, "max_depth": 4, "bootstrap": False, "min_samples_leaf": 30})])
+def test_trees_without_draws_grow_on_cells_as_on_rows(spark, fitted_rows, monkeypatch, name, params):
+    _, df = _rows(spark)
+    rows = df.withColumn("a", F.floor(F.col("a") * 7) / 7).persist()
+    plain = fit_learner(name, params, rows, ["a", "b"], prediction="p")
+    monkeypatch.setattr(learners, "SAMPLED_ROWS", 1000)
+    cells = fit_learner(name, params, rows, ["a", "b"], prediction="q")
+    assert fitted_rows == [4000, 35]
+    both = cells.transform(plain.transform(rows))
+    assert set(both.columns) == {*rows.columns, "p", "q"} and both.where("abs(p - q) > 1e-9").count() == 0
+
+
+def test_boosted_trees_bin_a_column_of_many_values(spark, fitted_rows, monkeypatch):
+    pdf, df = _rows(spark)
+    monkeypatch.setattr(learners, "SAMPLED_ROWS", 3000)
+    model = fit_learner("HistGradientBoostingRegressor", {"n_estimators": 12, "max_depth": 3, "max_bins": 16}, df, ["a", "b"], prediction="p")
+    assert fitted_rows == [16 * 5]
+    out = model.transform(df).select("y", "p").toPandas()
+    assert 1 - ((out["y"] - out["p"]) ** 2).sum() / ((out["y"] - out["y"].mean()) ** 2).sum() > 0.8
+    fitted_rows.clear()
+    fit_learner("XGBRegressor", {"n_estimators": 1, "subsample": 0.5}, df, ["a"])
+    fit_learner("RandomForestRegressor", {"n_estimators": 1, "max_depth": 2}, df, ["a"])
+    assert fitted_rows == [4000, 4000]  # these draw rows
+
+
+def test_fits_of_many_rows_do_not_hold_them_side_by_side(spark, monkeypatch):
+    from foldline.operators import stack as st
+
+    _, df = _rows(spark, 300)
+    threads, plain = [], st.oof_predict
+    monkeypatch.setattr(st, "oof_predict", lambda *a: (threads.append(a[-1]), plain(*a))[1])
+    fit = lambda: st.Stack([st.Member("a", "Ridge")], st.Member("m", "Ridge"), k=2).fit(df, ["a", "b"], "key")
+    fit()
+    monkeypatch.setattr(st, "PARALLEL_ROWS", 500)
+    fit()
+    assert threads == [4, 1]
