@@ -134,3 +134,26 @@ def test_fits_of_many_rows_do_not_hold_them_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(st, "PARALLEL_ROWS", 500)
     fit()
     assert threads == [4, 1]
+
+
+@pytest.mark.parametrize("staged", [False, True])
+@pytest.mark.parametrize("kind", ["plain", "nulls", "repeats"])
+def test_exact_folds_of_a_whole_table_need_no_join(spark, monkeypatch, kind, staged):
+    from foldline.functions.hashing import hash32
+    from foldline.operators import splits
+
+    key = {"plain": "cast(id as string)", "nulls": "case when id > 0 then cast(id as string) end", "repeats": "cast(id div 300 as string)"}[kind]
+    df = spark.range(1001).selectExpr("id", f"{key} as key", "id % 7 as other").persist()
+    joins, plain = [], splits.null_safe_join
+    monkeypatch.setattr(splits, "null_safe_join", lambda *a, **k: (joins.append(a), plain(*a, **k))[1])
+    monkeypatch.setattr(splits, "EDGE_BITS", 27)  # few buckets, so that changes lie inside of them
+    out = splits.with_folds(df, ["key", "other"] if kind == "nulls" else "key", 4, 43, exact=True, staged=staged)
+    assert out.columns == ["id", "key", "other", "fold"]
+    keys = ["key", "other"] if kind == "nulls" else ["key"]
+    got = out.withColumn("h", hash32(keys, 43)).toPandas()
+    assert got.groupby("fold").size().tolist() == [251, 250, 250, 250] and got["id"].nunique() == 1001
+    got["key"] = got["key"].fillna("")
+    for f in range(3):  # folds follow the order of hash and key
+        a, b = got[got["fold"] == f], got[got["fold"] == f + 1]
+        assert max(map(tuple, a[["h", *keys]].values)) <= min(map(tuple, b[["h", *keys]].values))
+    assert bool(joins) == (kind == "repeats")
