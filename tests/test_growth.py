@@ -156,3 +156,29 @@ def test_exact_folds_of_a_staged_table_need_no_join(spark, monkeypatch, kind):
         a, b = got[got["fold"] == f], got[got["fold"] == f + 1]
         assert max(map(tuple, a[["h", *keys]].values)) <= min(map(tuple, b[["h", *keys]].values))
     assert bool(joins) == (kind == "repeats")
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeats", "deeper"])
+def test_folds_of_groups_are_dealt_at_once_and_few_rows_sorted(spark, monkeypatch, kind):
+    from foldline.functions.hashing import hash32
+    from foldline.operators import splits
+    from foldline.operators.linear_stack import tune_stacks_by_group
+
+    if kind == "deeper":  # boundaries outside their brackets, and stretches that are cut before they are sorted
+        monkeypatch.setattr(splits, "MARGIN", 0.2)
+    key = "cast(id div 40 as string)" if kind == "repeats" else "cast(id as string)"
+    df = spark.range(9000).selectExpr("id", f"{key} as key", "case when id % 3 > 0 then 'a' when id < 600 then 'b' end as g").persist()
+    written, plain = [], splits.stage_table
+    monkeypatch.setattr(splits, "stage_table", lambda d, name, *a: (written.append(name), plain(d, name, *a))[1])
+    out = splits.with_folds_by_group(df, "key", ["g"], {"outer": (5, 43), "inner": (3, 1043)}, **({"limit": 20} if kind == "deeper" else {}))
+    assert written == ["dealt"] * 3 and out.columns == ["id", "key", "g", "outer", "inner"]
+    got = out.select("*", hash32("key", 43).alias("h0"), hash32("key", 1043).alias("h1")).toPandas()
+    got["g"] = got["g"].fillna("-")
+    assert len(got) == got["id"].nunique() == 9000
+    for _, part in got.groupby("g"):
+        for name, h, k in (("outer", "h0", 5), ("inner", "h1", 3)):
+            part = part.sort_values([h, "key", name])
+            want = np.repeat(range(k), [len(a) for a in np.array_split(np.arange(len(part)), k)])
+            assert part[name].tolist() == want.tolist()
+    assert splits.with_folds(df, "key", 5, 43, ["g"], exact=True).where("g = 'b'").count() == 200
+    assert "with_folds_by_group" in tune_stacks_by_group.__code__.co_names
