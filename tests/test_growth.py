@@ -182,3 +182,52 @@ def test_folds_of_groups_are_dealt_at_once_and_few_rows_sorted(spark, monkeypatc
             assert part[name].tolist() == want.tolist()
     assert splits.with_folds(df, "key", 5, 43, ["g"], exact=True).where("g = 'b'").count() == 200
     assert "with_folds_by_group" in tune_stacks_by_group.__code__.co_names
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_forests_with_bootstrap_grow_on_drawn_cells(spark, fitted_rows, monkeypatch, tmp_path, large):
+    from pyspark.ml import PipelineModel
+
+    pdf, df = _rows(spark)
+    rows = df.withColumn("a", F.when(F.col("a") < 0.5, 0.0).otherwise(F.floor(F.col("a") * 20) / 20)).persist()
+    monkeypatch.setattr(learners, "BAGGED_ROWS", 1000)
+    monkeypatch.setattr(learners, "DRAWN_TREES", 4)
+    if large:  # cells of more rows than a task draws for
+        monkeypatch.setattr(learners, "DRAWN_ROWS", 150)
+    drawn, plain = [], learners._drawn_cells
+    monkeypatch.setattr(learners, "_drawn_cells", lambda *a: (drawn.append(plain(*a)), drawn[-1])[1])
+    fit = lambda d, seed=42: fit_learner("RandomForestRegressor", {"n_estimators": 6, "max_depth": 5}, d, ["a", "b"], seed=seed)
+    model = fit(rows)
+    cells = rows.select("a", "b").distinct().count()
+    assert len(fitted_rows) == 6 and max(fitted_rows) < (800 if large else 2 * cells)
+    ends = rows.groupBy("a", "b").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("all"))
+    for part, trees in zip(drawn, (4, 2)):
+        got = part.join(ends, ["a", "b"]).toPandas()
+        for t in range(trees):
+            n, mean = got[f"__n{t}"], got[f"__mean{t}"]
+            assert 3700 < n.sum() < 4300  # four thousand draws, give or take sixty-three
+            some = n > 0
+            assert ((mean >= got["lo"] - 1e-9) & (mean <= got["hi"] + 1e-9))[some].all()
+            whole = got.assign(n=n, s=n * mean).groupby(["a", "b"]).agg({"n": "sum", "s": "sum", "all": "first"})
+            off = (whole["s"] / whole["n"] - whole["all"]).abs().max()
+            assert 1e-6 < off < 1.5  # drawn rows, not whole cells
+        assert (got["__n0"] != got["__n1"]).any()
+    out = model.transform(rows)
+    assert set(out.columns) == {*rows.columns, "prediction"}
+    scored = out.select("y", "prediction").toPandas()
+    assert 1 - ((scored["y"] - scored["prediction"]) ** 2).sum() / ((scored["y"] - scored["y"].mean()) ** 2).sum() > 0.7
+    single = rows.select("a", "b").distinct()
+    by_row = lambda m: [r["prediction"] for r in m.transform(single).orderBy("a", "b").select("prediction").collect()]
+    model.save(f"{tmp_path}/m")
+    assert by_row(PipelineModel.load(f"{tmp_path}/m")) == by_row(model) == by_row(fit(rows.repartition(7)))
+    assert by_row(fit(rows, 7)) != by_row(model)
+
+
+def test_forests_with_bootstrap_keep_rows_where_cells_are_many_or_labels_missing(spark, fitted_rows, monkeypatch):
+    _, df = _rows(spark)
+    monkeypatch.setattr(learners, "BAGGED_ROWS", 1000)
+    monkeypatch.setattr(learners, "SAMPLED_ROWS", 4000)
+    fit_learner("RandomForestRegressor", {"n_estimators": 2, "max_depth": 2}, df, ["a", "b"])  # 255 bins by 5 values
+    assert fitted_rows == [4000]
+    with pytest.raises(Exception, match="(?i)label|null"):
+        fit_learner("RandomForestRegressor", {"n_estimators": 2}, df.withColumn("y", F.when(F.col("key") != "7", F.col("y"))), ["b"])
