@@ -231,3 +231,29 @@ def test_forests_with_bootstrap_keep_rows_where_cells_are_many_or_labels_missing
     assert fitted_rows == [4000]
     with pytest.raises(Exception, match="(?i)label|null"):
         fit_learner("RandomForestRegressor", {"n_estimators": 2}, df.withColumn("y", F.when(F.col("key") != "7", F.col("y"))), ["b"])
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeats"])
+def test_folds_of_groups_sort_hashes_and_keys_only_where_these_decide(spark, monkeypatch, kind):
+    from foldline.operators import linear_stack, splits
+
+    key = "cast(id div 40 as string)" if kind == "repeats" else "case when id <> 5 then cast(id as string) end"
+    df = spark.range(6000).selectExpr("id", f"{key} as key", "case when id % 3 > 0 then 'a' when id < 600 then 'b' end as g", "id / 6000 as x", "id % 11 as y").persist()
+    found, plain = [], splits.sized
+    monkeypatch.setattr(splits, "sized", lambda d: (found.append(d), plain(d))[1])
+    out = splits.with_folds_by_group(df, "key", ["g"], {"outer": (5, 43), "inner": (3, 1043)}, staged=True)
+    rows = [d.schema["__row"].dataType.names for d in found if "__row" in d.columns]
+    more = ["__k0", "__id"] if kind == "repeats" else []
+    assert rows[-1] == ["__h1", *more] and ["__h0"] in rows and len(rows) == (4 if more else 2)
+    sizes = out.groupBy("g", "outer").count().groupBy("g").agg(F.min("count").alias("lo"), F.max("count").alias("hi"), F.count("*").alias("k")).collect()
+    assert len(sizes) == 3 and all(r["k"] == 5 and r["hi"] - r["lo"] <= 1 for r in sizes)
+    assert splits.with_folds_by_group(df.where("false"), "key", ["g"], {"outer": (5, 43)}).count() == 0
+    counted = df.groupBy("g").agg(F.count("*").alias("__total"))
+    again = splits.with_folds_by_group(df, "key", ["g"], {"outer": (5, 43)}, staged=True, sizes=counted)
+    if kind == "plain":
+        assert again.exceptAll(out.drop("inner")).count() == 0
+
+    dealt, deal = [], linear_stack.with_folds_by_group
+    monkeypatch.setattr(linear_stack, "with_folds_by_group", lambda *a, **k: (dealt.append(a[2]), deal(*a, **k))[1])
+    best = linear_stack.tune_stacks_by_group(df, ["x"], "y", "key", ["g"], [linear_stack.LinearStack([([0], 1.0)], 1.0)])
+    assert dealt == [["__group"]] and sorted((r["g"] or "", r["n_rows"]) for r in best.collect()) == [("", 1800), ("a", 4000), ("b", 200)]
