@@ -257,3 +257,30 @@ def test_folds_of_groups_sort_hashes_and_keys_only_where_these_decide(spark, mon
     monkeypatch.setattr(linear_stack, "with_folds_by_group", lambda *a, **k: (dealt.append(a[2]), deal(*a, **k))[1])
     best = linear_stack.tune_stacks_by_group(df, ["x"], "y", "key", ["g"], [linear_stack.LinearStack([([0], 1.0)], 1.0)])
     assert dealt == [["__group"]] and sorted((r["g"] or "", r["n_rows"]) for r in best.collect()) == [("", 1800), ("a", 4000), ("b", 200)]
+
+
+def test_rows_meet_their_groups_by_plain_columns(spark, monkeypatch):
+    """Folds of groups come from one number a fold, groups that are numbered meet by plain equality, also where folds are fewer or rows are."""
+    from foldline.functions.hashing import HASH_RANGE, hash32, hash_below
+    from foldline.operators import splits
+    from foldline.registry import search_queries
+
+    df = spark.range(4000).selectExpr("cast(id as string) as key", "case when id < 3 then 1L when id < 10 then 2L when id < 700 then 3L else 4L end as g").persist()
+    found, plain, joins, safe = [], splits.sized, [], splits.null_safe_join
+    monkeypatch.setattr(splits, "sized", lambda d: (found.append(d), plain(d))[1])
+    monkeypatch.setattr(splits, "null_safe_join", lambda *a, **k: (joins.append(a), safe(*a, **k))[1])
+    deals = {"outer": (5, 43), "one": (1, 7), "inner": (3, 1043)}
+    got = splits.with_folds_by_group(df, "key", ["g"], deals, staged=True, known=True).select("*", *[hash32("key", s).alias(f"h_{n}") for n, (_, s) in deals.items()]).toPandas()
+    assert not joins and {t for c, t in found[-1].dtypes if c != "g"} == {"bigint"}
+    assert len(got) == 4000
+    for _, part in got.groupby("g"):
+        for name, (k, _) in deals.items():
+            want = np.repeat(range(k), [len(a) for a in np.array_split(np.arange(len(part)), k)])
+            assert part.sort_values([f"h_{name}", "key"])[name].tolist() == want.tolist()
+
+    for limit in (-1, 0, 1, 858993459, HASH_RANGE - 1, HASH_RANGE):
+        assert df.where(hash_below("key", 42, limit) != (hash32("key", 42) < limit)).isEmpty()
+    written, stage = [], search_queries.stage_table
+    monkeypatch.setattr(search_queries, "stage_table", lambda d, *a: (written.append((d.columns, a[1:])), stage(d, *a))[1])
+    search_queries.grouped_rows(spark, "/root/testdata/sf0.001")
+    assert [("dataset" in c, "fold" in c, a) for c, a in written] == [(True, False, ())]
