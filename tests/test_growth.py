@@ -284,3 +284,45 @@ def test_rows_meet_their_groups_by_plain_columns(spark, monkeypatch):
     monkeypatch.setattr(search_queries, "stage_table", lambda d, *a: (written.append((d.columns, a[1:])), stage(d, *a))[1])
     search_queries.grouped_rows(spark, "/root/testdata/sf0.001")
     assert [("dataset" in c, "fold" in c, a) for c, a in written] == [(True, False, ())]
+
+
+@pytest.mark.parametrize("passthrough", [False, True])
+def test_linear_stacks_of_staged_rows_write_none(spark, monkeypatch, passthrough):
+    from foldline.operators import stack as st
+
+    _, df = _rows(spark, 900)
+    df = df.withColumn("y", F.when(F.col("key") != "7", F.col("y"))).persist()
+    bases = [st.Member("r", "Ridge", {"alpha": 2.0}), st.Member("e", "ElasticNet", {"alpha": 0.05, "l1_ratio": 0.3})]
+    fit = lambda d=df, **k: st.Stack(bases, st.Member("m", "Ridge", {"alpha": 3.0}), passthrough, k=4).fit(d, ["a", "b"], "key", **k)
+    plain = fit().transform(df).toPandas().sort_values("key")
+    monkeypatch.setattr(st, "stage_table", None)
+    sums = fit(staged=True).transform(df).toPandas().sort_values("key")
+    for c in ("p_r", "p_e", "prediction"):
+        assert np.allclose(plain[c], sums[c], rtol=0, atol=1e-8) and sums[c].nunique() > 100
+    with pytest.raises(ValueError, match="no rows"):
+        fit(df.limit(1), staged=True)
+
+
+def test_training_keeps_one_copy_of_its_rows(spark, tmp_path, monkeypatch):
+    """Searches by group and over all rows, and fits, leave no other table of all rows behind, nor write many."""
+    from pathlib import Path
+
+    from foldline import session
+    from foldline.operators.space import Preset, real
+    from foldline.plans.training import SearchSettings, train
+    from foldline.session import shared_dir
+    from foldline.sources.trial_store import TrialStore
+
+    _, df = _rows(spark, 2000)
+    rows = df.withColumn("g", F.col("b") > 0.5).withColumn("z", F.col("y") + F.col("b"))
+    preset = Preset(101, [("r", "Ridge"), ("s", "Ridge")], ("m", "Ridge"), False, [real("r_alpha", 0.1, 9.0)])
+    here, before = Path(shared_dir(spark).removeprefix("file:")), set()
+    before = set(here.iterdir())
+    written, plain = [], session.drop_staged
+    for module in ("foldline.operators.splits", "foldline.operators.linear_stack"):
+        monkeypatch.setattr(f"{module}.drop_staged", lambda d: (written.append(d.count()), plain(d))[1])
+    made = train(rows, ["a", "b"], ["y", "z"], "key", preset, TrialStore(spark, str(tmp_path)), grouped=["y"], group_keys=["g"], settings=SearchSettings(n_trials=1, inner=3, sampler="random"))
+    assert made.report.count() == 4
+    sizes = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)).count() for p in set(here.iterdir()) - before if any(p.rglob("*.parquet"))}
+    assert [n for n, size in sizes.items() if size > 100] == ["train"] and sizes["train"] == 2000
+    assert len(written) == 2 and max(written) < 2000  # the training rows with hashes, and with folds
