@@ -326,3 +326,83 @@ def test_training_keeps_one_copy_of_its_rows(spark, tmp_path, monkeypatch):
     sizes = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)).count() for p in set(here.iterdir()) - before if any(p.rglob("*.parquet"))}
     assert [n for n, size in sizes.items() if size > 100] == ["train"] and sizes["train"] == 2000
     assert len(written) == 2 and max(written) < 2000  # the training rows with hashes, and with folds
+
+
+def _members():
+    from foldline.operators.stack import Member
+
+    return [Member("g", "GradientBoostingRegressor", {"n_estimators": 3, "max_depth": 3}),
+            Member("h", "RandomForestRegressor", {"n_estimators": 2, "max_depth": 4, "bootstrap": False, "min_samples_leaf": 30}),
+            Member("r", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 4})]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_trees_of_all_folds_grow_on_one_table_of_cells(spark, fitted_rows, monkeypatch, tmp_path, large):
+    from pyspark.ml import PipelineModel
+    from foldline.operators import fold_trees as ft
+
+    pdf, df = _rows(spark)
+    x, bases = ["a", "b", "one"], _members()
+    rows = df.selectExpr("floor(a * 7) / 7 as a", "b", "1.0d as one", "y", "key", "pmod(xxhash64(key), 3) as f").persist()
+    monkeypatch.setattr(ft, "TREES_AT_ONCE", 3)
+    if large:  # cells of more rows than a task draws for, and passes of few trees
+        monkeypatch.setattr(learners, "DRAWN_ROWS", 100)
+        monkeypatch.setattr(ft, "HELD_BYTES", 1000)
+    made, plain = [], ft.stage_table
+    monkeypatch.setattr(ft, "stage_table", lambda *a: (made.append(a[1]), plain(*a))[1])
+    models = ft.fit_by_fold(bases, rows, x, "y", "f", 3)
+    assert made == ["cells"] * 2 and not fitted_rows and len(models) == 4  # the second for trees four and five
+    single = rows.select(*x).distinct()
+    by_row = lambda m, *c: [tuple(r) for r in m.transform(single).orderBy(*x).select(*c).collect()]
+    for f, model in enumerate(models):
+        train = rows.where(F.col("f") != f)
+        out = model.transform(rows)
+        for b in bases[:2]:
+            out = fit_learner(b.learner, b.params, train, x, prediction=f"q_{b.alias}").transform(out)
+        assert out.where("abs(p_g - q_g) > 1e-9 or abs(p_h - q_h) > 1e-9").isEmpty()
+        scored = out.select("y", "p_r", "p_h").toPandas()
+        assert 1 - ((scored["y"] - scored["p_r"]) ** 2).mean() / scored["y"].var() > 0.8
+        assert 1e-3 < (scored["p_r"] - scored["p_h"]).abs().max() < 2  # drawn rows, and leaves of fewer
+    names = [b.column for b in bases]
+    models[0].save(f"{tmp_path}/m")
+    assert by_row(PipelineModel.load(f"{tmp_path}/m"), *names) == by_row(models[0], *names)
+    # Labels of a fold do not reach the models that predict it.
+    other = rows.withColumn("y", F.when(F.col("f") == 0, -F.col("y")).otherwise(F.col("y")))
+    again = ft.fit_by_fold(bases[:2], other, x, "y", "f", 3)
+    assert np.allclose(by_row(again[0], *names[:2]), by_row(models[0], *names[:2]), rtol=0, atol=1e-9)
+    assert not np.allclose(by_row(again[1], *names[:2]), by_row(models[1], *names[:2]), rtol=0, atol=1)
+
+
+def test_stacks_of_many_staged_rows_fit_their_trees_at_once(spark, fitted_rows, monkeypatch):
+    from foldline.operators import fold_trees as ft, stack as st
+
+    _, df = _rows(spark)
+    rows = df.withColumn("a", F.floor(F.col("a") * 7) / 7).persist()
+    fit = lambda d, **k: st.Stack(_members(), st.Member("m", "Ridge"), True, k=3).fit(d, ["a", "b"], "key", **k).transform(d).select("y", "prediction").toPandas()
+    monkeypatch.setattr(st, "BAGGED_ROWS", 1000)
+    plain = fit(rows)
+    assert len(fitted_rows) == 12
+    fitted_rows.clear()
+    made = fit(rows, staged=True)
+    assert not fitted_rows
+    assert abs((made["y"] - made["prediction"]).abs().mean() - (plain["y"] - plain["prediction"]).abs().mean()) < 0.02
+
+    def whole(d, x=("a", "b"), bases=_members()):
+        return ft.fit_by_fold(bases, d.withColumn("f", F.pmod(F.xxhash64("key"), F.lit(2))), list(x), "y", "f", 2)
+
+    assert whole(df) is None  # 255 bins by five values are more than a quarter of the rows
+    assert whole(rows.withColumn("y", F.when(F.col("key") != "7", F.col("y")))) is None
+    assert whole(rows.withColumn("b", F.when(F.col("key") != "7", F.col("b")))) is None
+    assert whole(rows, bases=[st.Member("r", "RandomForestRegressor", {"n_estimators": 1})]) is None  # as deep as rows allow
+    assert whole(rows, bases=[st.Member("r", "Ridge")]) is None
+
+
+def test_pieces_of_columns_of_many_values_are_those_of_some_rows(spark):
+    from foldline.operators import fold_trees as ft
+
+    pdf, df = _rows(spark)
+    some = pdf[["a", "b"]].to_numpy()
+    wide, few = ft._edges(df, ["a", "b"], 16, [4000, 5], some)
+    assert len(wide) == 15 and np.ptp(np.bincount(np.searchsorted(wide, some[:, 0], "right"))) <= 2
+    assert few.tolist() == [0.125, 0.375, 0.625, 0.875]
+    assert ft._edges(df.where("false"), ["b"], 16, [0], some[:, 1:])[0].tolist() == []
